@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -49,9 +50,17 @@ class Stored:
             pass
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there and survives lost executors."""
-    return Stored(df).df
+def cut(df: DataFrame, release: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends there and survives lost executors.
+
+    With ``release`` the shuffle files behind it are let go at once, rather than when the driver next collects garbage.
+    """
+    stored = Stored(df).df
+    if release:
+        del df
+        gc.collect()
+        stored.sparkSession.sparkContext._jvm.System.gc()
+    return stored
 
 
 def splitmix(x: np.ndarray) -> np.ndarray:
@@ -82,6 +91,8 @@ LOWER[65:91] += 32
 #: The bytes that separate words: 0x20 and 0x09 to 0x0D.
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: A pseudo-random number for each byte, capitals as their small letters.
+_VALUE = splitmix(LOWER.astype(np.uint64) + np.uint64(1))
 
 
 def grouped(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
@@ -96,23 +107,33 @@ def grouped(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]
         yield first, len(texts)
 
 
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_BASE = 0x9E3779B97F4A7C15
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd base modulo 2^64, and their inverses."""
+    if len(_powers[0]) < n:
+        size = max(1 << 21, n)
+        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            full = np.full(size, base, np.uint64)
+            full[0] = 1
+            _powers[i] = np.multiply.accumulate(full)
+    return _powers[0][:n], _powers[1][:n]
+
+
 def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
     """For each text the 64-bit hashes of its words ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased, in order."""
     out: list[np.ndarray] = []
     for a, z in grouped(texts):
-        joined = LOWER[np.frombuffer(b"\n".join([*texts[a:z], b""]), np.uint8)]
-        inside = ~SPACE[joined]
-        edge = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0, append=0))
+        raw = np.frombuffer(b"\n".join([*texts[a:z], b""]), np.uint8)
+        edge = np.flatnonzero(np.diff(~SPACE[raw], prepend=False, append=False))
         starts, ends = edge[::2], edge[1::2]
+        up, down = powers(len(raw))
+        total = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(_VALUE[raw] * up, out=total[1:])
+        hashed = splitmix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
         bounds = np.cumsum([0, *[len(t) + 1 for t in texts[a:z]]])
-        if not len(starts):
-            out += [np.zeros(0, np.uint64)] * (z - a)
-            continue
-        lens = ends - starts
-        at = np.repeat(starts, lens)
-        where = np.arange(int(lens.sum())) - np.repeat(np.cumsum(lens) - lens, lens)
-        value = (joined[at + where].astype(np.uint64) + np.uint64(1)) * multipliers(int(lens.max()))[where]
-        hashed = splitmix(np.add.reduceat(value, np.cumsum(lens) - lens) + lens.astype(np.uint64))
         cuts = np.searchsorted(starts, bounds)
         out += [hashed[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
     return out

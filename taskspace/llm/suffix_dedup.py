@@ -7,12 +7,14 @@ one). Only windows that can repeat become suffixes:
    anchors. Runs of windows with one anchor form a block, of 35 windows or so.
 2. Blocks whose anchor's hash occurs once hold no repeated window. Of blocks with equal bytes all but the first are
    repeated as a whole. What is left are the first blocks of their bytes whose anchor also occurs in blocks of other bytes.
-3. Their windows are the suffixes: sampled splitters range-partition them by their leading bytes and place, each bucket
-   is put in order by multikey quicksort, and a window equal to the one before it, in its bucket or, for the first of a
-   bucket, at the end of the bucket before, also starts earlier.
-
-Documents of equal bytes are one text from the start. Places order windows after their bytes, so a string that a third of
-all documents hold is spread over as many buckets as it fills.
+3. Their windows are the suffixes. Sampled splitters range-partition them by leading bytes (those of their anchor, which
+   equal windows share, so that a block moves once), each bucket is put in order by multikey quicksort, bytes before place,
+   and a window equal to the one before it also starts earlier. Windows around an anchor that more than ``CROWD``
+   different blocks share are range-partitioned one by one, by bytes and place; there the first of a bucket is compared
+   with the end of the bucket before.
+
+Places order windows after their bytes, so a string that a third of all documents hold is spread over as many buckets as
+it fills.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest as digest64
 
-from .common import cut, multipliers, splitmix, utf8
+from .common import Stored, cut, multipliers, splitmix, utf8
 
 LENGTH, SEED = 100, 32
 
@@ -51,18 +53,22 @@ def seed_hashes(data: np.ndarray, seed: int) -> np.ndarray:
 
 
 def sliding_argmin(h: np.ndarray, width: int) -> np.ndarray:
-    """The first position of the least of each run of ``width`` values."""
-    step, least, at = 1, h, np.arange(len(h), dtype=np.int32)
+    """The first position of the least (in its upper 40 bits) of each run of ``width`` hashes.
+
+    Positions ride in the lower 24 bits, so that one minimum finds both; long texts go in overlapping pieces.
+    """
+    most = 1 << 24
+    if len(h) > most:
+        pieces = [sliding_argmin(h[a : a + most], width) + a for a in range(0, len(h) - width + 1, most - width + 1)]
+        return np.concatenate(pieces)
+    least = (h & np.uint64(0xFFFFFFFFFF000000)) | np.arange(len(h), dtype=np.uint64)
+    step = 1
     while step * 2 <= width:
-        right = least[step:] < least[: len(least) - step]
-        at = np.where(right, at[step:], at[: len(at) - step])
-        least = np.where(right, least[step:], least[: len(least) - step])
+        least = np.minimum(least[:-step], least[step:])
         step *= 2
     if step < width:
-        gap = width - step
-        right = least[gap:] < least[: len(least) - gap]
-        at = np.where(right, at[gap:], at[: len(at) - gap])
-    return at
+        least = np.minimum(least[: len(least) - (width - step)], least[width - step :])
+    return (least & np.uint64(0xFFFFFF)).astype(np.int64)
 
 
 def blocks(data: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, ...]:
@@ -76,8 +82,8 @@ def blocks(data: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, ...]:
     return h[at[first]], first, count, at[first] - first
 
 
-def _text_blocks(texts: DataFrame, length: int, seed: int, with_bytes: bool) -> DataFrame:
-    """Rows of blocks: anchor; and with_bytes also doc_id, sub, at (first << 16 | windows), digest of (bytes, anchor's offset)."""
+def _text_blocks(texts: DataFrame, length: int, seed: int) -> DataFrame:
+    """Rows of blocks: anchor, doc_id, sub, at (first << 16 | the anchor's offset << 8 | windows), digest of (bytes, anchor's offset)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -88,21 +94,20 @@ def _text_blocks(texts: DataFrame, length: int, seed: int, with_bytes: bool) ->
                 if not len(anchor):
                     continue
                 held[0].append(anchor.view(np.int64))
-                if with_bytes:
-                    held[1].append(np.full(len(anchor), doc_id, np.int64))
-                    held[2].append(np.full(len(anchor), sub, np.int64))
-                    held[3].append(first << 16 | count)
-                    ends = (first + count + length - 1).tolist()
-                    held[4].append(np.array([digest64(raw[i:j], seed=k) for i, j, k in zip(first.tolist(), ends, offset.tolist(), strict=True)], np.uint64).view(np.int64))
+                held[1].append(np.full(len(anchor), doc_id, np.int64))
+                held[2].append(np.full(len(anchor), sub, np.int64))
+                held[3].append(first << 16 | offset << 8 | count)
+                ends = (first + count + length - 1).tolist()
+                held[4].append(np.array([digest64(raw[i:j], seed=k) for i, j, k in zip(first.tolist(), ends, offset.tolist(), strict=True)], np.uint64).view(np.int64))
                 rows += len(anchor)
                 if rows > 100_000:
-                    yield pd.DataFrame({n: np.concatenate(h) for n, h in zip(names, held, strict=False) if h})
+                    yield pd.DataFrame({n: np.concatenate(h) for n, h in zip(names, held, strict=True)})
                     held, rows = [[], [], [], [], []], 0
             if rows:
-                yield pd.DataFrame({n: np.concatenate(h) for n, h in zip(names, held, strict=False) if h})
+                yield pd.DataFrame({n: np.concatenate(h) for n, h in zip(names, held, strict=True)})
 
     names = ["anchor", "doc_id", "sub", "at", "digest"]
-    return texts.mapInPandas(run, ", ".join(f"{n} long" for n in (names if with_bytes else names[:1])))
+    return texts.mapInPandas(run, ", ".join(f"{n} long" for n in names))
 
 
 def multikey_quicksort(keys: np.ndarray, order: np.ndarray | None = None, depth: int = 0) -> np.ndarray:
@@ -136,75 +141,97 @@ def multikey_quicksort(keys: np.ndarray, order: np.ndarray | None = None, depth:
     return out
 
 
-def _window_keys(window: list[bytes], length: int) -> np.ndarray:
-    """Windows as rows of big-endian 64-bit words, so that numbers compare as bytes do."""
-    wide = -(-length // 8) * 8
-    raw = np.zeros((len(window), wide), np.uint8)
-    raw[:, :length] = np.frombuffer(b"".join(window), np.uint8).reshape(len(window), length)
-    return raw.view(">u8").astype(np.uint64)
-
-
-def _sorted_buckets(suffixes: DataFrame, length: int, buckets: int) -> DataFrame:
-    """Range-partition suffixes (window, doc_id, sub, at) by leading bytes and place; order each bucket; one row a suffix
-    that equals the one before in its bucket (kind 0), and the bucket's first (1) and last (2) suffix."""
-    ranged = suffixes.repartitionByRange(buckets, "window", "doc_id", "sub", "at")
+def _sorted_buckets(ranged: DataFrame, length: int) -> DataFrame:
+    """Order the suffixes of each bucket, a partition of rows (bytes, doc_id, sub, at) that stand for the suffixes at ``at``
+    and on, as many as bytes has windows. One row a suffix that equals the one before it in its bucket (kind 0), and the
+    bucket's first (1) and last (2) suffix."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [b for b in batches if len(b)]
         if not parts:
             return
         rows = pd.concat(parts, ignore_index=True)
-        place = np.lexsort([rows[c].to_numpy() for c in ("at", "sub", "doc_id")])
-        window = rows["window"].to_numpy()
-        keys = _window_keys(window[place].tolist(), length)
+        raw = rows["bytes"].to_numpy()
+        count = np.array([len(b) - length + 1 for b in raw])
+        owner = np.repeat(np.arange(len(rows)), count)
+        step = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+        doc, sub, at = (rows[c].to_numpy()[owner] for c in ("doc_id", "sub", "at"))
+        at = at + step
+        flat = np.frombuffer(b"".join(raw), np.uint8)
+        where = np.repeat(np.cumsum(count + length - 1) - (count + length - 1), count) + step
+        place = np.lexsort([at, sub, doc])
+        wide = -(-length // 8) * 8
+        view = np.zeros((len(place), wide), np.uint8)
+        view[:, :length] = np.lib.stride_tricks.sliding_window_view(flat, length)[where[place]]
+        keys = view.view(">u8").astype(np.uint64)
         order = multikey_quicksort(keys)
         keys, place = keys[order], place[order]
         same = np.flatnonzero((keys[1:] == keys[:-1]).all(1)) + 1
         bucket = TaskContext.get().partitionId()
-        for kind, at in ((0, place[same]), (1, place[:1]), (2, place[-1:])):
-            part = rows.iloc[at]
-            yield pd.DataFrame({"kind": kind, "bucket": bucket, "doc_id": part["doc_id"], "sub": part["sub"], "at": part["at"], "window": part["window"] if kind else None})
+        for kind, i in ((0, place[same]), (1, place[:1]), (2, place[-1:])):
+            window = [flat[w : w + length].tobytes() for w in where[i]] if kind else None
+            yield pd.DataFrame({"kind": kind, "bucket": bucket, "doc_id": doc[i], "sub": sub[i], "at": at[i], "window": window})
 
-    return ranged.mapInPandas(run, "kind int, bucket int, doc_id long, sub long, at int, window binary")
+    return ranged.select("bytes", "doc_id", "sub", "at").mapInPandas(run, "kind int, bucket int, doc_id long, sub long, at int, window binary")
 
 
 #: Suffixes in a bucket, about.
 BUCKET = 200_000
+#: Anchors with more different blocks than this have their windows partitioned one by one.
+CROWD = 1000
 
 
-def repeated_windows(texts: DataFrame, length: int, seed: int) -> DataFrame:
-    """(doc_id, sub, first, windows): runs of windows that also start earlier, of texts (doc_id, sub, text)."""
-    often = _text_blocks(texts, length, seed, False).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    again = cut(_text_blocks(texts, length, seed, True).join(often, "anchor"))
-    by_bytes = cut(again.groupBy("anchor", "digest").agg(F.min(F.struct("doc_id", "sub", "at")).alias("rep"), F.count("*").alias("n")))
-    twice = by_bytes.where("n > 1").select("anchor", "digest", "rep")
-    copies = again.join(twice, ["anchor", "digest"]).where(~F.struct("doc_id", "sub", "at").eqNullSafe(F.col("rep"))).select("doc_id", "sub", "at")
-    several = by_bytes.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
-    edges = by_bytes.join(several, "anchor").select("rep.*")
-    wanted = edges.groupBy("doc_id", "sub").agg(F.collect_list("at").alias("edges"))
+def _edge_bytes(texts: DataFrame, edges: DataFrame, length: int, seed: int) -> DataFrame:
+    """The bytes of blocks: crowd, lead (the anchor's own bytes), bytes, doc_id, sub, at."""
+    wanted = edges.groupBy("doc_id", "sub").agg(F.collect_list(F.struct("at", "crowd")).alias("edges"))
 
-    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cols = ["window", "doc_id", "sub", "at"]
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cols = ["crowd", "lead", "bytes", "doc_id", "sub", "at"]
         for batch in batches:
             held: list[tuple] = []
-            for doc_id, sub, raw, runs in zip(batch["doc_id"], batch["sub"], utf8(batch["text"]), batch["edges"], strict=True):
-                for r in runs.tolist():
-                    held += [(raw[p : p + length], doc_id, sub, p) for p in range(r >> 16, (r >> 16) + (r & 0xFFFF))]
-                    if len(held) > 50_000:
-                        yield pd.DataFrame(held, columns=cols)
-                        held = []
+            for doc_id, sub, raw, found in zip(batch["doc_id"], batch["sub"], utf8(batch["text"]), batch["edges"], strict=True):
+                for e in found:
+                    first, offset, windows = e["at"] >> 16, e["at"] >> 8 & 0xFF, e["at"] & 0xFF
+                    held.append((e["crowd"], raw[first + offset : first + offset + seed], raw[first : first + windows + length - 1], doc_id, sub, first))
+                if len(held) > 20_000:
+                    yield pd.DataFrame(held, columns=cols)
+                    held = []
             yield pd.DataFrame(held, columns=cols)
 
-    suffixes = cut(texts.join(wanted, ["doc_id", "sub"]).mapInPandas(explode, "window binary, doc_id long, sub long, at int"))
-    ordered = cut(_sorted_buckets(suffixes, length, max(8, suffixes.count() // BUCKET)))
-    inside = ordered.where("kind = 0").select("doc_id", "sub", "at")
+    return texts.join(wanted, ["doc_id", "sub"]).mapInPandas(run, "crowd boolean, lead binary, bytes binary, doc_id long, sub long, at int")
+
+
+def repeated_windows(texts: DataFrame, length: int, seed: int) -> DataFrame:
+    """(doc_id, sub, first, windows): runs of windows that also start earlier, of texts (doc_id, sub, text)."""
+    if length - seed + 1 > 255:
+        raise ValueError("length may exceed seed by 254 bytes at most")
+    every = Stored(_text_blocks(texts, length, seed))
+    often = every.df.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor").hint("shuffle_hash")
+    again = cut(every.df.join(often, "anchor"), release=True)
+    every.drop()
+    by_bytes = cut(again.groupBy("anchor", "digest").agg(F.min(F.struct("doc_id", "sub", "at")).alias("rep"), F.count("*").alias("n")))
+    twice = by_bytes.where("n > 1").select("anchor", "digest", "rep")
+    copies = again.join(twice, ["anchor", "digest"]).where(~F.struct("doc_id", "sub", "at").eqNullSafe(F.col("rep"))).select("doc_id", "sub", "at")
+    several = by_bytes.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor", (F.col("k") > CROWD).alias("crowd"))
+    edges = by_bytes.join(several, "anchor").select("rep.*", "crowd")
+    wanted = cut(_edge_bytes(texts, edges, length, seed), release=True)
+    # windows of equal bytes share the bytes of their anchor, so a bucket of whole leads needs no neighbour
+    calm = wanted.where("not crowd")
+    n = max(8, calm.count() * (length - seed) // 2 // BUCKET)
+    alone = _sorted_buckets(calm.repartitionByRange(n, "lead"), length).where("kind = 0")
+    # many blocks around one anchor: each window goes by its own bytes and place, and buckets meet at their ends
+    place = lambda i: F.struct(F.substring("bytes", i + 1, F.lit(length)).alias("bytes"), (F.col("at") + i).cast("int").alias("at"))
+    each = wanted.where("crowd").select("doc_id", "sub", F.explode(F.transform(F.sequence(F.lit(0), F.octet_length("bytes") - length), place)).alias("w")).select("w.bytes", "doc_id", "sub", "w.at")
+    m = max(8, each.count() // BUCKET)
+    ordered = cut(_sorted_buckets(each.repartitionByRange(m, "bytes", "doc_id", "sub", "at"), length))
     # one row a bucket: a bucket's first suffix against the last of the bucket before it that has any
     head, tail = F.when(F.col("kind") == 1, F.struct("window", "doc_id", "sub", "at")), F.when(F.col("kind") == 2, F.col("window"))
     ends = ordered.where("kind > 0").groupBy("bucket").agg(F.max(head).alias("head"), F.max(tail).alias("tail"))
     before = ends.withColumn("previous", F.lag("tail").over(Window.orderBy("bucket")))
     across = before.where("previous = head.window").select("head.doc_id", "head.sub", "head.at")
-    single = inside.union(across).select("doc_id", "sub", F.col("at").alias("first"), F.lit(1).alias("windows"))
-    runs = copies.select("doc_id", "sub", F.shiftright("at", 16).cast("int").alias("first"), F.col("at").bitwiseAND(F.lit(0xFFFF)).cast("int").alias("windows"))
+    names = ["doc_id", "sub", "at"]
+    single = alone.select(names).union(ordered.where("kind = 0").select(names)).union(across).select("doc_id", "sub", F.col("at").alias("first"), F.lit(1).alias("windows"))
+    runs = copies.select("doc_id", "sub", F.shiftright("at", 16).cast("int").alias("first"), F.col("at").bitwiseAND(F.lit(0xFF)).cast("int").alias("windows"))
     return runs.union(single)
 
 

@@ -186,8 +186,10 @@ def dedup_by_hand(rows, length=100):
     return sorted(out, key=str)
 
 
-def test_suffix_dedup(spark, sf, monkeypatch):
+@pytest.mark.parametrize("crowd", [1000, 3, 0])
+def test_suffix_dedup(spark, sf, monkeypatch, crowd):
     monkeypatch.setattr(suffix_dedup, "BUCKET", 50)
+    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
     rng = random.Random(5)
     rows = read_docs(spark, sf)
     passage = "".join(rng.choice("abcdefgh ") for _ in range(230))
@@ -463,3 +465,21 @@ def test_pipeline_stages(spark, sf):
     assert 0 < sampled.count() < clean.count() and sampled.columns == at.columns
     packed = p.to_packed_ids(spark, sampled, sf).collect()
     assert {d for r in packed for d in r["doc_ids"]} == {r["doc_id"] for r in sampled.collect()}
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90, 100])
+def test_listed_tokens_of_similar_sets_meet(percent):
+    """The rarest ``listed`` of the tokens least by hash have one in common, for sets at the very threshold."""
+    rng = random.Random(6)
+    for _ in range(400):
+        common = rng.randrange(1, 60)
+        apart = common * 100 // percent - common
+        left = rng.randrange(apart + 1)
+        tokens = rng.sample(range(1, 10**6), common + apart)
+        x, y = set(tokens[: common + left]), set(tokens[:common] + tokens[common + left :])
+        df = {t: rng.randrange(1, 5) for t in tokens}
+        kept = []
+        for s in (x, y):
+            _, e, listed = ngram_join.prefix_sizes(len(s), percent)
+            kept.append(set(sorted(sorted(s)[:e], key=lambda t: (df[t], t))[:listed]))
+        assert kept[0] & kept[1]
