@@ -857,7 +857,7 @@ def re_findall(ctx, a):
     if n < 2:
         return Typed(list_of(STRING), F.regexp_extract_all(a[0].col, F.lit(p), F.lit(n)))
     each = F.arrays_zip(*[F.regexp_extract_all(a[0].col, F.lit(p), F.lit(i)).alias(f"g{i}") for i in range(1, n + 1)])
-    return Typed(list_of(list_of(STRING)), F.transform(each, lambda r: F.array(*[r[str(i)] for i in range(n)])))
+    return Typed(list_of(list_of(STRING)), F.transform(each, lambda r: F.array(*[r[f"g{i}"] for i in range(1, n + 1)])))
 
 
 @define("re_sub", "(string, string, string) -> string")
