@@ -34,14 +34,21 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 
 class Stored:
-    """A frame written to the shared folder; ``df`` reads it back, ``drop()`` removes it early."""
+    """A frame written to the shared folder; ``df`` reads it back, ``drop()`` removes it early.
 
-    def __init__(self, df: DataFrame):
+    With ``release`` the shuffle files behind it are let go at once, rather than when the driver next collects garbage.
+    """
+
+    def __init__(self, df: DataFrame, release: bool = False):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/taskspace-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
         atexit.register(self.drop)
+        if release:
+            del df
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
 
     def drop(self) -> None:
         try:
@@ -51,16 +58,8 @@ class Stored:
 
 
 def cut(df: DataFrame, release: bool = False) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there and survives lost executors.
-
-    With ``release`` the shuffle files behind it are let go at once, rather than when the driver next collects garbage.
-    """
-    stored = Stored(df).df
-    if release:
-        del df
-        gc.collect()
-        stored.sparkSession.sparkContext._jvm.System.gc()
-    return stored
+    """Write ``df`` to the shared folder and read it back: lineage ends there and survives lost executors."""
+    return Stored(df, release).df
 
 
 def splitmix(x: np.ndarray) -> np.ndarray:

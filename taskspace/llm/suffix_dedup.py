@@ -207,14 +207,16 @@ def repeated_windows(texts: DataFrame, length: int, seed: int) -> DataFrame:
         raise ValueError("length may exceed seed by 254 bytes at most")
     every = Stored(_text_blocks(texts, length, seed))
     often = every.df.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor").hint("shuffle_hash")
-    again = cut(every.df.join(often, "anchor"), release=True)
+    kept = Stored(every.df.join(often, "anchor"), release=True)
+    again = kept.df
     every.drop()
-    by_bytes = cut(again.groupBy("anchor", "digest").agg(F.min(F.struct("doc_id", "sub", "at")).alias("rep"), F.count("*").alias("n")))
-    twice = by_bytes.where("n > 1").select("anchor", "digest", "rep")
+    by_bytes = Stored(again.groupBy("anchor", "digest").agg(F.min(F.struct("doc_id", "sub", "at")).alias("rep"), F.count("*").alias("n")), release=True)
+    twice = by_bytes.df.where("n > 1").select("anchor", "digest", "rep")
     copies = again.join(twice, ["anchor", "digest"]).where(~F.struct("doc_id", "sub", "at").eqNullSafe(F.col("rep"))).select("doc_id", "sub", "at")
-    several = by_bytes.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor", (F.col("k") > CROWD).alias("crowd"))
-    edges = by_bytes.join(several, "anchor").select("rep.*", "crowd")
-    wanted = cut(_edge_bytes(texts, edges, length, seed), release=True)
+    several = by_bytes.df.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor", (F.col("k") > CROWD).alias("crowd"))
+    edges = by_bytes.df.join(several, "anchor").select("rep.*", "crowd")
+    near = Stored(_edge_bytes(texts, edges, length, seed), release=True)
+    wanted = near.df
     # windows of equal bytes share the bytes of their anchor, so a bucket of whole leads needs no neighbour
     calm = wanted.where("not crowd")
     n = max(8, calm.count() * (length - seed) // 2 // BUCKET)
@@ -232,7 +234,10 @@ def repeated_windows(texts: DataFrame, length: int, seed: int) -> DataFrame:
     names = ["doc_id", "sub", "at"]
     single = alone.select(names).union(ordered.where("kind = 0").select(names)).union(across).select("doc_id", "sub", F.col("at").alias("first"), F.lit(1).alias("windows"))
     runs = copies.select("doc_id", "sub", F.shiftright("at", 16).cast("int").alias("first"), F.col("at").bitwiseAND(F.lit(0xFF)).cast("int").alias("windows"))
-    return runs.union(single)
+    out = cut(runs.union(single), release=True)
+    for stored in (kept, by_bytes, near):
+        stored.drop()
+    return out
 
 
 def covered(first: np.ndarray, windows: np.ndarray, length: int) -> list[tuple[int, int]]:
