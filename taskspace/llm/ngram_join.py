@@ -1,15 +1,17 @@
 """Set-similarity self-join on word shingles with several global token orders, and its connected components.
 
 A text's set holds the hashes of its distinct n-word shingles. Under any one order of all tokens, two sets of Jaccard
-similarity t or more share a token among their first ``size - ceil(t * size) + 1``. The first order ranks tokens by a
-coarse count of how many sets hold them (rare first; a bounded table), then by hash; further orders rank by other hashes.
-Candidates share a prefix token under the first order, are then held against the prefixes of the other orders and the
-length bound, and what is left is verified on the texts themselves.
-
-Texts with equal sets of equal word sequences are one class from the start. Long lists of a token aren't expanded into
-pairs: in rounds, every member is paired with one hub of the list, links found merge components, and only lists that still
-hold several components go on; pairs inside a component are never asked for. What is left after the rounds is compared
-pair by pair, so no link between components is lost.
+similarity t or more share a token among their first ``p = size - ceil(t * size) + 1``. The first order has two keys: of the
+1.5 p tokens least by hash, a text is listed under those that fewest texts have there. As similar texts share at least
+half of a prefix among those 1.5 p, leaving out as many of the most frequent ones loses no pair, and tokens that only one
+text has need no list. Candidates are then intersected with the prefixes under further orders, by other hashes: each pair
+must share a token in every one, and may not differ in more tokens of what both prefixes cover than the threshold allows.
+What is left is verified on the texts themselves.
+
+Texts of equal word sequences are one class from the start. Long lists aren't expanded into pairs: a first round pairs each
+text with one hub among those that have the same first token, links found merge components, and only pairs of different
+components are asked for after that; lists that are still long and mixed get further hubs before the rest is compared pair
+by pair. So no link between components is lost, and pairs inside one are never enumerated.
 """
 
 from __future__ import annotations
@@ -19,16 +21,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Stored, cut, shingles, splitmix, utf8, word_hashes
 
-#: Buckets of the coarse token counts; a bounded broadcast of 4 bytes each.
-SKETCH_BITS = 16
-#: A list is expanded into pairs at once up to this many members.
-SHORT_LIST = 6
-ROUNDS = 3
+#: Lists with more members than this, of several components, get hubs, for as many rounds as ROUNDS at most, while lists
+#: would expand to more than PAIRS pairs a text.
+LONG_LIST = 64
+ROUNDS = 4
+PAIRS = 64
 ORDERS = 3
 
 
@@ -41,106 +43,129 @@ def prefix_size(size: int, percent: int) -> int:
     return size - -(-percent * size // 100) + 1 if size else 0
 
 
-def _bucket(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-
-
-def describe(docs: DataFrame, n: int) -> DataFrame:
-    """Add n_shingles and ``sequence``, a 128-bit digest of the word sequence (null without words), to every row."""
-
-    @F.pandas_udf("n_shingles long, sequence binary")
-    def of(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            sizes, digests = [], []
-            texts = utf8(part)
-            for first in range(0, len(texts), 256):
-                for words in word_hashes(texts[first : first + 256]):
-                    sizes.append(len(text_set(words, n)))
-                    digests.append(xxhash.xxh3_128_digest(words.tobytes()) if len(words) else None)
-            yield pd.DataFrame({"n_shingles": sizes, "sequence": digests})
-
-    out = docs.withColumn("_d", of("text"))
-    return out.select(*docs.columns, "_d.n_shingles", "_d.sequence")
+def prefix_sizes(size: int, percent: int) -> tuple[int, int, int]:
+    """(p, e, listed): the prefix, the tokens that the first order takes by hash, and under how many of those a text is listed.
 
+    Of similar sets let x be the one whose e tokens end first. Of these the other lacks at most p - 1, so both have e - p + 1
+    in common or more. That number does not fall with the size, and no partner is smaller than t * size.
+    """
 
-def token_counts(texts: DataFrame, n: int) -> np.ndarray:
-    """Coarse counts: for each bucket of tokens the number of (text, token) pairs in it, over all texts."""
+    def lengths(n: int) -> tuple[int, int]:
+        p = prefix_size(n, percent)
+        return p, min(n, p + p // 2)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
-        for batch in batches:
-            texts_ = utf8(batch["text"])
-            for first in range(0, len(texts_), 256):
-                for words in word_hashes(texts_[first : first + 256]):
-                    total += np.bincount(_bucket(text_set(words, n)), minlength=1 << SKETCH_BITS)
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"b": at, "n": total[at]})
-
-    found = texts.select("text").mapInPandas(run, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(1 << SKETCH_BITS, np.int64)
-    out[found["b"].to_numpy(np.int64)] = found["n"]
-    return out
+    (p, e), (low_p, low_e) = lengths(size), lengths(-(-percent * size // 100))
+    return p, e, e - (low_e - low_p + 1) + 1
 
 
-def ranks(counts: np.ndarray) -> np.ndarray:
-    """Powers of two of how far a bucket is above the mean: 0 for ordinary buckets, so that hashes order them."""
-    mean = max(1.0, float(counts.mean()))
-    return np.floor(np.log2(np.maximum(counts / mean, 1.0)) * 2).astype(np.uint8)
+def _words(batch: pd.DataFrame, column: str = "text") -> Iterator[tuple[int, np.ndarray]]:
+    """(row number, words) of a batch, a few texts at a time."""
+    texts = utf8(batch[column])
+    for first in range(0, len(texts), 256):
+        yield from enumerate(word_hashes(texts[first : first + 256]), first)
 
 
-def prefixes(tokens: np.ndarray, rank: np.ndarray, percent: int) -> list[np.ndarray]:
-    """The prefix tokens of a set under each order."""
-    size = prefix_size(len(tokens), percent)
+def order_keys(tokens: np.ndarray, percent: int) -> tuple[int, list[np.ndarray]]:
+    """How many of the first order's keys list a set, and for each order its sorted keys: 63-bit ones under the first, 31-bit
+    ones under the others."""
+    p, e, listed = prefix_sizes(len(tokens), percent)
     found = []
     for order in range(ORDERS):
-        key = splitmix(tokens + np.uint64(order * 0x51ED27))
-        first = rank[_bucket(tokens)] if order == 0 else np.zeros(len(tokens), np.uint8)
-        found.append(tokens[np.lexsort((key, first))[:size]])
-    return found
+        key = splitmix(tokens + np.uint64(order * 0x51ED27 + 1)) >> np.uint64(1)
+        size = p if order else e
+        least = np.sort(np.partition(key, size - 1)[:size])
+        found.append((least >> np.uint64(32)).astype(np.int32) if order else least.astype(np.int64))
+    return listed, found
 
 
-def signatures(reps: DataFrame, n: int, percent: int, rank: np.ndarray) -> DataFrame:
-    """One row a text: doc_id, its set's size, the first order's prefix tokens and 32-bit marks of the others' tokens."""
-    shared = reps.sparkSession.sparkContext.broadcast(rank)
+def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, node (a hash of the word sequence; null without words), listed and keys0, keys1, ... of every row."""
+    kind = dict(docs.dtypes)["doc_id"]
+    names = [f"keys{i}" for i in range(ORDERS)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            texts = utf8(batch["text"])
-            for first in range(0, len(texts), 256):
-                for doc_id, words in zip(batch["doc_id"].iloc[first : first + 256], word_hashes(texts[first : first + 256]), strict=True):
-                    tokens = text_set(words, n)
-                    if len(tokens):
-                        p = prefixes(tokens, shared.value, percent)
-                        rows.append((doc_id, len(tokens), p[0].view(np.int64), *[(x >> np.uint64(32)).astype(np.uint32).view(np.int32) for x in p[1:]]))
-            yield pd.DataFrame(rows, columns=["doc_id", "size", "tokens", *[f"marks{i}" for i in range(1, ORDERS)]])
-
-    marks = ", ".join(f"marks{i} array<int>" for i in range(1, ORDERS))
-    return reps.select("doc_id", "text").mapInPandas(run, f"doc_id long, size int, tokens array<long>, {marks}")
-
-
-def verified(pairs: DataFrame, signed: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) those whose sets are similar enough. Length bound and the other orders' prefixes come first."""
-    marks = [f"marks{i}" for i in range(1, ORDERS)]
-    side = lambda s: signed.select(F.col("doc_id").alias(s), F.col("size").alias(f"{s}_size"), *[F.col(m).alias(f"{s}_{m}") for m in marks])
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where((F.col("a_size") * 100 >= F.col("b_size") * percent) & (F.col("b_size") * 100 >= F.col("a_size") * percent))
-    for m in marks:
-        near = near.where(F.arrays_overlap(f"a_{m}", f"b_{m}"))
-    with_text = near.select("a", "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b")
+            ids, rows = batch["doc_id"].tolist(), []
+            for i, words in _words(batch):
+                tokens = text_set(words, n)
+                if len(tokens):
+                    listed, keys = order_keys(tokens, percent)
+                    rows.append((ids[i], len(tokens), node_of(words), listed, *keys))
+                else:
+                    rows.append((ids[i], 0, None, 0, *[None] * ORDERS))
+                if len(rows) == 2000:
+                    yield _frame(rows, names)
+                    rows = []
+            yield _frame(rows, names)
+
+    more = ", ".join(f"{x} array<{'int' if i else 'long'}>" for i, x in enumerate(names))
+    # ids go as text: pandas would make floats of integers beside nulls
+    found = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, f"doc_id string, n_shingles long, node long, listed int, {more}")
+    return found.withColumn("doc_id", F.col("doc_id").cast(kind))
+
+
+def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
+    names = ["doc_id", "n_shingles", "node", "listed", *names]
+    kinds = {"n_shingles": "int64", "node": "Int64", "listed": "int32"}
+    columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+    return pd.DataFrame({n: pd.Series(c, dtype=kinds.get(n, object)) for n, c in zip(names, columns, strict=True)})
+
+
+def node_of(words: np.ndarray) -> int:
+    h = xxhash.xxh3_64_intdigest(words.tobytes())
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _near(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b) those that no order's prefixes and no sizes rule out, with ids of documents that have the texts."""
+    keys = [f"keys{i}" for i in range(ORDERS)]
+    side = lambda s: signed.select(F.col("node").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ["size", "rep", *keys]])
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    total = F.col("a_size") + F.col("b_size")
+    # 100 * common >= percent * (total - common) leaves this many tokens that only one of the two has
+    apart = total - 2 * F.ceil(total * percent / (100 + percent)).cast("long")
+    fits = (F.col("a_size") * 100 >= F.col("b_size") * percent) & (F.col("b_size") * 100 >= F.col("a_size") * percent)
+    for k in keys:
+        x, y = F.col(f"a_{k}"), F.col(f"b_{k}")
+        edge = F.least(F.element_at(x, -1), F.element_at(y, -1))
+        below = lambda c, edge=edge: F.filter(c, lambda v: v < edge)
+        one_sided = F.size(F.array_except(below(x), below(y))) + F.size(F.array_except(below(y), below(x)))
+        fits = fits & F.arrays_overlap(x, y) & (one_sided <= apart)
+    return both.where(fits).select("a", "b", "a_rep", "b_rep")
+
+
+#: Up to this many ids of documents to verify are sent to the tasks (8 bytes each); with more, all documents are shuffled.
+SENT_IDS = 400_000
+
+
+def _asked(docs: DataFrame, near: DataFrame) -> DataFrame:
+    """The documents that pairs name, if their ids are few enough to be broadcast; else all."""
+    ids = near.select(F.explode(F.array("a_rep", "b_rep")).alias("doc_id")).distinct()
+    if ids.count() > SENT_IDS or ids.where("doc_id is null").count():
+        return docs
+    return docs.join(F.broadcast(ids), "doc_id", "left_semi")
+
+
+def verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Of pairs (a, b) those whose sets are similar enough: by their signatures first, by the texts of those left then."""
+    near = cut(_near(pairs, signed, percent), release=True)
+    texts = _asked(docs, near).select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
+    one = near.join(texts, F.col("a_rep").eqNullSafe(F.col("_id"))).select("a", "b", "b_rep", F.col("_text").alias("a_text"))
+    two = one.join(texts, F.col("b_rep").eqNullSafe(F.col("_id"))).select("a", "b", "a_text", F.col("_text").alias("b_text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keep = []
-            for first in range(0, len(batch), 128):
-                part = batch.iloc[first : first + 128]
-                left, right = word_hashes(utf8(part["a_text"])), word_hashes(utf8(part["b_text"]))
-                for x, y in zip(left, right, strict=True):
-                    s, t = text_set(x, n), text_set(y, n)
-                    both = len(np.intersect1d(s, t, assume_unique=True))
-                    keep.append(100 * both >= percent * (len(s) + len(t) - both) and both > 0)
-            yield batch.loc[np.array(keep, bool), ["a", "b"]] if len(batch) else batch[["a", "b"]]
+            keep = np.zeros(len(batch), bool)
+            ids = list(zip(batch["a"].tolist(), batch["b"].tolist(), strict=True))
+            for (i, x), (_, y) in zip(_words(batch, "a_text"), _words(batch, "b_text"), strict=True):
+                if (node_of(x), node_of(y)) != ids[i]:  # another text under a repeated id
+                    continue
+                s, t = text_set(x, n), text_set(y, n)
+                common = len(np.intersect1d(s, t, assume_unique=True))
+                keep[i] = 100 * common >= percent * (len(s) + len(t) - common)
+            yield batch.loc[keep, ["a", "b"]]
 
-    return with_text.mapInPandas(run, "a long, b long")
+    return two.mapInPandas(run, "a long, b long")
 
 
 def _jump(tree: DataFrame) -> DataFrame:
@@ -185,46 +210,62 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _hub_pairs(lists: DataFrame, round_: int) -> DataFrame:
-    """Each member of a list with its hub: the smallest id at first, later the member whose hash with the token is least."""
-    pick = F.min("doc_id") if round_ == 0 else F.min_by("doc_id", F.xxhash64("doc_id", "token", F.lit(round_)))
-    hubs = lists.groupBy("token").agg(pick.alias("hub"))
-    return lists.join(hubs, "token").where("doc_id <> hub").select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
-
-
-def link_components(texts: DataFrame, n: int, percent: int) -> tuple[DataFrame, int]:
-    """(doc_id, component) of texts (doc_id, text; ids unique, texts different), and the number of links verified."""
-    kept = texts
-    rank = ranks(token_counts(kept, n))
-    signed = cut(signatures(kept, n, percent, rank))
-    lists = signed.select("doc_id", F.explode("tokens").alias("token"))
-    sizes = lists.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
-    shared = Stored(lists.join(sizes, "token").select("doc_id", "token", "m"))
-    short = shared.df.where(F.col("m") <= SHORT_LIST)
-    pairs = short.alias("x").join(short.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.doc_id") < F.col("y.doc_id"))).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    links = [cut(verified(pairs, signed, kept, n, percent))]
-    nodes = signed.select("doc_id")
-    state = Stored(components(nodes, links[0]))
-    long = shared.df.where(F.col("m") > SHORT_LIST).select("doc_id", "token")
-    for round_ in range(ROUNDS + 1):
-        placed = long.join(state.df, "doc_id").select("doc_id", "token", F.col("component").alias("comp"))
+    """Members of lists (token, node, comp) with the list's hub, where their components differ: the smallest node at first,
+    later the one whose hash with the token is least."""
+    pick = F.struct("node", "comp") if round_ == 0 else F.struct(F.xxhash64("node", "token", F.lit(round_)), "node", "comp")
+    hubs = lists.groupBy("token").agg(F.min(pick).alias("hub"))
+    pairs = lists.join(hubs, "token").where("comp <> hub.comp")
+    return pairs.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+
+
+def _lists(signed: DataFrame) -> DataFrame:
+    """(node, size, token, m): the tokens that a text is listed under and that m > 1 texts have."""
+    rows = signed.select("node", F.explode("keys0").alias("token"))
+    often = rows.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").hint("shuffle_hash")
+    common = cut(rows.join(often, "token"), release=True)
+    own = Window.partitionBy("node")
+    ranked = common.withColumn("rank", F.row_number().over(own.orderBy("m", "token"))).withColumn("n", F.count("*").over(own))
+    limits = signed.select("node", "size", (F.col("listed") - F.size("keys0")).alias("spare"))
+    # tokens of one text alone come first in the order and take their places
+    return ranked.join(limits, "node").where(F.col("rank") <= F.col("spare") + F.col("n")).select("node", "size", "token", "m")
+
+
+def link_components(signed: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(doc_id, component) of the nodes of ``signed``, over all links between them."""
+    nodes = signed.select(F.col("node").alias("doc_id"))
+    count = nodes.count()
+    firsts = F.array(*[F.xxhash64(F.element_at(f"keys{i}", 1), F.lit(i)) for i in range(ORDERS)])
+    first = signed.select("node", F.col("node").alias("comp"), F.explode(firsts).alias("token"))
+    state = _merge(nodes, None, cut(verified(_hub_pairs(first, 0), signed, docs, n, percent), release=True))
+    shared = Stored(_lists(signed))
+    for round_ in range(1, ROUNDS + 1):
+        placed = shared.df.join(state.df.select(F.col("doc_id").alias("node"), F.col("component").alias("comp")), "node")
         several = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
         open_ = Stored(placed.join(several, "token"))
-        if open_.df.isEmpty():
+        if round_ == ROUNDS or (open_.df.agg(F.sum(F.col("m") / 2.0)).first()[0] or 0) <= PAIRS * count:
             break
-        if round_ < ROUNDS:
-            asked = _hub_pairs(open_.df, round_)
-        else:
-            x, y = open_.df.alias("x"), open_.df.alias("y")
-            asked = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.comp") != F.col("y.comp"))).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-        got = cut(verified(asked, signed, kept, n, percent))
-        links.append(got)
-        every = state.df.select(F.col("doc_id").alias("a"), F.col("component").alias("b")).where("a <> b").unionByName(got)
-        new = Stored(components(nodes, every))
-        state.drop()
+        asked = _hub_pairs(open_.df.where(F.col("m") > LONG_LIST), round_)
+        state = _merge(nodes, state, cut(verified(asked, signed, docs, n, percent), release=True))
         open_.drop()
-        state = new
+    x, y = open_.df.alias("x"), open_.df.alias("y")
+    sizes = (F.col("x.size") * 100 >= F.col("y.size") * percent) & (F.col("y.size") * 100 >= F.col("x.size") * percent)
+    cross = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & sizes)
+    asked = cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    state = _merge(nodes, state, cut(verified(asked, signed, docs, n, percent), release=True))
+    open_.drop()
     shared.drop()
-    return state.df, len(links)
+    return state.df
+
+
+def _merge(nodes: DataFrame, state: Stored | None, links: DataFrame) -> Stored:
+    """Components of what is known and the new links."""
+    if state is not None:
+        known = state.df.select(F.col("doc_id").alias("a"), F.col("component").alias("b")).where("a <> b")
+        links = known.unionByName(links)
+    out = Stored(components(nodes, links))
+    if state is not None:
+        state.drop()
+    return out
 
 
 def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -234,16 +275,16 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFram
     word (null, empty, white space) are linked with nothing: their component is their own id. Rows that repeat a doc_id
     are judged each by its text. Rows with a null doc_id take part in links but never name a component, unless no other does.
     """
-    described = cut(describe(docs.select("doc_id", "text"), n).drop("text"))
-    coded = described.withColumn("node", F.xxhash64("sequence"))
-    classes = cut(coded.where("sequence is not null").groupBy("node").agg(F.min("doc_id").alias("rep")))
-    named = docs.select("doc_id", "text").join(classes, F.col("doc_id").eqNullSafe(F.col("rep")))
-    if described.count() != described.select("doc_id").distinct().count():
-        # an id has several rows: of its texts, the one with the class's own words stays, once
-        named = describe(named, n).where(F.col("node") == F.xxhash64("sequence")).dropDuplicates(["node"])
-    texts = cut(named.select(F.col("node").alias("doc_id"), "text"))
-    found, _ = link_components(texts, n, percent)
-    lowest = classes.join(found.select(F.col("doc_id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    docs = docs.select("doc_id", "text")
+    described = Stored(signatures(docs, n, percent))
+    keys = [f"keys{i}" for i in range(ORDERS)]
+    same = F.any_value(F.struct(F.col("n_shingles").alias("size"), "listed", *keys))
+    classes = described.df.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), same.alias("s"))
+    signed = cut(classes.select("node", "rep", "s.*"), release=True)
+    small = cut(described.df.select("doc_id", "n_shingles", "node"))
+    described.drop()
+    found = link_components(signed, docs, n, percent)
+    lowest = signed.select("node", "rep").join(found.withColumnRenamed("doc_id", "node"), "node")
     names = lowest.groupBy("component").agg(F.min("rep").alias("component_id"))
     label = lowest.join(names, "component").select("node", "component_id")
-    return coded.join(label, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return small.join(label, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -122,7 +122,7 @@ def pack(docs: DataFrame, ranks: dict[bytes, int], pattern: str, length: int = 2
                 if not isinstance(text, str) or not text:
                     continue
                 ids = np.array(encode(text), kind)
-                held += [(None if pd.isna(doc_id) else int(doc_id), k, ids[a : a + length], a) for k, a in enumerate(range(0, len(ids), length))]
+                held += [(None if doc_id is None else int(doc_id), k, ids[a : a + length], a) for k, a in enumerate(range(0, len(ids), length))]
                 tokens += len(ids)
                 if tokens >= HELD_TOKENS:
                     yield packed(held)
@@ -131,7 +131,7 @@ def pack(docs: DataFrame, ranks: dict[bytes, int], pattern: str, length: int = 2
             yield packed(held)
 
     schema = "shard int, row long, ids binary, id_bytes int, n_tokens int, cu_seqlens array<int>, resets array<int>, doc_ids array<long>, parts array<int>"
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return docs.select(docs["doc_id"].cast("string"), "text").mapInPandas(run, schema)
 
 
 def positions(cu_seqlens, resets, length: int) -> np.ndarray:
