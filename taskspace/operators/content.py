@@ -156,6 +156,27 @@ def sync_plan(manifests: Sequence[Manifest], source: DataFrame, target: DataFram
     return joined.withColumn("action", F.when(F.col("_t"), "skip").when(F.col("_s"), "copy").otherwise("absent")).drop("_s", "_t")
 
 
+def sync_objects(plan: DataFrame, source: str, target: str) -> int:
+    """Carry out the copies of a plan between two store folders; how many there were. A copy is renamed into place, so a task
+    that runs again does no harm."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import shutil
+
+        n = 0
+        os.makedirs(target, exist_ok=True)
+        for batch in batches:
+            for h, a in zip(batch["hash"], batch["alg"], strict=True):
+                part = os.path.join(target, f".{h}.{a}.{os.getpid()}")
+                shutil.copyfile(os.path.join(source, f"{h}.{a}"), part)
+                os.replace(part, os.path.join(target, f"{h}.{a}"))
+                n += 1
+        yield pd.DataFrame({"n": [n]})
+
+    todo = plan.where("action = 'copy'").select("hash", "alg")
+    return todo.mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def object_key(hash_: Column, alg: Column) -> Column:
     return F.concat(hash_, F.lit("."), alg)
 

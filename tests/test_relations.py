@@ -243,6 +243,8 @@ def test_collect_hash_upload_download(spark, tmp_path):
     up, first = content.hash_upload(m, str(store))
     assert first.first()["uploaded_objects"] == 2 and content.hash_upload(m, str(store))[1].first()["uploaded_objects"] == 0
     assert content.list_store(spark, str(store)).count() == 2
+    plan = content.sync_plan([up], content.list_store(spark, str(store)), content.list_store(spark, str(store)).limit(0))
+    assert content.sync_objects(plan, str(store), str(tmp_path / "other")) == 2 and len(os.listdir(tmp_path / "other")) == 2
     moved = up.with_files(up.files.withColumn("path", F.replace("path", F.lit(str(src)), F.lit(str(out)))).withColumn("symlink_target", F.replace("symlink_target", F.lit(str(src)), F.lit(str(out)))), up.dirs.withColumn("path", F.replace("path", F.lit(str(src)), F.lit(str(out)))))
     os.makedirs(out)
     content.download(moved, str(store))
@@ -392,3 +394,18 @@ def test_session_states(spark):
 def test_rates():
     assert d.rates([(1.0, 10.0), (2.0, 30.0)]) == [10.0, 15.0]
     assert d.rates([(0.0, 0.0), (10.0, 100.0), (20.0, 300.0), (30.0, 600.0)])[-1] == (600.0 - 100.0) / 20.0
+
+
+# -- command surface --------------------------------------------------------------------------------------------------
+def test_commands(spark):
+    from taskspace import api
+
+    assert api.check(TEMPLATE)["status"] == "success" and api.check({**TEMPLATE, "steps": []})["problems"]
+    assert {r["step"]: r["tasks"] for r in api.summary(spark, TEMPLATE, {"N": 4}).collect()} == {"A": 4, "B": 1}
+    assert api.run(spark, TEMPLATE, "A", maximum_tasks=2).count() == 2
+    assert [list(r["args"]) for r in api.run(spark, TEMPLATE, "A", tasks=[{"F": 5}]).collect()] == [["5"]]
+    with pytest.raises(model.ModelError):
+        api.run(spark, TEMPLATE, "A", tasks=[{"F": 6}])
+    assert api.order(spark, TEMPLATE) == ["A", "B"] and api.order(spark, TEMPLATE, "A") == ["A"]
+    assert api.parameters(TEMPLATE)[1]["name"] == "N"
+    assert json.loads(api.render(api.summary(spark, TEMPLATE), "json"))[0]["step"] == "A" and "step: A" in api.render(api.summary(spark, TEMPLATE)) and "tasks: 5" in api.render(api.summary(spark, TEMPLATE), "yaml")
