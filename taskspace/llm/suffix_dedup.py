@@ -202,7 +202,7 @@ def _edge_bytes(texts: DataFrame, edges: DataFrame, length: int, seed: int) -> D
 
 
 def repeated_windows(texts: DataFrame, length: int, seed: int) -> DataFrame:
-    """(doc_id, sub, first, windows): runs of windows that also start earlier, of texts (doc_id, sub, text)."""
+    """(doc_id, sub, runs): the runs of windows (first, windows) that also start earlier, of texts (doc_id, sub, text)."""
     if length - seed + 1 > 255:
         raise ValueError("length may exceed seed by 254 bytes at most")
     every = Stored(_text_blocks(texts, length, seed))
@@ -218,23 +218,27 @@ def repeated_windows(texts: DataFrame, length: int, seed: int) -> DataFrame:
     near = Stored(_edge_bytes(texts, edges, length, seed), release=True)
     wanted = near.df
     # windows of equal bytes share the bytes of their anchor, so a bucket of whole leads needs no neighbour
+    sizes = {r["crowd"]: r["count"] for r in wanted.groupBy("crowd").count().collect()}
     calm = wanted.where("not crowd")
-    n = max(8, calm.count() * (length - seed) // 2 // BUCKET)
+    n = max(8, sizes.get(False, 0) * (length - seed) // 2 // BUCKET)
     alone = _sorted_buckets(calm.repartitionByRange(n, "lead"), length).where("kind = 0")
     # many blocks around one anchor: each window goes by its own bytes and place, and buckets meet at their ends
     place = lambda i: F.struct(F.substring("bytes", i + 1, F.lit(length)).alias("bytes"), (F.col("at") + i).cast("int").alias("at"))
     each = wanted.where("crowd").select("doc_id", "sub", F.explode(F.transform(F.sequence(F.lit(0), F.octet_length("bytes") - length), place)).alias("w")).select("w.bytes", "doc_id", "sub", "w.at")
-    m = max(8, each.count() // BUCKET)
-    ordered = cut(_sorted_buckets(each.repartitionByRange(m, "bytes", "doc_id", "sub", "at"), length))
-    # one row a bucket: a bucket's first suffix against the last of the bucket before it that has any
-    head, tail = F.when(F.col("kind") == 1, F.struct("window", "doc_id", "sub", "at")), F.when(F.col("kind") == 2, F.col("window"))
-    ends = ordered.where("kind > 0").groupBy("bucket").agg(F.max(head).alias("head"), F.max(tail).alias("tail"))
-    before = ends.withColumn("previous", F.lag("tail").over(Window.orderBy("bucket")))
-    across = before.where("previous = head.window").select("head.doc_id", "head.sub", "head.at")
     names = ["doc_id", "sub", "at"]
-    single = alone.select(names).union(ordered.where("kind = 0").select(names)).union(across).select("doc_id", "sub", F.col("at").alias("first"), F.lit(1).alias("windows"))
+    found = alone.select(names)
+    if sizes.get(True):
+        m = max(8, sizes[True] * (length - seed) // 2 // BUCKET)
+        ordered = cut(_sorted_buckets(each.repartitionByRange(m, "bytes", "doc_id", "sub", "at"), length))
+        # one row a bucket: a bucket's first suffix against the last of the bucket before it that has any
+        head, tail = F.when(F.col("kind") == 1, F.struct("window", "doc_id", "sub", "at")), F.when(F.col("kind") == 2, F.col("window"))
+        ends = ordered.where("kind > 0").groupBy("bucket").agg(F.max(head).alias("head"), F.max(tail).alias("tail"))
+        before = ends.withColumn("previous", F.lag("tail").over(Window.orderBy("bucket")))
+        across = before.where("previous = head.window").select("head.doc_id", "head.sub", "head.at")
+        found = found.union(ordered.where("kind = 0").select(names)).union(across)
+    single = found.select("doc_id", "sub", F.col("at").alias("first"), F.lit(1).alias("windows"))
     runs = copies.select("doc_id", "sub", F.shiftright("at", 16).cast("int").alias("first"), F.col("at").bitwiseAND(F.lit(0xFF)).cast("int").alias("windows"))
-    out = cut(runs.union(single), release=True)
+    out = cut(runs.union(single).groupBy("doc_id", "sub").agg(F.collect_set(F.struct("first", "windows")).alias("runs")), release=True)
     for stored in (kept, by_bytes, near):
         stored.drop()
     return out
@@ -266,7 +270,7 @@ def with_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataF
     texts = keyed.select(F.col("_id").alias("doc_id"), F.col("_sub").alias("sub"), "text")
     if not unique:  # exact repeats of a row are one text
         texts = texts.dropDuplicates(["doc_id", "sub"])
-    runs = repeated_windows(texts, length, seed).groupBy("doc_id", "sub").agg(F.collect_set(F.struct("first", "windows")).alias("runs"))
+    runs = repeated_windows(texts, length, seed)
 
     @F.pandas_udf("array<struct<from: int, to: int>>")
     def merged(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
