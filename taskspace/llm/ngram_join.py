@@ -169,7 +169,7 @@ def verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame, n: int, perce
 
 
 def _jump(tree: DataFrame) -> DataFrame:
-    """Parents of parents, twice: p0 before, p2 after one step, p after two."""
+    """(a, p2, p): the ancestors two and four steps up."""
     up = tree.select(F.col("a").alias("_a"), F.col("p").alias("_p"))
     once = tree.join(up, F.col("p") == F.col("_a")).select("a", F.col("_p").alias("p2"))
     return once.join(once.select(F.col("a").alias("_a"), F.col("p2").alias("_p")), F.col("p2") == F.col("_a")).select("a", "p2", F.col("_p").alias("p"))
@@ -184,13 +184,12 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     edges, stars = Stored(both), None
     while not edges.df.isEmpty():
-        tree = Stored(edges.df.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("p")))
-        while True:
-            jumped = Stored(_jump(tree.df))
+        hooked = edges.df.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("p"))
+        tree = Stored(_jump(hooked))
+        while not tree.df.where("p <> p2").isEmpty():
+            jumped = Stored(_jump(tree.df.select("a", "p")))
             tree.drop()
             tree = jumped
-            if tree.df.where("p <> p2").isEmpty():
-                break
         tip = tree.df.select("a", "p")
         if stars is None:
             merged = Stored(tip.select(F.col("a").alias("v"), F.col("p").alias("root")))
