@@ -111,7 +111,7 @@ def vector(text: str, idf: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarra
     return at, SCALE * c / len(f) * idf[at]
 
 
-def train(labelled: DataFrame, bits: int = 15, sample: int = 400, epochs: int = 3) -> Model | None:
+def train(labelled: DataFrame, bits: int = 15, sample: int = 200, epochs: int = 4) -> Model | None:
     """Fit on rows of (text, lang), both non-null, texts with a letter. None if there are none."""
     df = document_frequencies(labelled, bits)
     if not df[-1]:
@@ -124,19 +124,20 @@ def train(labelled: DataFrame, bits: int = 15, sample: int = 400, epochs: int =
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 4.0 * sample / n))])
     near = mixed.where(F.pmod("_h", F.lit(1_000_003)) < F.ceil(share[F.col("lang")] * 1_000_003))
     ranked = near.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "text"))).where(F.col("_r") <= 2 * sample)
-    schema = "lang string, r int, at array<int>, value array<double>"
+    schema = "lang string, r int, at array<int>, value array<float>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for lang, r, text in zip(batch["lang"], batch["_r"], batch["text"], strict=True):
                 at, value = vector(text, idf, bits)
-                yield pd.DataFrame({"lang": [lang], "r": [r], "at": [at.astype(np.int32)], "value": [value]})
+                yield pd.DataFrame({"lang": [lang], "r": [r], "at": [at.astype(np.int32)], "value": [value.astype(np.float32)]})
 
     got = ranked.select("lang", "_r", "text").mapInPandas(run, schema).toPandas().sort_values(["lang", "r"])
     langs = sorted(set(got["lang"]))
     y = np.array([langs.index(x) for x in got["lang"]])
-    rows = list(zip(got["at"].map(lambda x: np.asarray(x, np.int64)), got["value"].map(np.asarray), strict=True))
+    rows = list(zip(got["at"], got["value"], strict=True))
     fit = (got["r"] % 2 == 1).to_numpy()
+    del got
     w, bias = ftrl([r for r, f in zip(rows, fit, strict=True) if f], y[fit], 1 << bits, len(langs), epochs)
     held = [i for i in range(len(rows)) if not fit[i]]
     logits = np.array([rows[i][1] @ w[rows[i][0]] + bias for i in held]).reshape(-1, len(langs))
@@ -197,6 +198,6 @@ def labelled_rows(docs: DataFrame, learnable: Column) -> DataFrame:
     return docs.where(learnable & F.col("lang").isNotNull() & has_letter(F.col("text"))).select("text", "lang")
 
 
-def identify(docs: DataFrame, learnable: Column, bits: int = 15, sample: int = 400, epochs: int = 3) -> DataFrame:
+def identify(docs: DataFrame, learnable: Column, bits: int = 15, sample: int = 200, epochs: int = 4) -> DataFrame:
     """Train on the rows of docs where ``learnable`` holds, then predict every row. Empty tables give an empty result."""
     return predict(docs, train(labelled_rows(docs, learnable), bits, sample, epochs))
