@@ -237,7 +237,7 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def _with_parents(nodes: DataFrame, tail: Sequence[str]) -> DataFrame:
+def _with_parents(nodes: DataFrame) -> DataFrame:
     """All ancestors of a frame's paths."""
     return nodes.select(F.explode(ancestors(F.col("path"))).alias("path")).distinct()
 
@@ -259,16 +259,19 @@ def compose(base: Manifest, diffs: Sequence[Manifest], checkpoint_every: int = 8
     entry = F.struct(*FILES.names).alias("entry")
     none = F.lit(None).cast(FILES).alias("entry")
     files = base.files.select("path", entry)
-    nodes = files.union(base.dirs.select("path", none)).union(_with_parents(files.select("path").union(base.dirs.select("path")), ()).select("path", none))
+    nodes = files.union(base.dirs.select("path", none)).union(_with_parents(files.select("path").union(base.dirs.select("path"))).select("path", none))
     nodes = _latest(nodes.withColumn("rank", F.when(F.col("entry").isNotNull(), 1).otherwise(0)))
     for i, d in enumerate(diffs):
-        dead = d.files.where("deleted").select(F.col("path").alias("_dead")).distinct()
-        covered = nodes.select("path", F.explode(F.concat(ancestors(F.col("path")), F.array("path"))).alias("_dead")).join(dead, "_dead", "left_semi").select("path").distinct()
-        nodes = nodes.join(covered, "path", "left_anti")
-        nodes = _drop_empty(nodes, d.dirs.where("deleted").select("path").distinct())
+        dead = d.files.where("deleted").select(F.col("path").alias("_top")).distinct().withColumn("_dead", F.lit(True))
+        tops = F.explode(F.concat(ancestors(F.col("path")), F.array("path")))
+        marked = nodes.withColumn("_top", tops).join(dead, "_top", "left")
+        nodes = marked.groupBy("path").agg(F.any_value("entry").alias("entry"), F.max("_dead").alias("_dead")).where("_dead is null").select("path", "entry")
+        emptied = d.dirs.where("deleted").select("path").distinct()
+        if not emptied.isEmpty():
+            nodes = _drop_empty(nodes, emptied)
         added = d.files.where(~F.col("deleted")).select("path", entry)
         extra = d.dirs.where(~F.col("deleted")).select("path")
-        up = _with_parents(added.select("path").union(extra), ()).union(extra).distinct()
+        up = _with_parents(added.select("path").union(extra)).union(extra).distinct()
         ranked = nodes.withColumn("rank", F.lit(1)).union(added.withColumn("rank", F.lit(2))).union(up.select("path", none, F.lit(0).alias("rank")))
         nodes = _latest(ranked)
         if (i + 1) % checkpoint_every == 0 and i + 1 < len(diffs):
