@@ -156,3 +156,9 @@ def shingles(words: np.ndarray, n: int) -> np.ndarray:
 def utf8(texts) -> list[bytes]:
     """UTF-8 bytes of a column's values, nulls as empty."""
     return [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in texts]
+
+
+def utf8_each(texts) -> Iterator[bytes]:
+    """The same one by one, for loops that need no list."""
+    for t in texts:
+        yield t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b""

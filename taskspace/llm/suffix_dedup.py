@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest as digest64
 
-from .common import Stored, cut, multipliers, splitmix, utf8
+from .common import Stored, cut, multipliers, splitmix, utf8, utf8_each
 
 LENGTH, SEED = 100, 32
 
@@ -89,7 +89,7 @@ def _text_blocks(texts: DataFrame, length: int, seed: int) -> DataFrame:
         for batch in batches:
             held: list[list[np.ndarray]] = [[], [], [], [], []]
             rows = 0
-            for doc_id, sub, raw in zip(batch["doc_id"], batch["sub"], utf8(batch["text"]), strict=True):
+            for doc_id, sub, raw in zip(batch["doc_id"], batch["sub"], utf8_each(batch["text"]), strict=True):
                 anchor, first, count, offset = blocks(np.frombuffer(raw, np.uint8), length, seed)
                 if not len(anchor):
                     continue
@@ -176,7 +176,7 @@ def _sorted_buckets(ranged: DataFrame, length: int) -> DataFrame:
 
 
 #: Suffixes in a bucket, about.
-BUCKET = 200_000
+BUCKET = 100_000
 #: Anchors with more different blocks than this have their windows partitioned one by one.
 CROWD = 1000
 
@@ -189,7 +189,7 @@ def _edge_bytes(texts: DataFrame, edges: DataFrame, length: int, seed: int) -> D
         cols = ["crowd", "lead", "bytes", "doc_id", "sub", "at"]
         for batch in batches:
             held: list[tuple] = []
-            for doc_id, sub, raw, found in zip(batch["doc_id"], batch["sub"], utf8(batch["text"]), batch["edges"], strict=True):
+            for doc_id, sub, raw, found in zip(batch["doc_id"], batch["sub"], utf8_each(batch["text"]), batch["edges"], strict=True):
                 for e in found:
                     first, offset, windows = e["at"] >> 16, e["at"] >> 8 & 0xFF, e["at"] & 0xFF
                     held.append((e["crowd"], raw[first + offset : first + offset + seed], raw[first : first + windows + length - 1], doc_id, sub, first))
