@@ -202,7 +202,7 @@ def _edge_bytes(texts: DataFrame, edges: DataFrame, length: int, seed: int) -> D
 
 
 def repeated_windows(texts: DataFrame, length: int, seed: int) -> DataFrame:
-    """(doc_id, sub, runs): the runs of windows (first, windows) that also start earlier, of texts (doc_id, sub, text)."""
+    """(doc_id, sub, first, windows): runs of windows that also start earlier, of texts (doc_id, sub, text)."""
     if length - seed + 1 > 255:
         raise ValueError("length may exceed seed by 254 bytes at most")
     every = Stored(_text_blocks(texts, length, seed))
@@ -238,7 +238,7 @@ def repeated_windows(texts: DataFrame, length: int, seed: int) -> DataFrame:
         found = found.union(ordered.where("kind = 0").select(names)).union(across)
     single = found.select("doc_id", "sub", F.col("at").alias("first"), F.lit(1).alias("windows"))
     runs = copies.select("doc_id", "sub", F.shiftright("at", 16).cast("int").alias("first"), F.col("at").bitwiseAND(F.lit(0xFF)).cast("int").alias("windows"))
-    out = cut(runs.union(single).groupBy("doc_id", "sub").agg(F.collect_set(F.struct("first", "windows")).alias("runs")), release=True)
+    out = cut(runs.union(single), release=True)
     for stored in (kept, by_bytes, near):
         stored.drop()
     return out
@@ -270,7 +270,7 @@ def with_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataF
     texts = keyed.select(F.col("_id").alias("doc_id"), F.col("_sub").alias("sub"), "text")
     if not unique:  # exact repeats of a row are one text
         texts = texts.dropDuplicates(["doc_id", "sub"])
-    runs = repeated_windows(texts, length, seed)
+    runs = repeated_windows(texts, length, seed).groupBy("doc_id", "sub").agg(F.collect_list(F.struct("first", "windows")).alias("runs"))
 
     @F.pandas_udf("array<struct<from: int, to: int>>")
     def merged(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
