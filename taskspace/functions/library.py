@@ -258,13 +258,27 @@ def ordered(op: str, x: Column, y: Column, s: ExprType, t: ExprType) -> Column:
     raise TypeError(f"Cannot compare {s} and {t}")
 
 
+def exact_literals(a: list[Typed]) -> list[Typed]:
+    """Beside a float, an int literal that a float holds exactly is that float: a plain comparison, which scans can push down."""
+    kinds = [t.type for t in a]
+    if set(kinds) != {INT, FLOAT}:
+        return a
+    i = kinds.index(INT)
+    v = a[i].const
+    if not isinstance(v, int) or abs(v) > 1 << 53:
+        return a
+    return [Typed(FLOAT, F.lit(float(v)), float(v)) if k == i else t for k, t in enumerate(a)]
+
+
 @define("__eq__", "(T1, T2) -> bool")
 def eq(ctx, a):
+    a = exact_literals(a)
     return equal(a[0].col, a[1].col, a[0].type, a[1].type)
 
 
 @define("__ne__", "(T1, T2) -> bool")
 def ne(ctx, a):
+    a = exact_literals(a)
     return ~equal(a[0].col, a[1].col, a[0].type, a[1].type)
 
 
@@ -272,6 +286,7 @@ for _name, _op in (("__lt__", "<"), ("__le__", "<="), ("__gt__", ">"), ("__ge__"
 
     @define(_name, "(T1, T2) -> bool")
     def compare(ctx, a, op=_op):
+        a = exact_literals(a)
         return ordered(op, a[0].col, a[1].col, a[0].type, a[1].type)
 
 
