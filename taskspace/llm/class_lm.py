@@ -1,11 +1,13 @@
 """Brown class-based bigram language model: exchange clustering, class transitions, word emissions.
 
-Tokens are the words ``[^\\x20\\x09-\\x0D]+`` of a text, A-Z lower-cased, and one end after them. Three passes over the
-texts: count every word; count word pairs among the ``vocab`` most frequent words, which the exchange algorithm clusters
-on the driver (its input is bounded by vocab squared); score. Words outside that vocabulary form one class of their own,
-whose emissions use their exact counts; the end is a class of its own as well. Scores use exact counts of all words: those
-of the ``lexicon`` most frequent ones (a bounded broadcast) on the spot, the others by a shuffled join of word hashes, each
-word and text once.
+Tokens are the words ``[^\\x20\\x09-\\x0D]+`` of a text, A-Z lower-cased, and one end after them. Every word that occurs
+``least`` times in training has a class. The ``vocab`` most frequent words, the core, are clustered by exchange on the driver
+(its input is bounded by vocab squared). Then each other word goes to the class that raises the bigram likelihood most to
+first order, by its pair counts with the classes of its neighbours, which stay sparse and distributed; this is repeated with
+the classes so found. Rarer words form one class of their own, which also stands for unseen words; the end is a class as well.
+
+The driver and the tasks hold 64-bit hashes of the words with classes, about 30 bytes a word, and so grow with their number.
+Scores use exact counts of all words; those without a class come by a shuffled join of word hashes, each word and text once.
 """
 
 from __future__ import annotations
@@ -21,10 +23,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, utf8
+from .common import Stored, utf8, word_hashes
 
 #: Distinct words that a task counts before it hands its counts on.
 HELD_WORDS = 400_000
+#: Tokens whose pairs are counted at once.
+RUN = 1 << 20
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -59,24 +63,91 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInPandas(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def count_pairs(texts: DataFrame, ids: dict[bytes, int], size: int) -> DataFrame:
-    """(pair, c): adjacent classes-to-be i * size + j, where 0 is the end, 1 any other word and the rest the vocabulary."""
-    shared = texts.sparkSession.sparkContext.broadcast(ids)
+class Lexicon:
+    """Words by their hashes alone. Row 0 is the end, row i the i-th of ``keys``; -1 stands for a word that is not listed."""
+
+    def __init__(self, keys: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.row = keys[order], (order + 1).astype(np.int32)
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def __contains__(self, word: bytes) -> bool:
+        return bool(self.rows(word_hashes([word])[0])[0] > 0)
+
+    def rows(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(len(hashes), -1, np.int32)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return np.where(self.keys[at] == hashes, self.row[at], np.int32(-1))
+
+
+def encoded(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """(ids): runs of texts as the bytes of 32-bit rows of the lexicon; each text is 0 and then its words."""
+    shared = texts.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at = shared.value
         for batch in batches:
-            row: list[int] = []
-            for text in utf8(batch["text"]):
-                row.append(0)
-                row += [at.get(w, 1) for w in tokens(text)]
-            row.append(0)
-            ids_ = np.array(row, np.int64)
-            pairs, c = np.unique(ids_[:-1] * size + ids_[1:], return_counts=True)
-            if len(batch):
-                yield pd.DataFrame({"pair": pairs, "c": c.astype(np.int64)})
+            for first in range(0, len(batch), 500):
+                found = word_hashes(utf8(batch["text"].iloc[first : first + 500]))
+                ends = np.cumsum([0, *[len(h) for h in found]])[:-1]
+                yield pd.DataFrame({"ids": [np.insert(shared.value.rows(np.concatenate(found)), ends, 0).astype(np.int32).tobytes()]})
+
+    return texts.select("text").mapInPandas(run, "ids binary")
+
 
-    return texts.select("text").mapInPandas(run, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c"))
+def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
+    """The rows of encoded texts, with the end before the first and after the last word of each text."""
+    for batch in batches:
+        for ids in batch["ids"]:
+            row = np.append(np.frombuffer(ids, np.int32), np.int32(0))
+            for first in range(0, len(row) - 1, RUN):
+                yield row[max(0, first - 1) : first + RUN + 1], min(first, 1)
+
+
+def count_pairs(ids: DataFrame, of: np.ndarray, size: int) -> DataFrame:
+    """(pair, c): how often ``of`` of a row i is followed by that of a row j, as i * size + j. The last entry of ``of`` is
+    for unlisted words."""
+    shared = ids.sparkSession.sparkContext.broadcast(of)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for row, before in _runs(batches):
+            to = shared.value[row[before:]].astype(np.int64)
+            pairs, c = np.unique(to[:-1] * size + to[1:], return_counts=True)
+            yield pd.DataFrame({"pair": pairs, "c": c.astype(np.int64)})
+
+    return ids.mapInPandas(run, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c"))
+
+
+def place(ids: DataFrame, of: np.ndarray, core: int, table: np.ndarray) -> pd.DataFrame:
+    """(row, class) of each listed word after the first ``core``: the class from 2 on that raises the bigram likelihood most
+    to first order, given its neighbours' classes ``of`` and the class pairs ``table``. Equal ones: the first."""
+    shared, k = ids.sparkSession.sparkContext.broadcast(of), len(table)
+    with_one = table + 1.0 / k
+    logs = np.log(with_one)
+    weight = np.concatenate([logs.T - np.log(with_one.sum(1)), logs - np.log(with_one.sum(0))])[:, 2:]
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for row, before in _runs(batches):
+            cls = shared.value[row].astype(np.int64)
+            after, at = row[before:-1].astype(np.int64), np.flatnonzero(row[before:-1] > core) + before
+            right = after[at - before] * (2 * k) + cls[at + 1]
+            left = after[at - before] * (2 * k) + k + cls[at - 1]
+            pairs, c = np.unique(np.concatenate([right, left]), return_counts=True)
+            yield pd.DataFrame({"row": (pairs // (2 * k)).astype(np.int32), "slot": (pairs % (2 * k)).astype(np.int32), "c": c.astype(np.int64)})
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for first in range(0, len(batch), 2000):
+                part = batch.iloc[first : first + 2000]
+                seen = np.zeros((len(part), 2 * k))
+                if len(part):
+                    np.add.at(seen, (np.repeat(np.arange(len(part)), part["slots"].map(len)), np.concatenate(part["slots"].to_list())), np.concatenate(part["cs"].to_list()))
+                    yield pd.DataFrame({"row": part["row"].to_numpy(), "class": (2 + np.argmax(seen @ weight, 1)).astype(np.int32)})
+
+    pairs = ids.mapInPandas(count, "row int, slot int, c long").repartition("row").groupBy("row", "slot").agg(F.sum("c").alias("c"))
+    return pairs.groupBy("row").agg(F.collect_list("slot").alias("slots"), F.collect_list("c").alias("cs")).mapInPandas(best, "row int, class int").toPandas()
 
 
 def exchange(pairs: np.ndarray, counts: np.ndarray, size: int, classes: int, sweeps: int = 3) -> np.ndarray:
@@ -133,7 +204,7 @@ def exchange(pairs: np.ndarray, counts: np.ndarray, size: int, classes: int, swe
 
 @dataclass
 class Model:
-    lexicon: dict[bytes, int]  #: word to row of the arrays below; 0 is the end
+    lexicon: Lexicon  #: word to row of the arrays below; 0 is the end
     cls: np.ndarray
     emit: np.ndarray  #: log10 P(word | class)
     base: np.ndarray  #: log10 of the add-one unigram
@@ -144,48 +215,70 @@ class Model:
     other_v: int
 
 
-def _head(counts: DataFrame, most: int) -> pd.DataFrame:
-    """The words above the least count that at most ``most`` words exceed, by falling count: the driver takes one number for each
-    different count, and then no more than those words."""
-    held, cut = 0, 0
-    for r in counts.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).toLocalIterator():
+def _head(counts: DataFrame, most: int | None, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of the words with ``least`` occurrences, by falling count. With ``most``, only those above the least
+    count that at most so many words exceed; the driver takes one number for each different count, and then no more than those."""
+    held, cut = 0, least - 1
+    for r in counts.where(F.col("c") >= least).groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).toLocalIterator() if most is not None else ():
         held += r["n"]
         if held > most:
             cut = r["c"]
             break
-    found = counts.where(F.col("c") > cut).toPandas()
-    return found.sort_values(["c", "word"], ascending=[False, True], ignore_index=True)
 
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield pd.DataFrame({"key": word_hashes([b" ".join(batch["word"])])[0].view(np.int64), "c": batch["c"].to_numpy()})
+
+    found = counts.where(F.col("c") > cut).select("word", "c").mapInPandas(hashed, "key long, c long").toPandas()
+    keys, c = found["key"].to_numpy(np.int64).view(np.uint64), found["c"].to_numpy(np.int64)
+    order = np.lexsort((keys, -c))
+    return keys[order], c[order]
 
-def train(texts: DataFrame, counts: DataFrame, vocab: int, lexicon: int, classes: int) -> Model:
+
+def train(texts: DataFrame, counts: DataFrame, vocab: int, lexicon: int | None, classes: int, least: int = 1, passes: int = 2) -> Model:
     """Fit on ``texts`` (training documents only) and their word counts. An empty corpus gives a uniform model."""
     docs = texts.count()
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n, v = total[0] + docs, total[1] + (1 if docs else 0)
-    head = _head(counts, lexicon)
-    words, c = [bytes(w) for w in head["word"]], head["c"].to_numpy(np.int64)
-    k = min(vocab, len(words))
+    keys, c = _head(counts, lexicon, least)
+    listed, words = len(keys), Lexicon(keys)
+    del keys
+    k = min(vocab, listed)
     size = k + 2
-    found = count_pairs(texts, {w: i + 2 for i, w in enumerate(words[:k])}, size).select(F.col("pair").cast("int" if size * size < 1 << 31 else "long"), "c").toPandas()
+    stored = Stored(encoded(texts, words))
+    ids = stored.df
+    # the end, the core from 2 on, and 1 for the others, listed or not
+    core = np.ones(listed + 2, np.int32)
+    core[0] = 0
+    core[1 : k + 1] = np.arange(2, size)
+    found = count_pairs(ids, core, size).select(F.col("pair").cast("int" if size * size < 1 << 31 else "long"), "c").toPandas()
     pairs, pc = found["pair"].to_numpy(), found["c"].to_numpy(np.int64)
     del found
     classes = max(3, min(classes, size))
     of = exchange(pairs, pc, size, classes)
     table = np.bincount(of[pairs // size] * classes + of[pairs % size], pc, classes * classes).reshape(classes, classes)
     del pairs, pc
+    cls = of[core].astype(np.int16)
+    for _ in range(passes if listed > k else 0):
+        placed = place(ids, cls, k, table)
+        cls[placed["row"].to_numpy()] = placed["class"].to_numpy()
+        del placed
+        again = count_pairs(ids, cls, classes).toPandas()
+        table = np.bincount(again["pair"].to_numpy(np.int64), again["c"].to_numpy(np.int64), classes * classes).reshape(classes, classes)
+    stored.drop()
     prior = (table.sum(0) + 1) / (table.sum() + classes)
     strength = 5.0
     step = np.log10((table + strength * prior) / (table.sum(1, keepdims=True) + strength))
-    other_n, other_v = int(n - docs - c[:k].sum()), int(v - (1 if docs else 0) - k)
-    cls = np.concatenate([[0], of[2:], np.ones(len(words) - k, np.int64)]).astype(np.int64)
+    other_n, other_v = int(n - docs - c.sum()), int(v - (1 if docs else 0) - listed)
+    cls = cls[:-1]
     mine = np.concatenate([[docs], c]).astype(np.float64)
     mass = np.bincount(cls, mine, classes)
     with np.errstate(divide="ignore", invalid="ignore"):
         emit = np.log10(mine / mass[cls])
     emit[0] = 0.0
-    emit[k + 1 :] = np.log10((mine[k + 1 :] + 1) / (other_n + other_v + 1))
     base = np.log10((mine + 1) / (n + v + 1))
-    return Model({w: i + 1 for i, w in enumerate(words)}, cls, emit, base, step, n, v, other_n, other_v)
+    return Model(words, cls, emit, base, step, n, v, other_n, other_v)
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
@@ -194,24 +287,23 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m, uid = shared.value, (TaskContext.get().partitionId() << 36) if TaskContext.get() else 0
-        get = m.lexicon.get
         for batch in batches:
             for first in range(0, len(batch), 500):
                 part = batch.iloc[first : first + 500]
                 out: list[tuple] = []
                 tails: list[np.ndarray] = []
-                for doc_id, held, text in zip(part["doc_id"], part["held_out"], utf8(part["text"]), strict=True):
+                texts = utf8(part["text"])
+                for doc_id, held, text, hashes in zip(part["doc_id"], part["held_out"], texts, word_hashes(texts), strict=True):
                     uid += 1
-                    words = tokens(text)
-                    at = np.array([get(w, -1) for w in words], np.int64)
+                    at = m.lexicon.rows(hashes)
                     known = at >= 0
                     classes = np.where(known, m.cls[np.maximum(at, 0)], 1)
                     chain = np.concatenate([[0], classes, [0]])
                     hit = at[known]
                     lp = m.step[chain[:-1], chain[1:]].sum() + m.emit[hit].sum()
                     base = m.base[hit].sum() + m.base[0]
-                    out.append((uid, doc_id, held, False, uid, 1, len(words) + 1, len(hit) + (m.n > 0), base, lp))
-                    tail = Counter(w for w, k in zip(words, known, strict=True) if not k)
+                    out.append((uid, doc_id, held, False, uid, 1, len(at) + 1, len(hit) + (m.n > 0), base, lp))
+                    tail = Counter(w for w, k in zip(tokens(text), known, strict=True) if not k) if len(hit) < len(at) else {}
                     tails += [(uid, doc_id, held, True, word_key(w), c, 0, 0, 0.0, 0.0) for w, c in tail.items()]
                 yield pd.DataFrame(out + tails, columns=["uid", "doc_id", "held_out", "tail", "key", "tf", "n_tokens", "n_known", "base", "lp"])
 
@@ -228,9 +320,11 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     return summed.drop("uid").withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
-def class_lm_scores(docs: DataFrame, held_out: Column, vocab: int = 1024, lexicon: int = 50_000, classes: int = 64) -> DataFrame:
+def class_lm_scores(docs: DataFrame, held_out: Column, vocab: int = 1024, lexicon: int | None = None, classes: int = 64, least: int = 3) -> DataFrame:
     """Score every document (doc_id, text) with a model learnt from those where ``held_out`` is false.
 
+    Every word with ``least`` occurrences in training has a class, or with ``lexicon`` only about so many most frequent ones.
+
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigram) and score (class bigram), both
     log10 of the text's probability. Null and empty texts are one end token. Repeated rows are scored each. Without any
     training document every word is unknown and the model is uniform.
@@ -238,6 +332,6 @@ def class_lm_scores(docs: DataFrame, held_out: Column, vocab: int = 1024, lexico
     marked = docs.select("doc_id", "text", held_out.alias("held_out"))
     training = marked.where(~F.col("held_out"))
     counts = Stored(count_words(training)).df
-    model = train(training, counts, vocab, lexicon, classes)
+    model = train(training, counts, vocab, lexicon, classes, least)
     scored = score(marked, model, counts)
     return scored.withColumn("train_tokens", F.lit(model.n).cast("long"))

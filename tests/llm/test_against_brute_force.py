@@ -249,6 +249,19 @@ def test_class_lm_probabilities_sum_to_one(spark):
             assert abs(mass - 1) < 1e-9
 
 
+def test_words_outside_the_core_find_their_classes(spark):
+    """Four kinds of words take turns; with the 40 most frequent as core, each of the 200 rarer ones falls into a class of its kind."""
+    rng = random.Random(12)
+    kinds = [[f"{x}{i}" for i in range(10)] + [f"{x}rare{i}" for i in range(50)] for x in "abcd"]
+    rows = [(d, " ".join(rng.choice(kinds[i % 4][:10] if rng.random() < 0.6 else kinds[i % 4][10:]) for i in range(100))) for d in range(200)]
+    df = docs_of(spark, rows)
+    got = class_lm.class_lm_scores(df, df["doc_id"] % 5 == 0, vocab=40, classes=12).where("held_out").collect()
+    assert all(r["score"] > r["base_score"] + 40 for r in got)
+    m = class_lm.train(df, class_lm.count_words(df), 40, 1000, 12)
+    held = [{int(m.cls[m.lexicon.rows(class_lm.word_hashes([w.encode()])[0])[0]]) for w in x} for x in kinds]
+    assert m.other_n == m.other_v == 0 and sum(map(len, held)) == len(set().union(*held)) and 1 not in set().union(*held)
+
+
 def test_exchange_raises_the_likelihood():
     rng = np.random.default_rng(4)
     hidden = rng.integers(0, 4, 60)
