@@ -2,7 +2,7 @@
 
 Character 1- to 3-grams are hashed to ``2**bits`` features; a feature's value is its share of the text's n-grams times its
 inverse document frequency. Document frequencies come from all learnable documents. The weights are fitted on the driver by
-follow-the-regularised-leader with elastic-net penalties on a bounded sample of them (``sample`` documents for each language,
+follow-the-regularised-leader with elastic-net penalties on a bounded sample of them (``sample`` distinct texts for each language,
 those with the smallest hashes; a documented bound), and a temperature is then calibrated on another bounded sample.
 """
 
@@ -111,19 +111,24 @@ def vector(text: str, idf: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarra
     return at, SCALE * c / len(f) * idf[at]
 
 
+def least_hashes(labelled: DataFrame, most: int) -> DataFrame:
+    """(lang, _r, text): for each language its ``most`` distinct texts with the smallest hashes, or all if there are fewer."""
+    hashed = labelled.select("lang", "text", F.xxhash64("text", "lang").alias("_h"))
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("_h"))
+    # copies fall together first; then hashes are ranked in slices, so that no task ranks a whole language
+    slices = hashed.select("lang", "_h").distinct().withColumn("_s", F.pmod("_h", F.lit(64)))
+    first = slices.withColumn("_r", rank("lang", "_s")).where(F.col("_r") <= most)
+    least = first.withColumn("_r", rank("lang")).where(F.col("_r") <= most).select("lang", "_h", "_r")
+    return hashed.join(F.broadcast(least), ["lang", "_h"]).groupBy("lang", "_r").agg(F.min("text").alias("text"))
+
+
 def train(labelled: DataFrame, bits: int = 15, sample: int = 200, epochs: int = 4) -> Model | None:
     """Fit on rows of (text, lang), both non-null, texts with a letter. None if there are none."""
     df = document_frequencies(labelled, bits)
     if not df[-1]:
         return None
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
-    mixed = labelled.select("lang", "text", F.xxhash64("text", "lang").alias("_h"))
-    # one number for each language, which the model holds in any case; a hash cut leaves about four times the sample, so
-    # that no task ranks a whole language
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 4.0 * sample / n))])
-    near = mixed.where(F.pmod("_h", F.lit(1_000_003)) < F.ceil(share[F.col("lang")] * 1_000_003))
-    ranked = near.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "text"))).where(F.col("_r") <= 2 * sample)
+    ranked = least_hashes(labelled, 2 * sample)
     schema = "lang string, r int, at array<int>, value array<float>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -458,6 +458,20 @@ def test_hnsw_of_odd_vectors(spark):
     assert hnsw.nearest(df.limit(0), df["vec_id"] % 20 == 0).count() == 0
 
 
+def test_copies_do_not_starve_a_language(spark):
+    """Copies of a few texts neither drive other texts of their language from the sample nor the language from the model."""
+    few = spark.createDataFrame([("el tiempo pasa y nada queda",), ("la casa de mi padre",), ("los niños juegan",)], "text string")
+    copies = few.crossJoin(spark.range(3000)).select("text", F.lit("es").alias("lang"))
+    other = spark.createDataFrame([(f"the house of number {i} and the time", "en") for i in range(60)] + [("the same again",  "en")] * 4000, "text string, lang string")
+    assert language_id.train(copies, sample=5) is not None  # no row of the only language was left
+    m = language_id.train(copies.union(other), sample=5)
+    assert m.langs == ["en", "es"]
+    got = language_id.predict(few, m).collect()
+    assert {r["lang_pred"] for r in got} == {"es"}
+    held = language_id.least_hashes(copies.union(other), 10).collect()
+    assert collections.Counter(r["lang"] for r in held) == {"es": 3, "en": 10} and len({r["text"] for r in held}) == 13
+
+
 # -- pipeline ---------------------------------------------------------------------------------------------------------
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline as p
