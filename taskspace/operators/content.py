@@ -13,7 +13,7 @@ import stat
 from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .manifest import FILES, WHOLE_FILE, Manifest, ManifestError, _cut, _dir_targets, _moved, below, hashed, latest_wins, live, normalise, normalise_text, resolve_links
@@ -240,11 +240,12 @@ def hash_upload(m: Manifest, folder: str, cache: DataFrame | None = None) -> tup
     return full, stats
 
 
-def download_plan(m: Manifest, present: DataFrame, conflict: str = "OVERWRITE", links: str = "PRESERVE") -> DataFrame:
+def download_plan(m: Manifest, present: DataFrame, conflict: str = "OVERWRITE", links: str = "PRESERVE", beside: DataFrame | None = None) -> DataFrame:
     """(path, action, new_path) for each entry: write, skip, copy (to a free name), link, delete or mkdir.
 
     ``present`` is (path, size, mtime) of what is there. SKIP leaves existing paths, OVERWRITE replaces those that differ,
-    CREATE_COPY writes beside them.
+    CREATE_COPY writes beside them, under the first number that neither ``present``, the manifest nor ``beside`` (path), other
+    names in the target folders, has.
     """
     if conflict not in ("SKIP", "OVERWRITE", "CREATE_COPY"):
         raise ManifestError(f"unknown conflict policy {conflict}")
@@ -255,13 +256,27 @@ def download_plan(m: Manifest, present: DataFrame, conflict: str = "OVERWRITE",
     action = F.when(F.col("deleted"), F.when(exists, "delete").otherwise("skip")).when(F.col("symlink_target").isNotNull(), F.lit("link" if links == "PRESERVE" else "skip")).when(~exists, "write").when(same, "skip")
     action = action.otherwise({"SKIP": "skip", "OVERWRITE": "write", "CREATE_COPY": "copy"}[conflict])
     files = joined.select("path", action.alias("action"))
-    taken = present.select(F.col("path").alias("_p"))
-    copies = files.where("action = 'copy'").select("path", F.explode(F.sequence(F.lit(1), F.lit(64))).alias("n")).withColumn("new_path", copy_name(F.col("path"), F.col("n")))
-    free = copies.join(taken, F.col("new_path") == F.col("_p"), "left_anti").groupBy("path").agg(F.min_by("new_path", "n").alias("new_path"))
+    taken = present.select("path").union(m.files.where(live()).select("path")).union(m.dirs.where(~F.col("deleted")).select("path"))
+    numbers = _copy_numbers(taken if beside is None else taken.union(beside.select("path")))
+    copies = files.where("action = 'copy'").select("path")
+    counted = copies.join(numbers, "path").withColumn("_r", F.row_number().over(Window.partitionBy("path").orderBy("n")))
+    used = counted.where("n = _r").groupBy("path").agg(F.max("n").alias("n"))
+    free = copies.join(used, "path", "left").select("path", copy_name(F.col("path"), F.coalesce("n", F.lit(0)) + 1).alias("new_path"))
     dirs = m.dirs.select("path", F.when(F.col("deleted"), "delete").otherwise("mkdir").alias("action"))
     return files.join(free, "path", "left").unionByName(dirs.withColumn("new_path", F.lit(None).cast("string")))
 
 
+def _copy_numbers(taken: DataFrame) -> DataFrame:
+    """(path, n), each once, for the taken paths that are copy n of a path."""
+    found = []
+    for suffix in (r"(\.[^./]+)", "()"):
+        pattern = r"(?s)^((?:.*/)?[^/]+) \((\d+)\)" + suffix + r"\z"
+        parts = [F.regexp_extract("_q", pattern, i) for i in (1, 2, 3)]
+        named = taken.select(F.col("path").alias("_q")).where(F.col("_q").rlike(pattern))
+        found.append(named.select("_q", F.concat(parts[0], parts[2]).alias("path"), parts[1].try_cast("long").alias("n")))
+    return found[0].union(found[1]).where((F.col("n") > 0) & (copy_name(F.col("path"), F.col("n")) == F.col("_q"))).select("path", "n").distinct()
+
+
 def copy_name(path: Column, n: Column) -> Column:
     """``name (1).ext``, ``name (2).ext`` and so on."""
     folder = F.regexp_extract(path, r"(?s)^(.*/)?", 0)
@@ -303,7 +318,16 @@ def download(m: Manifest, folder: str, conflict: str = "OVERWRITE") -> DataFrame
             yield pd.DataFrame(rows, columns=["path", "size", "mtime"])
 
     present = paths.mapInPandas(look, "path string, size long, mtime long")
-    plan = download_plan(m, present, conflict)
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for d in batch["folder"]:
+                if os.path.isdir(d):
+                    yield pd.DataFrame({"path": pd.Series([os.path.join(d, name) for name in os.listdir(d)], dtype=object)})
+
+    folders = m.files.select(F.regexp_extract("path", r"(?s)^(.*/)?", 0).alias("folder")).distinct()
+    beside = folders.mapInPandas(listed, "path string") if conflict == "CREATE_COPY" else None
+    plan = download_plan(m, present, conflict, beside=beside)
     todo = plan.where("action in ('write', 'copy', 'delete', 'mkdir')").join(m.files.select("path", "hash", "chunk_hashes", "mtime", "runnable"), "path", "left")
     alg = m.hash_alg
 
@@ -311,6 +335,8 @@ def download(m: Manifest, folder: str, conflict: str = "OVERWRITE") -> DataFrame
         done: dict[str, int] = {}
         for batch in batches:
             for r in batch.itertuples(index=False):
+                if r.action == "copy" and not isinstance(r.new_path, str):
+                    raise ManifestError(f"no free name for a copy of {r.path}")
                 to = r.new_path or r.path
                 if r.action == "mkdir":
                     os.makedirs(to, exist_ok=True)

@@ -254,6 +254,29 @@ def test_collect_hash_upload_download(spark, tmp_path):
     assert plan["c.txt"] == ("copy", str(out / "d" / "c (1).txt")) and plan["b.txt"][0] == "write"
 
 
+def test_copies_get_the_first_free_name(spark, tmp_path):
+    """More than 64 taken names, and names that the manifest does not have, neither are overwritten nor end in the original."""
+    src, store = tmp_path / "src", tmp_path / "store"
+    src.mkdir()
+    names = ["a.txt", "b", "x.y (1)"]
+    for name in names:
+        (src / name).write_bytes(b"new")
+    m = content.hash_upload(content.collect(spark, [str(src)], policy="PRESERVE"), str(store))[0]
+    m = m.with_files(*[spark.createDataFrame(f.collect(), f.schema) for f in (m.files, m.dirs)])  # as they are now
+    for name in names:
+        (src / name).write_bytes(b"mine")
+    for i in range(1, 71):
+        (src / f"a ({i}).txt").write_bytes(b"kept")
+    for name in ("b (1)", "b (03)", "b (4)", "x (1).y (1)", "x.y (1) (1)"):
+        (src / name).write_bytes(b"kept")
+    (src / "b (2)").mkdir()
+    before = set(os.listdir(src))
+    content.download(m, str(store), "CREATE_COPY")
+    assert set(os.listdir(src)) - before == {"a (71).txt", "b (3)", "x (2).y (1)"}
+    assert all((src / n).read_bytes() == b"new" for n in ("a (71).txt", "b (3)", "x (2).y (1)"))
+    assert all((src / n).read_bytes() in (b"mine", b"kept") for n in before if n != "b (2)")
+
+
 def test_link_order_and_names(spark):
     assert content.link_order([("a", "b"), ("b", "c"), ("x", "y"), ("y", "x")]) == ["b", "a", "x", "y"]
     df = spark.createDataFrame([("a\r\nb\nc\rd",)], "t string")
