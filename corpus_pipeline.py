@@ -9,14 +9,17 @@ from taskspace.llm import decontaminate, language_id, mix, ngram_join, pack
 from taskspace.llm.common import cut
 from taskspace.llm.queries import TOKENIZER, table
 
-#: Documents whose language is called with less than this calibrated probability go; with four languages, chance gives 0.25.
-LEAST_SCORE = 0.3
+#: Documents go whose language is called with a calibrated probability less than this share of the way from chance to certainty.
+LEAST_MARGIN = 0.2
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in no recognisable language go: without a letter, without text, or called with too little certainty."""
-    judged = language_id.identify(docs, F.lit(True))
-    return judged.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+    model = language_id.train(language_id.labelled_rows(docs, F.lit(True)))
+    chance = 1 / len(model.langs) if model else 1.0
+    judged = language_id.predict(docs, model)
+    sure = F.col("score") >= chance + LEAST_MARGIN * (1 - chance)
+    return judged.where((F.col("lang_pred") != language_id.UNKNOWN) & sure).select(docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -494,6 +494,17 @@ def test_pipeline_stages(spark, sf):
     assert {d for r in packed for d in r["doc_ids"]} == {r["doc_id"] for r in sampled.collect()}
 
 
+def test_language_cut_is_above_chance(spark, sf, monkeypatch):
+    """With two learned languages, a call at 0.55 goes and one at 0.65 stays."""
+    import corpus_pipeline as p
+
+    model = language_id.Model(["de", "en"], None, None, None, 1.0, 15)
+    monkeypatch.setattr(language_id, "train", lambda *a, **b: model)
+    monkeypatch.setattr(language_id, "predict", lambda docs, *a: docs.withColumn("lang_pred", F.lit("en")).withColumn("score", F.when(F.col("doc_id") == 1, 0.55).otherwise(0.65)))
+    docs = spark.createDataFrame([(1, "co to jest", "en"), (2, "what is this", "en")], "doc_id long, text string, lang string")
+    assert [r["doc_id"] for r in p.by_language(spark, docs, sf).collect()] == [2]
+
+
 @pytest.mark.parametrize("percent", [50, 80, 90, 100])
 def test_listed_tokens_of_similar_sets_meet(percent):
     """The rarest ``listed`` of the tokens least by hash have one in common, for sets at the very threshold."""
