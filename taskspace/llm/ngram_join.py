@@ -1,17 +1,21 @@
 """Set-similarity self-join on word shingles with several global token orders, and its connected components.
 
 A text's set holds the hashes of its distinct n-word shingles. Under any one order of all tokens, two sets of Jaccard
-similarity t or more share a token among their first ``p = size - ceil(t * size) + 1``. The first order has two keys: of the
-1.5 p tokens least by hash, a text is listed under those that fewest texts have there. As similar texts share at least
-half of a prefix among those 1.5 p, leaving out as many of the most frequent ones loses no pair, and tokens that only one
-text has need no list. Candidates are then intersected with the prefixes under further orders, by other hashes: each pair
-must share a token in every one, and may not differ in more tokens of what both prefixes cover than the threshold allows.
-What is left is verified on the texts themselves.
-
-Texts of equal word sequences are one class from the start. Long lists aren't expanded into pairs: a first round pairs each
-text with one hub among those that have the same first token, links found merge components, and only pairs of different
-components are asked for after that; lists that are still long and mixed get further hubs before the rest is compared pair
-by pair. So no link between components is lost, and pairs inside one are never enumerated.
+similarity t or more share a token among their first ``p = size - ceil(t * size) + 1``. The first order goes from rare to
+frequent tokens, by counts over all rows: most texts have more than p tokens of their own there and need no list. Two sets can
+share tokens after the ranks of a common one only, so a pair is asked for only if both ranks leave room for the common tokens
+that its two sizes need. Candidates are then intersected with the prefixes under two further orders, by hashes: each pair must
+share a token in every one and may not differ in more tokens of what both prefixes cover than the threshold allows; nor may
+the parities of their tokens by hash differ in more places. What is left is verified on the texts themselves.
+
+Counting moves packed arrays, not rows: tasks deal the tokens of a block of texts to ranges of hashes, those say which tokens
+other rows have too, and hand them back to the block, which ranks them. Tokens that a sample shows in many rows come last in
+the order and are not dealt, so that no range grows with one token; the sample decides about load only, any order is exact.
+
+Texts of equal word sequences are one class from the start. Lists aren't expanded into pairs: a first round pairs each text
+with a hub of its list, the member with the least rank, links found merge components, and only pairs of different components
+are asked for after that, of which one at least is not in the largest list's hub's. So no link between components is lost, and
+pairs inside one are never enumerated.
 """
 
 from __future__ import annotations
@@ -21,17 +25,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stored, cut, shingles, splitmix, utf8, word_hashes
 
-#: Lists with more members than this, of several components, get hubs, for as many rounds as ROUNDS at most, while lists
-#: would expand to more than PAIRS pairs a text.
-LONG_LIST = 64
-ROUNDS = 4
-PAIRS = 64
-ORDERS = 3
+#: Lists get further hubs, for as many rounds as ROUNDS at most, while comparing the rest would take more than PAIRS a row.
+ROUNDS = 3
+PAIRS = 256
+#: Orders by hash beside that by frequency.
+ORDERS = 2
+#: A block has so many tokens or texts at most (a longer text is a block of its own); a range of hashes about so many bytes of text.
+BLOCK_TOKENS, BLOCK_TEXTS, RANGE_BYTES = 1 << 21, 1 << 13, 8 << 20
+#: Of about so many sampled rows; tokens in HOT_ROWS of them aren't dealt, at most HOT_TOKENS.
+SAMPLE, HOT_ROWS, HOT_TOKENS = 4096, 16, 1 << 20
 
 
 def text_set(words: np.ndarray, n: int) -> np.ndarray:
@@ -39,133 +47,233 @@ def text_set(words: np.ndarray, n: int) -> np.ndarray:
     return np.unique(shingles(words, n))
 
 
-def prefix_size(size: int, percent: int) -> int:
-    return size - -(-percent * size // 100) + 1 if size else 0
+def prefix_size(size, percent: int):
+    return size - -(-percent * size // 100) + 1
 
 
-def prefix_sizes(size: int, percent: int) -> tuple[int, int, int]:
-    """(p, e, listed): the prefix, the tokens that the first order takes by hash, and under how many of those a text is listed.
-
-    Of similar sets let x be the one whose e tokens end first. Of these the other lacks at most p - 1, so both have e - p + 1
-    in common or more. That number does not fall with the size, and no partner is smaller than t * size.
-    """
+def _words(texts: list[bytes]) -> Iterator[np.ndarray]:
+    for first in range(0, len(texts), 256):
+        yield from word_hashes(texts[first : first + 256])
 
-    def lengths(n: int) -> tuple[int, int]:
-        p = prefix_size(n, percent)
-        return p, min(n, p + p // 2)
 
-    (p, e), (low_p, low_e) = lengths(size), lengths(-(-percent * size // 100))
-    return p, e, e - (low_e - low_p + 1) + 1
+def node_of(words: np.ndarray) -> int:
+    h = xxhash.xxh3_64_intdigest(words.tobytes())
+    return h - (1 << 64) if h >> 63 else h
 
 
-def _words(batch: pd.DataFrame, column: str = "text") -> Iterator[tuple[int, np.ndarray]]:
-    """(row number, words) of a batch, a few texts at a time."""
-    texts = utf8(batch[column])
-    for first in range(0, len(texts), 256):
-        yield from enumerate(word_hashes(texts[first : first + 256]), first)
+def _keys(tokens: np.ndarray, order: int) -> np.ndarray:
+    return splitmix(tokens + np.uint64(order * 0x51ED27 + 1))
 
 
-def order_keys(tokens: np.ndarray, percent: int) -> tuple[int, list[np.ndarray]]:
-    """How many of the first order's keys list a set, and for each order its sorted keys: 63-bit ones under the first, 31-bit
-    ones under the others."""
-    p, e, listed = prefix_sizes(len(tokens), percent)
-    found = []
-    for order in range(ORDERS):
-        key = splitmix(tokens + np.uint64(order * 0x51ED27 + 1)) >> np.uint64(1)
-        size = p if order else e
-        least = np.sort(np.partition(key, size - 1)[:size])
-        found.append((least >> np.uint64(32)).astype(np.int32) if order else least.astype(np.int64))
-    return listed, found
+def _frequent(docs: DataFrame, n: int, rows: int) -> np.ndarray:
+    """Sorted keys of tokens that many rows of a sample have."""
 
-
-def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, node (a hash of the word sequence; null without words), listed and keys0, keys1, ... of every row."""
-    kind = dict(docs.dtypes)["doc_id"]
-    names = [f"keys{i}" for i in range(ORDERS)]
+    def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"tokens": [_keys(text_set(w, n), 0).tobytes() for w in _words(utf8(batch["text"]))]})
+
+    def often(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        blobs = [b for batch in batches for b in batch["tokens"]]
+        keys, c = np.unique(np.frombuffer(b"".join(blobs), np.uint64), return_counts=True)
+        most = np.lexsort((keys, -c))[: min(HOT_TOKENS, int((c >= HOT_ROWS).sum()))]
+        yield pd.DataFrame({"key": keys[most].view(np.int64)})
+
+    sample = docs.select("text").where(F.rand(7) < SAMPLE / max(1, rows)).mapInPandas(tokens, "tokens binary")
+    found = sample.repartition(1).mapInPandas(often, "key long").toPandas()
+    return np.sort(found["key"].to_numpy(np.int64).view(np.uint64))
+
+
+DEALT = "block long, range long, tokens binary, owners binary, counts binary, ids array<string>, sizes binary, nodes binary"
+
+
+def _dealt(docs: DataFrame, n: int, ranges: int, hot: np.ndarray) -> DataFrame:
+    """For each block of texts a row a range of hashes (low halves of keys, and whose they are), and one of its own, of a negative
+    range, with ids, set sizes, classes and the frequent tokens."""
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
+
+    def block(number: int, ids: list, sets: list[np.ndarray], nodes: list[int]) -> pd.DataFrame:
+        sizes = np.array([len(s) for s in sets], np.uint32)
+        owner = np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)
+        key = _keys(np.concatenate(sets), 0)
+        frequent = np.zeros(len(key), bool)
+        if len(shared.value):
+            frequent = shared.value[np.minimum(np.searchsorted(shared.value, key), len(shared.value) - 1)] == key
+        own = (number, -1 - number, key[frequent].tobytes(), owner[frequent].tobytes(), None, ids, sizes.tobytes(), np.array(nodes, np.int64).tobytes())
+        key, owner = key[~frequent], owner[~frequent]
+        place = ((key >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+        place = place.astype(np.uint16 if ranges <= 1 << 16 else np.int64)
+        order = np.argsort(place, kind="stable")
+        place, low, owner = place[order], key[order].astype(np.uint32), owner[order]
+        starts = np.flatnonzero(np.append(True, place[1:] != place[:-1])[: len(place)])
+        ends = np.append(starts, len(place))[1:]
+        rows = [own, *((number, int(place[a]), low[a:z].tobytes(), owner[a:z].tobytes(), None, None, None, None) for a, z in zip(starts, ends, strict=True))]
+        return pd.DataFrame(rows, columns=["block", "range", "tokens", "owners", "counts", "ids", "sizes", "nodes"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number, held = TaskContext.get().partitionId() << 32, 0
+        ids, sets, nodes = [], [], []
         for batch in batches:
-            ids, rows = batch["doc_id"].tolist(), []
-            for i, words in _words(batch):
+            for id_, words in zip(batch["doc_id"].tolist(), _words(utf8(batch["text"])), strict=True):
                 tokens = text_set(words, n)
-                if len(tokens):
-                    listed, keys = order_keys(tokens, percent)
-                    rows.append((ids[i], len(tokens), node_of(words), listed, *keys))
-                else:
-                    rows.append((ids[i], 0, None, 0, *[None] * ORDERS))
-                if len(rows) == 2000:
-                    yield _frame(rows, names)
-                    rows = []
-            yield _frame(rows, names)
+                if ids and (held + len(tokens) > BLOCK_TOKENS or len(ids) == BLOCK_TEXTS):
+                    yield block(number, ids, sets, nodes)
+                    number, held = number + 1, 0
+                    ids, sets, nodes = [], [], []
+                ids.append(id_)
+                sets.append(tokens)
+                nodes.append(node_of(words))
+                held += len(tokens)
+        if ids:
+            yield block(number, ids, sets, nodes)
+
+    return docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, DEALT)
+
+
+def _repeated(part: pd.DataFrame) -> pd.DataFrame:
+    """Of a range, what is in more than one row: back to each block its tokens of that kind, with their counts."""
+    if part["range"].iat[0] < 0:
+        return part
+    blobs = part["tokens"].to_list()
+    low = np.frombuffer(b"".join(blobs), np.uint32)
+    owner = np.frombuffer(b"".join(part["owners"]), np.uint16)
+    whose = np.repeat(np.arange(len(blobs)), [len(b) // 4 for b in blobs])
+    order = (np.sort(low.astype(np.uint64) << np.uint64(32) | np.arange(len(low), dtype=np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    ordered = low[order]
+    starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    runs = np.diff(np.append(starts, len(low)))
+    count = np.empty(len(low), np.uint32)
+    count[order] = np.repeat(runs, runs)
+    kept = np.flatnonzero(count > 1)
+    cuts = np.searchsorted(whose[kept], np.arange(len(blobs) + 1))
+    rows = [(b, low[kept[a:z]].tobytes(), owner[kept[a:z]].tobytes(), count[kept[a:z]].tobytes()) for b, a, z in zip(part["block"], cuts[:-1], cuts[1:], strict=True) if a < z]
+    found = pd.DataFrame(rows, columns=["block", "tokens", "owners", "counts"])
+    return found.assign(range=part["range"].iat[0], ids=None, sizes=None, nodes=None)[list(part.columns)]
+
+
+def _ranked(percent: int):
+    """Of a block: a row a text (rank -1), and one for each token among the first p of its set that other rows have too."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        own, rest = part[part["range"] < 0].iloc[0], part[part["range"] >= 0]
+        sizes, nodes = np.frombuffer(own["sizes"], np.uint32).astype(np.int64), np.frombuffer(own["nodes"], np.int64)
+        texts = pd.DataFrame({"doc_id": list(own["ids"]), "size": sizes, "node": pd.Series(nodes, dtype="Int64").where(sizes > 0), "token": pd.Series([None] * len(sizes), dtype="Int64"), "rank": np.int32(-1)})
+        low = [np.frombuffer(b, np.uint32).astype(np.int64) for b in rest["tokens"]]
+        frequent = np.frombuffer(own["tokens"], np.uint64)
+        token = np.concatenate([*[x | int(r) << 32 for x, r in zip(low, rest["range"], strict=True)], -1 - (frequent >> np.uint64(1)).astype(np.int64)])
+        owner = np.frombuffer(b"".join([*rest["owners"], own["owners"]]), np.uint16)
+        count = np.concatenate([np.frombuffer(b"".join(rest["counts"]), np.uint32).astype(np.int64), np.full(len(frequent), 1 << 40)])
+        order = np.lexsort((token, count, owner))
+        token, owner = token[order], owner[order].astype(np.int64)
+        here = np.bincount(owner, minlength=len(sizes))
+        # tokens of one row alone come first
+        rank = np.arange(len(owner)) - (np.cumsum(here) - here)[owner] + (sizes - here)[owner]
+        kept = rank < prefix_size(sizes, percent)[owner]
+        lists = pd.DataFrame({"doc_id": None, "size": sizes[owner[kept]], "node": pd.Series(nodes[owner[kept]], dtype="Int64"), "token": pd.Series(token[kept], dtype="Int64"), "rank": rank[kept].astype(np.int32)})
+        return pd.concat([texts, lists], ignore_index=True)
+
+    return run
+
+
+def described(docs: DataFrame, n: int, percent: int) -> Stored:
+    """doc_id, size (of the set) and node (a hash of the word sequence; null without words) of every row, with rank -1; and size,
+    node, token and rank of the tokens among the first p of a set, rare ones first, that more than one row has."""
+    kind = dict(docs.dtypes)["doc_id"]
+    count, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    dealt = _dealt(docs, n, max(1, -(-size // RANGE_BYTES)), _frequent(docs, n, count))
+    back = dealt.groupBy("range").applyInPandas(_repeated, DEALT)
+    ranked = back.groupBy("block").applyInPandas(_ranked(percent), "doc_id string, size long, node long, token long, rank int")
+    return Stored(ranked.withColumn("doc_id", F.col("doc_id").cast(kind)), release=True)
 
-    more = ", ".join(f"{x} array<{'int' if i else 'long'}>" for i, x in enumerate(names))
-    # ids go as text: pandas would make floats of integers beside nulls
-    found = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, f"doc_id string, n_shingles long, node long, listed int, {more}")
-    return found.withColumn("doc_id", F.col("doc_id").cast(kind))
 
+def order_keys(tokens: np.ndarray, percent: int) -> bytes:
+    """The first p keys under each further order: sorted upper halves, one order after the other."""
+    p = prefix_size(len(tokens), percent)
+    return b"".join(np.sort(np.partition((_keys(tokens, o) >> np.uint64(32)).astype(np.uint32), p - 1)[:p]).tobytes() for o in range(1, ORDERS + 1))
 
-def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
-    names = ["doc_id", "n_shingles", "node", "listed", *names]
-    kinds = {"n_shingles": "int64", "node": "Int64", "listed": "int32"}
-    columns = zip(*rows, strict=True) if rows else [[]] * len(names)
-    return pd.DataFrame({n: pd.Series(c, dtype=kinds.get(n, object)) for n, c in zip(names, columns, strict=True)})
 
+def parities(tokens: np.ndarray) -> bytes:
+    """For each of about twice as many places as tokens (a power of two) the parity of the tokens whose hash falls there."""
+    places = 1 << max(6, (2 * len(tokens) - 1).bit_length())
+    return np.packbits((np.bincount((tokens & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1).astype(np.uint8), bitorder="little").tobytes()
 
-def node_of(words: np.ndarray) -> int:
-    h = xxhash.xxh3_64_intdigest(words.tobytes())
-    return h - (1 << 64) if h >> 63 else h
+
+def differences(x: bytes, y: bytes) -> int:
+    """At least so many tokens are in one only of two sets with these parities."""
+    a, b = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
 
 
-def _near(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) those that no order's prefixes and no sizes rule out, with ids of documents that have the texts."""
-    keys = [f"keys{i}" for i in range(ORDERS)]
-    side = lambda s: signed.select(F.col("node").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ["size", "rep", *keys]])
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    total = F.col("a_size") + F.col("b_size")
-    # 100 * common >= percent * (total - common) leaves this many tokens that only one of the two has
-    apart = total - 2 * F.ceil(total * percent / (100 + percent)).cast("long")
-    fits = (F.col("a_size") * 100 >= F.col("b_size") * percent) & (F.col("b_size") * 100 >= F.col("a_size") * percent)
-    for k in keys:
-        x, y = F.col(f"a_{k}"), F.col(f"b_{k}")
-        edge = F.least(F.element_at(x, -1), F.element_at(y, -1))
-        below = lambda c, edge=edge: F.filter(c, lambda v: v < edge)
-        one_sided = F.size(F.array_except(below(x), below(y))) + F.size(F.array_except(below(y), below(x)))
-        fits = fits & F.arrays_overlap(x, y) & (one_sided <= apart)
-    return both.where(fits).select("a", "b", "a_rep", "b_rep")
+def common_tokens(total: Column, percent: int) -> Column:
+    """How many tokens two sets of so many together must share: 100 * common >= percent * (total - common)."""
+    return F.ceil(total * percent / (100 + percent)).cast("long")
 
 
-#: Up to this many ids of documents to verify are sent to the tasks (8 bytes each); with more, all documents are shuffled.
-SENT_IDS = 400_000
+def possible(x_size: int, y_size: int, x_keys: bytes, y_keys: bytes, x_bits: bytes, y_bits: bytes, percent: int) -> bool:
+    """Whether no further order's prefixes and no parities rule a pair out."""
+    apart = x_size + y_size - 2 * -(-(x_size + y_size) * percent // (100 + percent))
+    if apart < 0 or differences(x_bits, y_bits) > apart:
+        return False
+    for a, b in zip(np.split(np.frombuffer(x_keys, np.uint32), ORDERS), np.split(np.frombuffer(y_keys, np.uint32), ORDERS), strict=True):
+        shared = np.intersect1d(a, b)
+        edge = min(a[-1], b[-1])
+        below = int((shared < edge).sum())
+        if not len(shared) or len(np.unique(a[a < edge])) + len(np.unique(b[b < edge])) - 2 * below > apart:
+            return False
+    return True
 
 
-def _asked(docs: DataFrame, near: DataFrame) -> DataFrame:
-    """The documents that pairs name, if their ids are few enough to be broadcast; else all."""
-    ids = near.select(F.explode(F.array("a_rep", "b_rep")).alias("doc_id")).distinct()
-    if ids.count() > SENT_IDS or ids.where("doc_id is null").count():
-        return docs
-    return docs.join(F.broadcast(ids), "doc_id", "left_semi")
+#: Up to this many ids of documents are sent to the tasks (8 bytes each); with more, the documents are shuffled.
+SENT_IDS = 2_000_000
 
 
-def verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) those whose sets are similar enough: by their signatures first, by the texts of those left then."""
-    near = cut(_near(pairs, signed, percent), release=True)
-    texts = _asked(docs, near).select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
-    one = near.join(texts, F.col("a_rep").eqNullSafe(F.col("_id"))).select("a", "b", "b_rep", F.col("_text").alias("a_text"))
-    two = one.join(texts, F.col("b_rep").eqNullSafe(F.col("_id"))).select("a", "b", "a_text", F.col("_text").alias("b_text"))
+def _members(docs: DataFrame, listed: DataFrame, n: int, percent: int) -> Stored:
+    """node, size, keys, bits and text of the classes (node, rep) that are in lists."""
+    ids = listed.select(F.col("rep").alias("doc_id")).distinct()
+    few = ids.count() <= SENT_IDS
+    texts = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("text")
+    if not listed.where("rep is null").isEmpty():
+        texts = texts.union(docs.where("doc_id is null").select("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for first in range(0, len(batch), 256):
+                part, rows = batch["text"].iloc[first : first + 256], []
+                for text, words in zip(part, _words(utf8(part)), strict=True):
+                    tokens = text_set(words, n)
+                    if len(tokens):
+                        rows.append((node_of(words), len(tokens), order_keys(tokens, percent), parities(tokens), text))
+                yield pd.DataFrame(rows, columns=["node", "size", "keys", "bits", "text"])
+
+    found = texts.mapInPandas(run, "node long, size long, keys binary, bits binary, text string")
+    return Stored(found.join(listed.select("node"), "node", "left_semi").dropDuplicates(["node"]), release=True)
+
+
+def verified(pairs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
+    """Of pairs (a, b) those whose sets are similar enough: by the further orders first, by the texts of those left then."""
+    side = lambda s, *more: members.select(F.col("node").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in more])
+    columns = ["size", "keys", "bits"]
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [f"{s}_{c}" for c in columns for s in "ab"]
+        for batch in batches:
+            keep = [possible(*row, percent) for row in zip(*[batch[c] for c in names], strict=True)]
+            yield batch.loc[np.array(keep, bool), ["a", "b"]]
+
+    def similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             keep = np.zeros(len(batch), bool)
-            ids = list(zip(batch["a"].tolist(), batch["b"].tolist(), strict=True))
-            for (i, x), (_, y) in zip(_words(batch, "a_text"), _words(batch, "b_text"), strict=True):
-                if (node_of(x), node_of(y)) != ids[i]:  # another text under a repeated id
-                    continue
-                s, t = text_set(x, n), text_set(y, n)
-                common = len(np.intersect1d(s, t, assume_unique=True))
-                keep[i] = 100 * common >= percent * (len(s) + len(t) - common)
+            for first in range(0, len(batch), 64):
+                part = batch.iloc[first : first + 64]
+                for i, (x, y) in enumerate(zip(_words(utf8(part["a_text"])), _words(utf8(part["b_text"])), strict=True), first):
+                    s, t = text_set(x, n), text_set(y, n)
+                    common = len(np.intersect1d(s, t, assume_unique=True))
+                    keep[i] = 100 * common >= percent * (len(s) + len(t) - common)
             yield batch.loc[keep, ["a", "b"]]
 
-    return two.mapInPandas(run, "a long, b long")
+    left = pairs.join(side("a", *columns), "a").join(side("b", *columns), "b").mapInPandas(near, "a long, b long")
+    return cut(left).join(side("a", "text"), "a").join(side("b", "text"), "b").mapInPandas(similar, "a long, b long")
 
 
 def _jump(tree: DataFrame) -> DataFrame:
@@ -208,51 +316,44 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.select("doc_id").join(named, F.col("doc_id") == F.col("_v"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("component"))
 
 
-def _hub_pairs(lists: DataFrame, round_: int) -> DataFrame:
-    """Members of lists (token, node, comp) with the list's hub, where their components differ: the smallest node at first,
-    later the one whose hash with the token is least."""
-    pick = F.struct("node", "comp") if round_ == 0 else F.struct(F.xxhash64("node", "token", F.lit(round_)), "node", "comp")
-    hubs = lists.groupBy("token").agg(F.min(pick).alias("hub"))
-    pairs = lists.join(hubs, "token").where("comp <> hub.comp")
-    return pairs.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
-
-
-def _lists(signed: DataFrame) -> DataFrame:
-    """(node, size, token, m): the tokens that a text is listed under and that m > 1 texts have."""
-    rows = signed.select("node", F.explode("keys0").alias("token"))
-    often = rows.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").hint("shuffle_hash")
-    common = cut(rows.join(often, "token"), release=True)
-    own = Window.partitionBy("node")
-    ranked = common.withColumn("rank", F.row_number().over(own.orderBy("m", "token"))).withColumn("n", F.count("*").over(own))
-    limits = signed.select("node", "size", (F.col("listed") - F.size("keys0")).alias("spare"))
-    # tokens of one text alone come first in the order and take their places
-    return ranked.join(limits, "node").where(F.col("rank") <= F.col("spare") + F.col("n")).select("node", "size", "token", "m")
-
-
-def link_components(signed: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(doc_id, component) of the nodes of ``signed``, over all links between them."""
-    nodes = signed.select(F.col("node").alias("doc_id"))
-    count = nodes.count()
-    firsts = F.array(*[F.xxhash64(F.element_at(f"keys{i}", 1), F.lit(i)) for i in range(ORDERS)])
-    first = signed.select("node", F.col("node").alias("comp"), F.explode(firsts).alias("token"))
-    state = _merge(nodes, None, cut(verified(_hub_pairs(first, 0), signed, docs, n, percent), release=True))
-    shared = Stored(_lists(signed))
-    for round_ in range(1, ROUNDS + 1):
-        placed = shared.df.join(state.df.select(F.col("doc_id").alias("node"), F.col("component").alias("comp")), "node")
-        several = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-        open_ = Stored(placed.join(several, "token"))
-        if round_ == ROUNDS or (open_.df.agg(F.sum(F.col("m") / 2.0)).first()[0] or 0) <= PAIRS * count:
-            break
-        asked = _hub_pairs(open_.df.where(F.col("m") > LONG_LIST), round_)
-        state = _merge(nodes, state, cut(verified(asked, signed, docs, n, percent), release=True))
+def _room(x: str, y: str, percent: int) -> Column:
+    """Whether the ranks of a token under which x and y are listed leave room for the common tokens that their sizes need."""
+    need = common_tokens(F.col(f"{x}size") + F.col(f"{y}size"), percent)
+    return (F.col(f"{x}size") - F.col(f"{x}rank") >= need) & (F.col(f"{y}size") - F.col(f"{y}rank") >= need)
+
+
+def link_components(lists: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
+    """(doc_id, component) of the nodes in lists (token, node, size, rank), over all links between them."""
+    nodes = lists.select(F.col("node").alias("doc_id")).distinct()
+    count, state = lists.count(), None
+    for round_ in range(ROUNDS + 1):
+        if state is None:
+            placed = lists.withColumn("comp", F.col("node"))
+        else:
+            placed = lists.join(state.df.select(F.col("doc_id").alias("node"), F.col("component").alias("comp")), "node")
+        # the first hub is the text that has least of its own, later ones are picked by a hash
+        pick = F.struct("rank", "node", "size", "comp") if round_ == 0 else F.struct(F.xxhash64("node", "token", F.lit(round_)), "rank", "node", "size", "comp")
+        of = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("size").alias("least"), F.min(pick).alias("hub"), F.min_by("comp", F.struct("rank", "node")).alias("main")).where("lo <> hi")
+        smallest = F.greatest(F.col("least"), F.ceil(F.col("size") * percent / 100).cast("long"))
+        fits = F.col("size") - F.col("rank") >= common_tokens(F.col("size") + smallest, percent)
+        open_ = Stored(placed.join(of, "token").where(fits).select("token", "node", "size", "rank", "comp", "main", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("node", "size", "rank", "comp")]))
+        if round_:
+            lengths = open_.df.groupBy("token").agg(F.count("*").alias("m"), F.count_if(F.col("comp") != F.col("main")).alias("others"))
+            work = lengths.agg(F.sum(F.col("m").cast("double") * F.col("others"))).first()[0] or 0
+            if round_ == ROUNDS or work <= PAIRS * count:
+                break
+        asked = open_.df.where(F.col("comp") != F.col("hub_comp")).where(_room("", "hub_", percent))
+        asked = asked.select(F.least("node", "hub_node").alias("a"), F.greatest("node", "hub_node").alias("b")).distinct()
+        state = _merge(nodes, state, cut(verified(asked, members, n, percent), release=True))
         open_.drop()
-    x, y = open_.df.alias("x"), open_.df.alias("y")
-    sizes = (F.col("x.size") * 100 >= F.col("y.size") * percent) & (F.col("y.size") * 100 >= F.col("x.size") * percent)
-    cross = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & sizes)
-    asked = cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    state = _merge(nodes, state, cut(verified(asked, signed, docs, n, percent), release=True))
+    side = lambda p, f: f.select("token", *[F.col(c).alias(f"{p}{c}") for c in ("node", "size", "rank", "comp", "main")])
+    x, y = side("x_", open_.df.where("comp <> main")), side("y_", open_.df)
+    # both outside of the main component: once
+    once = (F.col("y_comp") == F.col("y_main")) | (F.col("x_node") < F.col("y_node"))
+    both = x.join(y.withColumnRenamed("token", "y_token"), (F.col("token") == F.col("y_token")) & (F.col("x_comp") != F.col("y_comp")) & once & _room("x_", "y_", percent))
+    asked = both.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+    state = _merge(nodes, state, cut(verified(asked, members, n, percent), release=True))
     open_.drop()
-    shared.drop()
     return state.df
 
 
@@ -273,17 +374,23 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFram
     component_id is the smallest doc_id reachable over links of ``100 * intersection >= percent * union``. Texts without a
     word (null, empty, white space) are linked with nothing: their component is their own id. Rows that repeat a doc_id
     are judged each by its text. Rows with a null doc_id take part in links but never name a component, unless no other does.
+    Texts of any length are taken whole; an empty table gives no row. Other columns of docs are ignored. docs is read several
+    times and must give the same rows in the same order (a stored table, not a sample).
     """
     docs = docs.select("doc_id", "text")
-    described = Stored(signatures(docs, n, percent))
-    keys = [f"keys{i}" for i in range(ORDERS)]
-    same = F.any_value(F.struct(F.col("n_shingles").alias("size"), "listed", *keys))
-    classes = described.df.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), same.alias("s"))
-    signed = cut(classes.select("node", "rep", "s.*"), release=True)
-    small = cut(described.df.select("doc_id", "n_shingles", "node"))
-    described.drop()
-    found = link_components(signed, docs, n, percent)
-    lowest = signed.select("node", "rep").join(found.withColumnRenamed("doc_id", "node"), "node")
+    found = described(docs, n, percent)
+    rows = found.df.where("rank < 0")
+    classes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
+    listed = found.df.where("rank >= 0").select("token", "node", "size", "rank").distinct()
+    several = listed.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
+    lists = Stored(listed.join(several, "token"))
+    asked = Stored(classes.join(lists.df.select("node").distinct(), "node"))
+    members = _members(docs, asked.df, n, percent)
+    linked = link_components(lists.df, members.df, n, percent)
+    for done in (lists, members):
+        done.drop()
+    lowest = asked.df.join(linked.withColumnRenamed("doc_id", "node"), "node")
     names = lowest.groupBy("component").agg(F.min("rep").alias("component_id"))
     label = lowest.join(names, "component").select("node", "component_id")
-    return small.join(label, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    alone = rows.join(label, "node", "left").join(classes.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
+    return alone.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "rep", "doc_id").alias("component_id"))
