@@ -95,7 +95,7 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 _VALUE = splitmix(LOWER.astype(np.uint64) + np.uint64(1))
 
 
-def grouped(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def grouped(texts: list[bytes], most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """(first, end) of runs of texts of at most ``most`` bytes together; a longer text is a run of its own."""
     first = size = 0
     for i, t in enumerate(texts):

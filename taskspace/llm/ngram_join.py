@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -37,7 +38,7 @@ PAIRS = 256
 #: Orders by hash beside that by frequency.
 ORDERS = 2
 #: A block has so many tokens or texts at most (a longer text is a block of its own); a range of hashes about so many bytes of text.
-BLOCK_TOKENS, BLOCK_TEXTS, RANGE_BYTES = 1 << 21, 1 << 13, 8 << 20
+BLOCK_TOKENS, BLOCK_TEXTS, RANGE_BYTES = 1 << 20, 1 << 13, 8 << 20
 #: Of about so many sampled rows; tokens in HOT_ROWS of them aren't dealt, at most HOT_TOKENS.
 SAMPLE, HOT_ROWS, HOT_TOKENS = 4096, 16, 1 << 20
 
@@ -51,9 +52,11 @@ def prefix_size(size, percent: int):
     return size - -(-percent * size // 100) + 1
 
 
-def _words(texts: list[bytes]) -> Iterator[np.ndarray]:
-    for first in range(0, len(texts), 256):
-        yield from word_hashes(texts[first : first + 256])
+def _words(texts) -> Iterator[np.ndarray]:
+    """Word hashes of each text of a series or Arrow array, so many texts at a time that little of a batch is held twice."""
+    for first in range(0, len(texts), 64):
+        part = texts[first : first + 64]
+        yield from word_hashes(utf8(part.to_pylist() if isinstance(part, pa.Array) else part))
 
 
 def node_of(words: np.ndarray) -> int:
@@ -70,7 +73,7 @@ def _frequent(docs: DataFrame, n: int, rows: int) -> np.ndarray:
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"tokens": [_keys(text_set(w, n), 0).tobytes() for w in _words(utf8(batch["text"]))]})
+            yield pd.DataFrame({"tokens": [_keys(text_set(w, n), 0).tobytes() for w in _words(batch["text"])]})
 
     def often(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         blobs = [b for batch in batches for b in batch["tokens"]]
@@ -90,8 +93,9 @@ def _dealt(docs: DataFrame, n: int, ranges: int, hot: np.ndarray) -> DataFrame:
     """For each block of texts a row a range of hashes (low halves of keys, and whose they are), and one of its own, of a negative
     range, with ids, set sizes, classes and the frequent tokens."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.string()), pa.binary(), pa.binary()]
 
-    def block(number: int, ids: list, sets: list[np.ndarray], nodes: list[int]) -> pd.DataFrame:
+    def block(number: int, ids: list, sets: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
         sizes = np.array([len(s) for s in sets], np.uint32)
         owner = np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)
         key = _keys(np.concatenate(sets), 0)
@@ -107,13 +111,13 @@ def _dealt(docs: DataFrame, n: int, ranges: int, hot: np.ndarray) -> DataFrame:
         starts = np.flatnonzero(np.append(True, place[1:] != place[:-1])[: len(place)])
         ends = np.append(starts, len(place))[1:]
         rows = [own, *((number, int(place[a]), low[a:z].tobytes(), owner[a:z].tobytes(), None, None, None, None) for a, z in zip(starts, ends, strict=True))]
-        return pd.DataFrame(rows, columns=["block", "range", "tokens", "owners", "counts", "ids", "sizes", "nodes"])
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["block", "range", "tokens", "owners", "counts", "ids", "sizes", "nodes"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held = TaskContext.get().partitionId() << 32, 0
         ids, sets, nodes = [], [], []
         for batch in batches:
-            for id_, words in zip(batch["doc_id"].tolist(), _words(utf8(batch["text"])), strict=True):
+            for id_, words in zip(batch["doc_id"].to_pylist(), _words(batch["text"]), strict=True):
                 tokens = text_set(words, n)
                 if ids and (held + len(tokens) > BLOCK_TOKENS or len(ids) == BLOCK_TEXTS):
                     yield block(number, ids, sets, nodes)
@@ -126,7 +130,7 @@ def _dealt(docs: DataFrame, n: int, ranges: int, hot: np.ndarray) -> DataFrame:
         if ids:
             yield block(number, ids, sets, nodes)
 
-    return docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, DEALT)
+    return docs.select(F.col("doc_id").cast("string"), "text").mapInArrow(run, DEALT)
 
 
 def _repeated(part: pd.DataFrame) -> pd.DataFrame:
@@ -240,7 +244,7 @@ def _members(docs: DataFrame, listed: DataFrame, n: int, percent: int) -> Stored
         for batch in batches:
             for first in range(0, len(batch), 256):
                 part, rows = batch["text"].iloc[first : first + 256], []
-                for text, words in zip(part, _words(utf8(part)), strict=True):
+                for text, words in zip(part, _words(part), strict=True):
                     tokens = text_set(words, n)
                     if len(tokens):
                         rows.append((node_of(words), len(tokens), order_keys(tokens, percent), parities(tokens), text))
@@ -266,7 +270,7 @@ def verified(pairs: DataFrame, members: DataFrame, n: int, percent: int) -> Data
             keep = np.zeros(len(batch), bool)
             for first in range(0, len(batch), 64):
                 part = batch.iloc[first : first + 64]
-                for i, (x, y) in enumerate(zip(_words(utf8(part["a_text"])), _words(utf8(part["b_text"])), strict=True), first):
+                for i, (x, y) in enumerate(zip(_words(part["a_text"]), _words(part["b_text"]), strict=True), first):
                     s, t = text_set(x, n), text_set(y, n)
                     common = len(np.intersect1d(s, t, assume_unique=True))
                     keep[i] = 100 * common >= percent * (len(s) + len(t) - common)
