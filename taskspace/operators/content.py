@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .manifest import FILES, WHOLE_FILE, Manifest, ManifestError, _cut, _dir_targets, _moved, below, hashed, latest_wins, live, normalise, normalise_text, resolve_links
+from .manifest import FILES, WHOLE_FILE, Manifest, ManifestError, _cut, below, hashed, latest_wins, live, normalise, normalise_text
 
 #: Fixed value: days after which a note that an object exists is looked at again.
 CHECK_DAYS = 30
@@ -389,7 +389,7 @@ def collect(spark: SparkSession, dirs: Iterable[str] = (), files: Iterable[str]
                     for e in it:
                         s = e.stat(follow_symlinks=False)
                         link = os.readlink(e.path) if e.is_symlink() else None
-                        out.append((e.path, e.is_dir(follow_symlinks=False), s.st_size, s.st_mtime_ns // 1000, link, bool(s.st_mode & stat.S_IXUSR)))
+                        out.append((e.path, e.is_dir(follow_symlinks=False), s.st_size, s.st_mtime_ns // 1000, link, bool(s.st_mode & ANY_EXEC)))
             yield pd.DataFrame(out, columns=["path", "dir", "size", "mtime", "link", "exec"])
 
     kind = "path string, dir boolean, size long, mtime long, link string, exec boolean"
@@ -407,48 +407,142 @@ def collect(spark: SparkSession, dirs: Iterable[str] = (), files: Iterable[str]
                     raise ManifestError(f"file not found: {p}")
                 continue
             s = os.lstat(p)
-            extra.append((p, False, s.st_size, s.st_mtime_ns // 1000, os.readlink(p) if os.path.islink(p) else None, bool(s.st_mode & stat.S_IXUSR)))
+            extra.append((p, False, s.st_size, s.st_mtime_ns // 1000, os.readlink(p) if os.path.islink(p) else None, bool(s.st_mode & ANY_EXEC)))
     more = spark.createDataFrame(extra, kind)
     rows = more if rows is None else rows.union(more)
-    flat = rows.where("not dir").dropDuplicates(["path"])
-    parent = F.regexp_extract("path", r"(?s)^(.*)/[^/]*\z", 1)
-    target = F.when(F.startswith("link", F.lit("/")), F.col("link")).otherwise(normalise(F.concat(parent, F.lit("/"), F.col("link"))))
-    linked = F.col("link").isNotNull()
-    entries = flat.select("path", F.when(~linked, F.col("size")).alias("size"), F.when(~linked, F.col("mtime")).alias("mtime"), F.when(linked, target).alias("symlink_target"), (~linked & F.col("exec")).alias("runnable"))
-    m = Manifest.of(entries, seen_dirs.distinct(), style="abs", kind="full")
-    return apply_link_policy(m, list(dirs), policy)
-
-
-def apply_link_policy(m: Manifest, roots: Sequence[str], policy: str) -> Manifest:
-    """Keep, drop or collapse links of a collected tree: all, or only those that leave the collected directories."""
-    if policy == "PRESERVE":
-        return m
-    links = m.files.where("symlink_target is not null").withColumn("rel", F.col("path"))
-    plain = m.files.where("symlink_target is null")
-    inside = F.lit(False)
-    for r in roots:
-        inside = inside | below(F.col("symlink_target"), normalise_text(r)).isNotNull() | (F.col("symlink_target") == normalise_text(r))
-    if policy == "TRANSITIVE_INCLUDE_TARGETS":
-        return m
-    stay = links.where(inside) if policy.endswith("ESCAPING") else links.where(F.lit(False))
-    files = plain.unionByName(stay.select(*FILES.names))
+    flat = _cut(rows.where("not dir").dropDuplicates(["path"]))
+    held = seen_dirs.distinct()
+    links, plain = flat.where("link is not null").withColumn("link", _absolute("path", "link")), flat.where("link is null")
+    if policy.endswith("ESCAPING"):
+        inside = links.join(plain.unionByName(links).select(F.col("path").alias("link")), "link", "left_semi").select(*flat.columns)
+        for top in dirs:
+            under = below(F.col("link"), normalise_text(top)).isNotNull() | (F.col("link") == normalise_text(top))
+            inside = inside.unionByName(links.where(under))
+        stay = inside.dropDuplicates(["path"])
+    else:
+        stay = links if policy in ("PRESERVE", "TRANSITIVE_INCLUDE_TARGETS") else links.limit(0)
+    entries = plain.unionByName(stay)
     if policy.startswith("COLLAPSE"):
-        rest = links.where(~inside) if policy.endswith("ESCAPING") else links
-        spread = _dir_targets(rest, m.files)
-        path = F.concat("rel", F.lit("/"), F.substring(F.col("inside.path"), F.length("target") + 2, F.length("inside.path")))
-        single = rest.join(spread.select(F.col("link").alias("path")).distinct(), "path", "left_anti")
-        files = files.unionByName(spread.select(*_moved("inside", path)))
-        files = files.unionByName(single.select("rel", "symlink_target").join(resolve_links(m.files), F.col("symlink_target") == F.col("target")).select(*_moved("entry", F.col("rel"))))
-    return m.with_files(files)
+        found, more_dirs = _collapsed(links.join(stay, "path", "left_anti").select("path"))
+        entries, held = entries.unionByName(found.select(*flat.columns)), held.union(more_dirs).distinct()
+    elif policy == "TRANSITIVE_INCLUDE_TARGETS":
+        entries = entries.unionByName(_targets(links, flat.select("path").union(held), scan, kind))
+    linked = F.col("link").isNotNull()
+    entries = entries.dropDuplicates(["path"]).select("path", F.when(~linked, F.col("size")).alias("size"), F.when(~linked, F.col("mtime")).alias("mtime"), F.col("link").alias("symlink_target"), (~linked & F.col("exec")).alias("runnable"))
+    return Manifest.of(entries, held, style="abs", kind="full")
+
+
+#: Any of the three execute bits makes a file runnable.
+ANY_EXEC = stat.S_IXUSR | stat.S_IXGRP | stat.S_IXOTH
+
+
+def _absolute(path: str, link: str) -> Column:
+    """Where a link points to, one hop, as a normal absolute path."""
+    parent = F.regexp_extract(path, r"(?s)^(.*)/[^/]*\z", 1)
+    return F.when(F.startswith(F.col(link), F.lit("/")), normalise(F.col(link))).otherwise(normalise(F.concat(parent, F.lit("/"), F.col(link))))
+
+
+def _collapsed(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entries, directories) that stand in place of links: the file that a link leads to, or all below the directory.
+
+    One level of directories a pass, listed in the tasks. Links met below stay links, to the same place of the copy, if they lead
+    into the directory of the outermost link; others are replaced in turn. Broken links are dropped, and so is a link that
+    was followed on the way to itself.
+    """
+    names = ["kind", "path", "dir", "size", "mtime", "link", "exec", "real", "root", "top", "chain"]
+    schema = "kind string, path string, dir boolean, size long, mtime long, link string, exec boolean, real string, root string, top string, chain array<string>"
+
+    def plain(kind, path, s, link=None):
+        return (kind, path, kind == "dir", s and s.st_size, s and s.st_mtime_ns // 1000, link, bool(s and s.st_mode & ANY_EXEC), None, None, None, None)
+
+    def open_(path, real, root, top, chain):
+        return ("open", path, True, None, None, None, False, real, root, top, chain)
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for p in batch["path"]:
+                if os.path.isfile(p):
+                    out.append(plain("file", p, os.stat(p)))
+                elif os.path.isdir(p):
+                    real = os.path.realpath(p)
+                    out.append(open_(p, real, real, p, [p]))
+            yield pd.DataFrame(out, columns=names)
+
+    def inner(r, e):
+        at = f"{r.path}/{e.name}"
+        if e.is_symlink():
+            leads = os.path.realpath(e.path)
+            if leads == r.root or leads.startswith(f"{r.root}/"):
+                if os.path.lexists(leads):
+                    yield plain("link", at, None, r.top + leads[len(r.root) :])
+            elif os.path.isdir(leads):
+                if e.path not in r.chain:
+                    yield open_(at, leads, r.root, r.top, [*r.chain, e.path])
+            elif os.path.isfile(leads):
+                yield plain("file", at, os.stat(leads))
+        elif e.is_dir(follow_symlinks=False):
+            yield plain("dir", at, None)
+            yield open_(at, e.path, r.root, r.top, list(r.chain))
+        elif e.is_file(follow_symlinks=False):
+            yield plain("file", at, e.stat())
+
+    def level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                with os.scandir(r.real) as it:
+                    for e in it:
+                        out += inner(r, e)
+            yield pd.DataFrame(out, columns=names)
+
+    found = _cut(links.mapInPandas(first, schema))
+    every = found
+    while not found.where("kind = 'open'").isEmpty():
+        found = _cut(found.where("kind = 'open'").mapInPandas(level, schema))
+        every = every.unionByName(found)
+    return every.where("kind in ('file', 'link')"), every.where("kind = 'dir'").select("path")
+
+
+def _targets(links: DataFrame, known: DataFrame, scan, kind: str) -> DataFrame:
+    """Entries that links lead to, directories with all below them, and on through the links among those; a level a pass."""
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for p in batch["path"]:
+                if os.path.lexists(p):
+                    s = os.lstat(p)
+                    out.append((p, stat.S_ISDIR(s.st_mode), s.st_size, s.st_mtime_ns // 1000, os.readlink(p) if stat.S_ISLNK(s.st_mode) else None, bool(s.st_mode & ANY_EXEC)))
+            yield pd.DataFrame(out, columns=["path", "dir", "size", "mtime", "link", "exec"])
+
+    asked = _cut(links.select(F.col("link").alias("path")).distinct().join(known, "path", "left_anti"))
+    seen, every, fresh = known.union(asked), None, _cut(asked.mapInPandas(look, kind))
+    while not fresh.isEmpty():
+        fresh = fresh.withColumn("link", F.when(F.col("link").isNotNull(), _absolute("path", "link")))
+        every = fresh if every is None else every.unionByName(fresh)
+        leads = fresh.where("link is not null").select(F.col("link").alias("path")).distinct().join(seen, "path", "left_anti")
+        listed = fresh.where("dir").select("path").mapInPandas(scan, kind).join(seen, "path", "left_anti")
+        fresh = _cut(leads.mapInPandas(look, kind).unionByName(listed).dropDuplicates(["path"]))
+        seen = _cut(seen.union(leads).union(fresh.select("path")).distinct())
+    return links.limit(0) if every is None else every.where("not dir")
 
 
 # -- display ----------------------------------------------------------------------------------------------------------
+#: Units of sizes, in steps of 1000 (fixed values).
+SIZE_UNITS = ("B", "KB", "MB", "GB", "TB", "PB", "EB")
+
+
 def human_size(size: Column) -> Column:
-    """Decimal units with two places from KB on."""
-    steps = [(10**12, "TB"), (10**9, "GB"), (10**6, "MB"), (10**3, "KB")]
-    out = F.concat(size.cast("string"), F.lit(" B"))
-    for unit, name in reversed(steps):
-        out = F.when(size >= unit, F.concat(F.format_string("%.2f", size / F.lit(float(unit))), F.lit(f" {name}"))).otherwise(out)
+    """At most two decimals, without zeros at the end, in the first unit in which the rounded number is below 1000."""
+    out = None
+    for i in range(len(SIZE_UNITS) - 1, -1, -1):
+        value = size.cast("double")
+        for _ in range(i):
+            value = value / F.lit(1000.0)
+        rounded = F.floor(value * 100 + 0.5).cast("double") / 100
+        shown = F.concat(F.regexp_replace(rounded.cast("string"), r"\.0$", ""), F.lit(f" {SIZE_UNITS[i]}"))
+        out = shown if out is None else F.when(rounded < 1000, shown).otherwise(out)
     return out
 
 

@@ -438,10 +438,14 @@ def longest_common_prefix(dirs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def common_root(m: Manifest) -> str | None:
-    """The deepest directory that holds everything: files count with their parent, dirs without entries with themselves."""
-    tops = m.files.where(~F.col("deleted")).select(parent_of(F.col("path")).alias("path")).union(m.dirs.where(~F.col("deleted")).select("path"))
-    row = longest_common_prefix(tops.where("path is not null")).first()
-    return None if row is None or row["root"] is None else row["root"]
+    """The deepest directory that holds everything: files count with their parent, dirs without entries with themselves.
+    ``.`` where relative paths share none, and a drive's root with its slash."""
+    parent = F.coalesce(parent_of(F.col("path")), F.lit(""))
+    tops = m.files.where(~F.col("deleted")).select(parent.alias("path")).union(m.dirs.where(~F.col("deleted")).select("path"))
+    row = longest_common_prefix(tops).first()
+    if row is None or row["root"] is None:
+        return None
+    return row["root"] + "/" if re.fullmatch("[A-Za-z]:", row["root"]) else row["root"] or "."
 
 
 def group_into_roots(paths: DataFrame) -> DataFrame:

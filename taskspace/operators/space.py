@@ -263,6 +263,7 @@ class Space:
             raise SpaceError("at most one dimension has chunks")
         names = list(self.dimensions)
         product = Node("product", tuple(Node("leaf", name=n) for n in names)) if len(names) > 1 else Node("leaf", name=names[0]) if names else Node("product")
+        self.combination = combination
         self.tree = parse_combination(combination, names) if combination else product
         self.adaptive = next((d for d in dims if d.chunks and d.chunks.adaptive), None)
         self._check(self.tree)

@@ -341,9 +341,16 @@ def hash_upsert(spark, sf):
     return manifest.latest_wins(rows, ["k"], "v")
 
 
-@query("human_size", "select o_orderkey, case when n >= 1000000 then printf('%.2f MB', n / 1000000.0) when n >= 1000 then printf('%.2f KB', n / 1000.0) else n || ' B' end as shown from (select o_orderkey, o_orderkey * 100 + 4 as n from orders)")
+_SIZES = "(o_orderkey * 100 + 4) * (case o_orderkey % 4 when 0 then 1 when 1 then 1000 when 2 then 1000000 else 1000000000 end) - o_orderkey % 7 + o_orderkey % 3 * 999500"
+
+
+@query("human_size", f"""
+with n as (select o_orderkey, cast({_SIZES} as double) as b from orders),
+u as (select unnest([0, 1, 2, 3, 4, 5, 6]) as k, unnest(['B', 'KB', 'MB', 'GB', 'TB', 'PB', 'EB']) as unit),
+r as (select o_orderkey, k, unit, floor(b / power(1000.0, k) * 100 + 0.5) / 100 as v from n, u)
+select o_orderkey, regexp_replace(cast(arg_min(v, k) as varchar), '\\.0$', '') || ' ' || arg_min(unit, k) as shown from r where v < 1000 group by o_orderkey""")
 def human_size(spark, sf):
-    return table(spark, sf, "orders").select("o_orderkey", content.human_size(F.col("o_orderkey") * 100 + 4).alias("shown"))
+    return table(spark, sf, "orders").select("o_orderkey", content.human_size(F.expr(_SIZES)).alias("shown"))
 
 
 # -- parameters and graphs --------------------------------------------------------------------------------------------
@@ -406,7 +413,7 @@ def job_template(spark, sf) -> model.Template:
     })
 
 
-@query("job_summary", "select 'Render' as step, 5 * 100 as tasks, 2 as parameters, 0 as dependencies union all select 'Pack', 6, 1, 1 union all select 'End', 1, 0, 1")
+@query("job_summary", "select 'Render' as step, cast((select count(*) from region) * 100 as int) as tasks, 2 as parameters, 0 as dependencies union all select 'Pack', cast((select count(*) from (select 1 union all select unnest(generate_series(10, 12)) union all select unnest(generate_series(18, 50)))) as int), 1, 1 union all select 'End', 1, 0, 1")
 def job_summary(spark, sf):
     job = model.create_job(spark, job_template(spark, sf))
     steps = model.summary(spark, job)[1]

@@ -12,6 +12,7 @@ from taskspace import ranges
 from taskspace.functions import paths
 from taskspace.operators import content, manifest, model, space
 from taskspace.operators.manifest import Manifest, ManifestError
+from taskspace.plans import registry
 from taskspace.ranges import IntRange, RangeError, RangeExpr
 from taskspace.sources import manifest_codec as codec
 from taskspace.streaming import directives as d
@@ -432,3 +433,85 @@ def test_commands(spark):
     assert api.order(spark, TEMPLATE) == ["A", "B"] and api.order(spark, TEMPLATE, "A") == ["A"]
     assert api.parameters(TEMPLATE)[1]["name"] == "N"
     assert json.loads(api.render(api.summary(spark, TEMPLATE), "json"))[0]["step"] == "A" and "step: A" in api.render(api.summary(spark, TEMPLATE)) and "tasks: 5" in api.render(api.summary(spark, TEMPLATE), "yaml")
+
+
+# -- collected links, sizes, roots, closures ------------------------------------------------------------------------------
+@pytest.fixture
+def linked_tree(tmp_path):
+    """A collected folder ``in`` with links to inside, to a file and a folder outside, in a circle and to nothing."""
+    inside, out = tmp_path / "in", tmp_path / "out"
+    (inside / "sub").mkdir(parents=True)
+    (out / "deep").mkdir(parents=True)
+    (inside / "sub" / "a.txt").write_text("a")
+    (out / "b.txt").write_text("bb")
+    os.chmod(out / "b.txt", 0o654)
+    (out / "deep" / "c.txt").write_text("ccc")
+    (inside / "near").symlink_to("sub/a.txt")
+    (inside / "far").symlink_to(out / "b.txt")
+    (inside / "tree").symlink_to(out)
+    (inside / "gone").symlink_to(tmp_path / "nothing")
+    (out / "deep" / "back").symlink_to(out / "b.txt")
+    (out / "deep" / "home").symlink_to(inside)
+    return tmp_path
+
+
+def links_of(spark, top, policy):
+    m = content.collect(spark, [f"{top}/in"], policy=policy)
+    rows = m.files.collect()
+    assert len({r["path"] for r in rows}) == len(rows)
+    short = lambda p: p and p.removeprefix(f"{top}/")
+    return {short(r["path"]): short(r["symlink_target"]) or r["size"] for r in rows}, m
+
+
+def test_link_policies_of_collect(spark, linked_tree):
+    own = {"in/sub/a.txt": 1}
+    near, away = {"in/near": "in/sub/a.txt"}, {"in/far": "out/b.txt", "in/tree": "out", "in/gone": "nothing"}
+    assert links_of(spark, linked_tree, "PRESERVE")[0] == own | near | away
+    assert links_of(spark, linked_tree, "EXCLUDE_ALL")[0] == own
+    assert links_of(spark, linked_tree, "EXCLUDE_ESCAPING")[0] == own | near
+    found, m = links_of(spark, linked_tree, "COLLAPSE_ESCAPING")
+    below_home = {"in/tree/deep/home/sub/a.txt": 1, "in/tree/deep/home/near": 1, "in/tree/deep/home/far": "in/tree/b.txt", "in/tree/deep/home/tree": "in/tree"}
+    copied = {"in/far": 2, "in/tree/b.txt": 2, "in/tree/deep/c.txt": 3, "in/tree/deep/back": "in/tree/b.txt"} | below_home
+    assert found == own | near | copied
+    assert {r["path"].removeprefix(f"{linked_tree}/") for r in m.dirs.collect()} >= {"in", "in/sub", "in/tree/deep", "in/tree/deep/home/sub"}
+    assert {r["path"] for r in m.files.where("runnable").collect()} == {f"{linked_tree}/in/far", f"{linked_tree}/in/tree/b.txt"}
+    assert links_of(spark, linked_tree, "COLLAPSE_ALL")[0] == own | {"in/near": 1} | copied
+    targets = {"out/b.txt": 2, "out/deep/c.txt": 3, "out/deep/back": "out/b.txt", "out/deep/home": "in"}
+    assert links_of(spark, linked_tree, "TRANSITIVE_INCLUDE_TARGETS")[0] == own | near | away | targets
+
+
+def test_sizes_in_words(spark):
+    want = {0: "0 B", 999: "999 B", 1000: "1 KB", 1500: "1.5 KB", 999_994: "999.99 KB", 999_999: "1 MB", 1_234_567: "1.23 MB", 10**15: "1 PB", 3 * 10**18: "3 EB"}
+    df = spark.createDataFrame([(k,) for k in want], "n long")
+    assert {r[0]: r[1] for r in df.select("n", content.human_size(df["n"])).collect()} == want
+
+
+def test_common_roots(spark):
+    def root(*paths):
+        df = spark.createDataFrame([(p, 1, 1) for p in paths], "path string, size long, mtime long")
+        return manifest.common_root(manifest.Manifest.of(df, style="abs" if paths[0][0] == "/" or ":" in paths[0] else "rel"))
+
+    assert [root("a.txt", "d/b.txt"), root("d/a", "d/e/b"), root("C:/a", "C:/d/b"), root("/x/a", "/y"), root("x/a")] == [".", "d", "C:/", "/", "x"]
+
+
+def test_closure_of_long_and_wide_graphs(spark):
+    long = spark.createDataFrame([(f"s{i}", f"s{i + 1}") for i in range(300)], "step string, depends_on string")
+    got = {r["name"]: r["depth"] for r in model.closure(long, spark.createDataFrame([("s100",)], "n string")).collect()}
+    assert got == {f"s{i}": i - 100 for i in range(100, 301)}
+    wide = [(f"n{i}_{x}", f"n{i + 1}_{y}") for i in range(24) for x in "ab" for y in "ab"]
+    assert model.closure(spark.createDataFrame(wide, "step string, depends_on string"), spark.createDataFrame([("n0_a",)], "n string")).count() == 49
+    with pytest.raises(model.ModelError, match="cycle"):
+        model.closure(spark.createDataFrame([("a", "b"), ("b", "a")], "step string, depends_on string"), spark.createDataFrame([("a",)], "n string"))
+
+
+@pytest.mark.parametrize("name", ["human_size", "job_summary", "dag_closure", "manifest_common_root"])
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("region", "nation", "orders", "documents"):
+        con.execute(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
+    want = con.execute(registry.ORACLES[name]).df()
+    got = registry.QUERIES[name](spark, "/root/testdata/sf0.001").toPandas()[list(want.columns)]
+    rows = lambda f: sorted(tuple(str(v) for v in r) for r in f.itertuples(index=False))
+    assert rows(got) == rows(want)
