@@ -23,11 +23,12 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles at 0.8 or more, that with the smallest id stays; rows without an id stay."""
+    """Of documents linked by five-word shingles at 0.8 or more, that with the smallest id stays; rows without an id stay. Of rows
+    that repeat an id and its text one stays; different texts under one id stay both."""
     found = ngram_join.ngram_components(docs, n=5, percent=80)
     firsts = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(firsts, "doc_id").select(docs.columns).dropDuplicates(["doc_id"])
-    return named.union(docs.where("doc_id is null").select(docs.columns))
+    named = docs.where("doc_id is not null").join(firsts, "doc_id").select(*docs.columns, F.xxhash64("text").alias(mark := "_text" + "_" * max(map(len, docs.columns))))
+    return named.dropDuplicates(["doc_id", mark]).select(docs.columns).union(docs.where("doc_id is null").select(docs.columns))
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
