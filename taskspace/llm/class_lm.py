@@ -3,11 +3,13 @@
 Tokens are the words ``[^\\x20\\x09-\\x0D]+`` of a text, A-Z lower-cased, and one end after them. Every word that occurs
 ``least`` times in training has a class. The ``vocab`` most frequent words, the core, are clustered by exchange on the driver
 (its input is bounded by vocab squared). Then each other word goes to the class that raises the bigram likelihood most to
-first order, by its pair counts with the classes of its neighbours, which stay sparse and distributed; this is repeated with
-the classes so found. Rarer words form one class of their own, which also stands for unseen words; the end is a class as well.
+first order, by its pair counts with the classes of its neighbours: the ``lexicon`` most frequent ones in passes that are
+repeated with the classes so found, the rest once. Rarer words form one class of their own, which also stands for unseen
+words; the end is a class as well.
 
-The driver and the tasks hold 64-bit hashes of the words with classes, about 30 bytes a word, and so grow with their number.
-Scores use exact counts of all words; those without a class come by a shuffled join of word hashes, each word and text once.
+The driver and the tasks hold the lexicon only, about 30 bytes a word. All other words are placed and looked up in the frame:
+tasks deal their hashes, packed, to ranges, which hand class and count back to the block of texts they came from. Words outside
+the lexicon are told apart by 64-bit hashes. Class transitions are counted over all training texts with all classes known.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import xxhash
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,12 +43,6 @@ def crc_remainder(doc_id: Column, mod: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % mod
 
 
-def word_key(word: bytes) -> int:
-    """The signed 64-bit hash that stands for a word in joins; the same as Spark's xxhash64 of the string."""
-    h = xxhash.xxh64_intdigest(word, 42)
-    return h - (1 << 64) if h >> 63 else h
-
-
 def count_words(texts: DataFrame) -> DataFrame:
     """(word, c) of a frame with a text column, counted in tasks before the shuffle."""
 
@@ -120,13 +116,17 @@ def count_pairs(ids: DataFrame, of: np.ndarray, size: int) -> DataFrame:
     return ids.mapInPandas(run, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c"))
 
 
+def placing(table: np.ndarray) -> np.ndarray:
+    """What a class from 2 on gains, by class pairs ``table``, for each neighbour on the right (first half) and left of a word."""
+    with_one = table + 1.0 / len(table)
+    logs = np.log(with_one)
+    return np.concatenate([logs.T - np.log(with_one.sum(1)), logs - np.log(with_one.sum(0))])[:, 2:]
+
+
 def place(ids: DataFrame, of: np.ndarray, core: int, table: np.ndarray) -> pd.DataFrame:
     """(row, class) of each listed word after the first ``core``: the class from 2 on that raises the bigram likelihood most
     to first order, given its neighbours' classes ``of`` and the class pairs ``table``. Equal ones: the first."""
-    shared, k = ids.sparkSession.sparkContext.broadcast(of), len(table)
-    with_one = table + 1.0 / k
-    logs = np.log(with_one)
-    weight = np.concatenate([logs.T - np.log(with_one.sum(1)), logs - np.log(with_one.sum(0))])[:, 2:]
+    shared, k, weight = ids.sparkSession.sparkContext.broadcast(of), len(table), placing(table)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for row, before in _runs(batches):
@@ -211,8 +211,10 @@ class Model:
     step: np.ndarray  #: log10 P(class | class before)
     n: int
     v: int
-    other_n: int  #: tokens of the class of other words, and how many words it has
+    other_n: int  #: tokens of the words that are not listed, and how many words those are
     other_v: int
+    counts: np.ndarray  #: how often each row of the arrays is
+    weight: np.ndarray  #: see placing()
 
 
 def _head(counts: DataFrame, most: int | None, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -236,6 +238,12 @@ def _head(counts: DataFrame, most: int | None, least: int) -> tuple[np.ndarray,
     return keys[order], c[order]
 
 
+def transitions(table: np.ndarray, strength: float = 5.0) -> np.ndarray:
+    """log10 P(class | class before) from pair counts, smoothed with ``strength`` tokens dealt as all classes are."""
+    prior = (table.sum(0) + 1) / (table.sum() + len(table))
+    return np.log10((table + strength * prior) / (table.sum(1, keepdims=True) + strength))
+
+
 def train(texts: DataFrame, counts: DataFrame, vocab: int, lexicon: int | None, classes: int, least: int = 1, passes: int = 2) -> Model:
     """Fit on ``texts`` (training documents only) and their word counts. An empty corpus gives a uniform model."""
     docs = texts.count()
@@ -267,9 +275,7 @@ def train(texts: DataFrame, counts: DataFrame, vocab: int, lexicon: int | None,
         again = count_pairs(ids, cls, classes).toPandas()
         table = np.bincount(again["pair"].to_numpy(np.int64), again["c"].to_numpy(np.int64), classes * classes).reshape(classes, classes)
     stored.drop()
-    prior = (table.sum(0) + 1) / (table.sum() + classes)
-    strength = 5.0
-    step = np.log10((table + strength * prior) / (table.sum(1, keepdims=True) + strength))
+    step = transitions(table)
     other_n, other_v = int(n - docs - c.sum()), int(v - (1 if docs else 0) - listed)
     cls = cls[:-1]
     mine = np.concatenate([[docs], c]).astype(np.float64)
@@ -278,60 +284,207 @@ def train(texts: DataFrame, counts: DataFrame, vocab: int, lexicon: int | None,
         emit = np.log10(mine / mass[cls])
     emit[0] = 0.0
     base = np.log10((mine + 1) / (n + v + 1))
-    return Model(words, cls, emit, base, step, n, v, other_n, other_v)
+    return Model(words, cls, emit, base, step, n, v, other_n, other_v, mine, placing(table))
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, base_score, score of every row of docs (doc_id, text, held_out)."""
+#: Texts whose words are dealt together, and bytes of text for which there is a range of hashes.
+BLOCK_TEXTS, RANGE_BYTES = 2000, 8 << 20
+
+
+def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(part of the batch, word hashes of its texts one after the other, where each text ends)."""
+    for first in range(0, batch.num_rows, BLOCK_TEXTS):
+        part = batch.slice(first, BLOCK_TEXTS)
+        found = [h for a in range(0, part.num_rows, 100) for h in word_hashes(utf8(part["text"].slice(a, 100).to_pylist()))]
+        yield part, np.concatenate(found), np.cumsum([len(h) for h in found])
+
+
+def _by_range(keys: np.ndarray, ranges: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(range, places in keys) of the ranges that have any."""
+    place = (((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(place, kind="stable")
+    edges = np.flatnonzero(np.diff(place[order], prepend=-1))
+    for a, z in zip(edges, np.append(edges, len(order))[1:], strict=True):
+        yield int(place[order[a]]), order[a:z]
+
+
+def _batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], names=list(kinds))
+
+
+def tail_words(texts: DataFrame, model: Model, ranges: int, least: int) -> DataFrame:
+    """(range, keys, counts, cls): for each range of hashes the training words outside the lexicon, sorted, packed in arrays, with
+    the class that their neighbours' classes speak for most; 1 for those below ``least``."""
+    shared, k = texts.sparkSession.sparkContext.broadcast(model), model.weight.shape[0] // 2
+    kinds = {"range": pa.int64(), "keys": pa.binary(), "slots": pa.binary()}
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            for _, hashes, ends in _blocks(batch):
+                rows = m.lexicon.rows(hashes)
+                cls = np.where(rows >= 0, m.cls[np.maximum(rows, 0)], 1).astype(np.uint16)
+                after, before = np.append(cls, np.uint16(0))[1:], np.append(np.uint16(0), cls)[:-1]
+                inner = ends[(ends > 0) & (ends < len(cls))]
+                after[np.append(inner, len(cls))[: len(cls)] - 1] = 0
+                before[inner] = 0
+                tail = np.flatnonzero(rows < 0)
+                slots = np.stack([after[tail], before[tail] + np.uint16(k)], 1)
+                yield _batch([(r, hashes[tail[at]].tobytes(), slots[at].tobytes()) for r, at in _by_range(hashes[tail], ranges)], kinds)
+
+    def choose(part: pd.DataFrame) -> pd.DataFrame:
+        weight = shared.value.weight
+        keys, which, c = np.unique(np.frombuffer(b"".join(part["keys"]), np.uint64), return_inverse=True, return_counts=True)
+        slots = np.frombuffer(b"".join(part["slots"]), np.uint16).reshape(-1, 2).astype(np.int64)
+        slots, starts = slots[np.argsort(which, kind="stable")], np.append(0, np.cumsum(c))
+        cls = np.ones(len(keys), np.uint16)
+        for first in range(0, len(keys), 2000):
+            own = c[first : first + 2000]
+            at = np.repeat(np.arange(len(own)) * 2 * k, own)[:, None] + slots[starts[first] : starts[first + len(own)]]
+            seen = np.bincount(at.ravel(), minlength=len(own) * 2 * k).reshape(-1, 2 * k)
+            cls[first : first + 2000] = np.where(own >= least, 2 + np.argmax(seen @ weight, 1), 1)
+        return pd.DataFrame({"range": [part["range"].iat[0]], "keys": [keys.tobytes()], "counts": [c.astype(np.int64).tobytes()], "cls": [cls.tobytes()]})
+
+    dealt = texts.select("text").mapInArrow(deal, "range long, keys binary, slots binary")
+    return dealt.groupBy("range").applyInPandas(choose, "range long, keys binary, counts binary, cls binary")
+
+
+RESOLVED = {"range": pa.int64(), "block": pa.int64(), "keys": pa.binary(), "at": pa.binary(), "counts": pa.binary(), "cls": pa.binary(), "ids": pa.list_(pa.string()), "held": pa.binary(), "ends": pa.binary(), "sums": pa.binary()}
+CHAINS = "doc_id string, held_out boolean, n_tokens long, n_known long, base double, logs double, chain binary"
+
+
+def chains(docs: DataFrame, model: Model, tail: DataFrame, ranges: int) -> DataFrame:
+    """For each text the classes of its words (packed), how many tokens training knows, the base score, and the sum of log10 of
+    the words' counts (and one more in the class of other words)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    schema = ", ".join(f"{n} {'long' if t == pa.int64() else 'binary' if t == pa.binary() else 'array<string>'}" for n, t in RESOLVED.items())
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, number = shared.value, TaskContext.get().partitionId() << 32
+        logs = np.log10(np.maximum(m.counts, 1))
+        for batch in batches:
+            for part, hashes, ends in _blocks(batch):
+                rows = m.lexicon.rows(hashes)
+                known = rows >= 0
+                cls = np.where(known, m.cls[np.maximum(rows, 0)], 1).astype(np.uint16)
+                tail_at = np.flatnonzero(~known).astype(np.uint32)
+                owner = np.searchsorted(ends, np.flatnonzero(known), "right")
+                sums = np.stack([np.bincount(owner, x, len(ends)) for x in (None, m.base[rows[known]], logs[rows[known]])])
+                own = (-1 - number, number, None, None, None, cls.tobytes(), part["doc_id"].to_pylist(), np.array(part["held_out"].to_pylist(), bool).tobytes(), ends.astype(np.int64).tobytes(), sums.astype(np.float64).tobytes())
+                keys = hashes[tail_at]
+                dealt = [(r, number, keys[at].tobytes(), tail_at[at].tobytes(), *[None] * 6) for r, at in _by_range(keys, ranges)]
+                yield _batch([own, *dealt], RESOLVED)
+                number += 1
+
+    def look(part: pd.DataFrame) -> pd.DataFrame:
+        if part["range"].iat[0] < 0:
+            return part
+        words, asked = part[part["block"].isna()], part[part["block"].notna()]
+        keys = np.frombuffer(b"".join(words["keys"]), np.uint64)
+        counts, cls = (np.append(np.frombuffer(b"".join(words[c]), t), t(x)) for c, t, x in (("counts", np.int64, 0), ("cls", np.uint16, 1)))
+        out = []
+        for _, r in asked.iterrows():
+            mine = np.frombuffer(r["keys"], np.uint64)
+            at = np.searchsorted(keys, mine)
+            if len(keys):
+                at = np.where(keys[np.minimum(at, len(keys) - 1)] == mine, at, len(keys))
+            out.append((r["range"], r["block"], None, r["at"], counts[at].tobytes(), cls[at].tobytes(), None, None, None, None))
+        return pd.DataFrame(out, columns=list(RESOLVED))
+
+    def join(part: pd.DataFrame) -> pd.DataFrame:
+        m = shared.value
+        own, rest = part[part["range"] < 0].iloc[0], part[part["range"] >= 0]
+        ends = np.frombuffer(own["ends"], np.int64)
+        chain, sums = np.frombuffer(own["cls"], np.uint16).copy(), np.frombuffer(own["sums"], np.float64).reshape(3, -1).copy()
+        at, c = np.frombuffer(b"".join(rest["at"]), np.uint32), np.frombuffer(b"".join(rest["counts"]), np.int64)
+        chain[at] = np.frombuffer(b"".join(rest["cls"]), np.uint16)
+        owner = np.searchsorted(ends, at, "right")
+        for i, x in enumerate((c > 0, np.log10((c + 1) / (m.n + m.v + 1)), np.log10(c + (chain[at] == 1)))):
+            sums[i] += np.bincount(owner, x, len(ends))
+        starts = np.append(0, ends[:-1])
+        packed = [chain[a:z].tobytes() for a, z in zip(starts, ends, strict=True)]
+        return pd.DataFrame({"doc_id": list(own["ids"]), "held_out": np.frombuffer(own["held"], bool), "n_tokens": ends - starts + 1, "n_known": sums[0].astype(np.int64) + (m.n > 0), "base": sums[1] + m.base[0], "logs": sums[2], "chain": packed})
+
+    dealt = docs.select(F.col("doc_id").cast("string"), "held_out", "text").mapInArrow(deal, schema)
+    return dealt.unionByName(tail, allowMissingColumns=True).groupBy("range").applyInPandas(look, schema).where("block is not null").groupBy("block").applyInPandas(join, CHAINS)
+
+
+def _steps(chain: bytes) -> np.ndarray:
+    """The classes of a text with the end on both sides."""
+    return np.concatenate([[0], np.frombuffer(chain, np.uint16), [0]]).astype(np.int64)
+
+
+def class_pairs(found: DataFrame, classes: int) -> np.ndarray:
+    """How often a class follows another in chains."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, uid = shared.value, (TaskContext.get().partitionId() << 36) if TaskContext.get() else 0
+        table = np.zeros(classes * classes, np.int64)
         for batch in batches:
             for first in range(0, len(batch), 500):
-                part = batch.iloc[first : first + 500]
-                out: list[tuple] = []
-                tails: list[np.ndarray] = []
-                texts = utf8(part["text"])
-                for doc_id, held, text, hashes in zip(part["doc_id"], part["held_out"], texts, word_hashes(texts), strict=True):
-                    uid += 1
-                    at = m.lexicon.rows(hashes)
-                    known = at >= 0
-                    classes = np.where(known, m.cls[np.maximum(at, 0)], 1)
-                    chain = np.concatenate([[0], classes, [0]])
-                    hit = at[known]
-                    lp = m.step[chain[:-1], chain[1:]].sum() + m.emit[hit].sum()
-                    base = m.base[hit].sum() + m.base[0]
-                    out.append((uid, doc_id, held, False, uid, 1, len(at) + 1, len(hit) + (m.n > 0), base, lp))
-                    tail = Counter(w for w, k in zip(tokens(text), known, strict=True) if not k) if len(hit) < len(at) else {}
-                    tails += [(uid, doc_id, held, True, word_key(w), c, 0, 0, 0.0, 0.0) for w, c in tail.items()]
-                yield pd.DataFrame(out + tails, columns=["uid", "doc_id", "held_out", "tail", "key", "tf", "n_tokens", "n_known", "base", "lp"])
+                row = np.concatenate([[0], *[_steps(c)[1:] for c in batch["chain"].iloc[first : first + 500]]])
+                table += np.bincount(row[:-1] * classes + row[1:], minlength=len(table))
+        at = np.flatnonzero(table)
+        yield pd.DataFrame({"pair": at, "c": table[at]})
+
+    got = found.select("chain").mapInPandas(run, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toPandas()
+    return np.bincount(got["pair"].to_numpy(np.int64), got["c"].to_numpy(np.int64), classes * classes).reshape(classes, classes)
+
+
+def class_masses(tail: DataFrame) -> dict[int, tuple[int, int]]:
+    """For each class the tokens and words that it has outside the lexicon."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for c, cls in zip(batch["counts"], batch["cls"], strict=True):
+                own = pd.DataFrame({"c": np.frombuffer(c, np.int64), "cls": np.frombuffer(cls, np.uint16).astype(np.int64)})
+                yield own.groupby("cls")["c"].agg(["sum", "count"]).reset_index().set_axis(["cls", "n", "v"], axis=1)
+
+    summed = tail.select("counts", "cls").mapInPandas(run, "cls long, n long, v long").groupBy("cls").agg(F.sum("n"), F.sum("v"))
+    return {r[0]: (r[1], r[2]) for r in summed.collect()}
+
+
+def score(docs: DataFrame, training: DataFrame, model: Model, least: int) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, base_score, score of every row of docs (doc_id, text, held_out)."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    ranges, classes = max(1, -(-size // RANGE_BYTES)), len(model.step)
+    tail = Stored(tail_words(training, model, ranges, least), release=True)
+    found = Stored(chains(docs, model, tail.df, ranges), release=True)
+    mass = np.bincount(model.cls, model.counts, classes)
+    other = 0, 0
+    for cls, (n, v) in class_masses(tail.df).items():
+        mass[cls] += n
+        other = (n, v) if cls == 1 else other
+    tail.drop()
+    logs = np.log10(np.maximum(mass, 1))
+    logs[0], logs[1] = 0.0, np.log10(sum(other) + 1)
+    step = transitions(class_pairs(found.df.where("not held_out"), classes))
+    shared = docs.sparkSession.sparkContext.broadcast((logs, step))
+
+    @F.pandas_udf("double")
+    def path(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        logs, step = shared.value
+        for part in parts:
+            yield pd.Series([step[row[:-1], row[1:]].sum() - logs[row].sum() for row in map(_steps, part)], dtype="float64")
 
     kind = dict(docs.dtypes)["doc_id"]
-    # ids go as text: pandas would make floats of integers beside nulls
-    rows = docs.select(F.col("doc_id").cast("string"), "held_out", "text").mapInPandas(run, "uid long, doc_id string, held_out boolean, tail boolean, key long, tf long, n_tokens long, n_known long, base double, lp double")
-    known = counts.select(F.xxhash64(F.col("word").cast("string")).alias("key"), F.col("c"))
-    joined = rows.join(known, "key", "left")
-    c = F.coalesce("c", F.lit(0)).cast("double")
-    own_base = F.when(F.col("tail"), F.col("tf") * F.log10((c + 1) / F.lit(float(model.n + model.v + 1)))).otherwise(F.col("base"))
-    own_lp = F.when(F.col("tail"), F.col("tf") * F.log10((c + 1) / F.lit(float(model.other_n + model.other_v + 1)))).otherwise(F.col("lp"))
-    own_known = F.when(F.col("tail"), F.when(F.col("c").isNotNull(), F.col("tf")).otherwise(0)).otherwise(F.col("n_known"))
-    summed = joined.groupBy("uid", "doc_id", "held_out").agg(F.sum("n_tokens").alias("n_tokens"), F.sum(own_known).alias("n_known"), F.sum(own_base).alias("base_score"), F.sum(own_lp).alias("score"))
-    return summed.drop("uid").withColumn("doc_id", F.col("doc_id").cast(kind))
-
-
-def class_lm_scores(docs: DataFrame, held_out: Column, vocab: int = 1024, lexicon: int | None = None, classes: int = 64, least: int = 3) -> DataFrame:
+    return found.df.select(F.col("doc_id").cast(kind), "held_out", "n_tokens", "n_known", F.col("base").alias("base_score"), (F.col("logs") + path("chain")).alias("score"))
+
+
+def class_lm_scores(docs: DataFrame, held_out: Column, vocab: int = 1024, lexicon: int = 1 << 16, classes: int = 64, least: int = 3) -> DataFrame:
     """Score every document (doc_id, text) with a model learnt from those where ``held_out`` is false.
 
-    Every word with ``least`` occurrences in training has a class, or with ``lexicon`` only about so many most frequent ones.
+    Every word with ``least`` occurrences in training has a class; ``lexicon`` says how many are held by each task.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigram) and score (class bigram), both
-    log10 of the text's probability. Null and empty texts are one end token. Repeated rows are scored each. Without any
-    training document every word is unknown and the model is uniform.
+    log10 of the text's probability. Null and empty texts are one end token. Repeated rows are scored each; a null mark is
+    false. Texts of any length are scored whole. Without any training document every word is unknown and the model is uniform.
+    docs is read several times and must give the same rows in the same order (a stored table, not a sample).
     """
-    marked = docs.select("doc_id", "text", held_out.alias("held_out"))
+    marked = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
     training = marked.where(~F.col("held_out"))
-    counts = Stored(count_words(training)).df
-    model = train(training, counts, vocab, lexicon, classes, least)
-    scored = score(marked, model, counts)
+    counts = Stored(count_words(training))
+    model = train(training, counts.df, vocab, lexicon, classes, least)
+    counts.drop()
+    scored = score(marked, training, model, least)
     return scored.withColumn("train_tokens", F.lit(model.n).cast("long"))
