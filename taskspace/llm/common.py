@@ -63,6 +63,14 @@ def cut(df: DataFrame, release: bool = False) -> DataFrame:
     return Stored(df, release).df
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names for internal columns: the given ones behind more underscores than any column of the frame begins with."""
+    mark = "_"
+    while any(c.startswith(mark) for c in df.columns):
+        mark += "_"
+    return [mark + n for n in names]
+
+
 def splitmix(x: np.ndarray) -> np.ndarray:
     """The finaliser of SplitMix64 over uint64 values."""
     x = x.astype(np.uint64, copy=True)

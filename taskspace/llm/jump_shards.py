@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import unused
+
 #: Fixed value: the multiplier of the published algorithm.
 MULTIPLIER = 2862933555777941757
 _LOW, _HIGH = MULTIPLIER & 0xFFFFFFFF, MULTIPLIER >> 32
@@ -75,11 +77,11 @@ def with_slots(df: DataFrame, shard: str, order: list[str], buckets: int, into:
     A shard is split into hashed buckets of ``order``; a small table of bucket sizes gives each bucket its offset and a
     window numbers rows inside a bucket, so no task holds a shard. Rows equal in all of ``order`` get their slots in any order.
     """
-    spread = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    sizes = spread.groupBy(shard, "_bucket").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(shard).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select(F.col(shard).alias("_shard"), F.col("_bucket").alias("_b"), before.alias("_before"))
-    own = F.row_number().over(Window.partitionBy(shard, "_bucket").orderBy(*order)) - 1
-    numbered = spread.withColumn("_own", own)
-    joined = numbered.join(offsets, (F.col(shard) == F.col("_shard")) & (F.col("_bucket") == F.col("_b")), "left")
-    return joined.withColumn(into, (F.col("_own") + F.col("_before")).cast("long")).drop("_bucket", "_own", "_shard", "_b", "_before")
+    bucket, rows, of, b, before, own = unused(df, "bucket", "rows", "shard", "b", "before", "own")
+    spread = df.withColumn(bucket, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    sizes = spread.groupBy(shard, bucket).agg(F.count("*").alias(rows))
+    so_far = F.coalesce(F.sum(rows).over(Window.partitionBy(shard).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select(F.col(shard).alias(of), F.col(bucket).alias(b), so_far.alias(before))
+    numbered = spread.withColumn(own, F.row_number().over(Window.partitionBy(shard, bucket).orderBy(*order)) - 1)
+    joined = numbered.join(offsets, (F.col(shard) == F.col(of)) & (F.col(bucket) == F.col(b)), "left")
+    return joined.withColumn(into, (F.col(own) + F.col(before)).cast("long")).drop(bucket, own, of, b, before)

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import multipliers, splitmix
+from .common import multipliers, splitmix, unused
 
 ORDERS = 3
 UNKNOWN = "und"
@@ -194,8 +194,9 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
 
     letters = has_letter(F.col(text))
     found = of(F.when(letters, F.col(text)))
-    out = docs.withColumn("_p", found)
-    return out.withColumn("lang_pred", F.when(letters, F.col("_p.lang_pred")).otherwise(UNKNOWN)).withColumn("score", F.when(letters, F.col("_p.score")).otherwise(1.0)).drop("_p")
+    (p,) = unused(docs, "p")
+    out = docs.withColumn(p, found)
+    return out.withColumn("lang_pred", F.when(letters, F.col(f"{p}.lang_pred")).otherwise(UNKNOWN)).withColumn("score", F.when(letters, F.col(f"{p}.score")).otherwise(1.0)).drop(p)
 
 
 def labelled_rows(docs: DataFrame, learnable: Column) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Mapping
 
 import numpy as np
@@ -10,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored
+from .common import Stored, unused
 
 #: Cells of the marginals' cross table up to which the driver fits them; more are fitted by aggregations.
 DRIVER_CELLS = 200_000
@@ -71,16 +70,28 @@ def rake(cells: pd.DataFrame, targets: Mapping[str, Mapping], sweeps: int = 50,
     return w / w.sum() if w.sum() else w
 
 
-def rake_frame(cells: DataFrame, targets: Mapping[str, DataFrame], sweeps: int = 20) -> DataFrame:
-    """The same fit by aggregations, for cross tables that no driver should hold: cells with ``weight``. Targets are frames of
-    (the dimension, ``aim``)."""
-    at = Stored(cells.withColumn("weight", F.col("tokens").cast("double")))
-    for _, d in itertools.product(range(sweeps), targets):
-        sums = at.df.groupBy(d).agg(F.sum("weight").alias("_now")).where("_now > 0").join(targets[d], d)
-        scaled = at.df.join(sums, d).withColumn("weight", F.col("weight") * F.col("aim") / F.col("_now")).select(at.df.columns)
-        new = Stored(scaled)
-        at.drop()
-        at = new
+def rake_frame(cells: DataFrame, targets: Mapping[str, DataFrame], sweeps: int = 50, tolerance: float = 1e-9) -> DataFrame:
+    """The same fit, with the same stop, by aggregations, for cross tables that no driver should hold: cells with ``weight``.
+    Targets are frames of (the dimension, ``aim``)."""
+    aimed = cells
+    for d, t in targets.items():
+        aimed = aimed.join(t.select(d), d, "left_semi")
+    at = Stored(aimed.select(*cells.columns, F.col("tokens").cast("double").alias("weight")))
+    for _ in range(sweeps):
+        worst = 0.0
+        for d, t in targets.items():
+            sums = Stored(at.df.groupBy(d).agg(F.sum("weight").alias("now")).where("now > 0").join(t, d))
+            aims, held = sums.df.agg(F.sum("aim"), F.sum("now")).first()
+            if not aims:
+                return at.df.where(F.lit(False))
+            share, aim = F.col("now") / held, F.col("aim") / aims
+            worst = max(worst, sums.df.agg(F.max(F.abs(share - aim))).first()[0])
+            new = Stored(at.df.join(sums.df.select(d, (aim / share).alias("factor")), d).withColumn("weight", F.col("weight") * F.col("factor")).select(at.df.columns))
+            for old in (sums, at):
+                old.drop()
+            at = new
+        if worst < tolerance:
+            break
     return at.df
 
 
@@ -132,14 +143,15 @@ def mixed(docs: DataFrame, keep: float = 0.5, powers: Mapping[str, float] | None
         all_tokens = by_cell.agg(F.sum("tokens")).first()[0]
         total, high = raked.agg(F.sum("weight"), F.max(F.col("tokens") / F.col("weight"))).first()
         low, ratio = 0.0, F.col("weight") / F.col("tokens")
-        for _ in range(40):
+        for _ in range(100):
             mid = (low + high) / 2
             got = raked.agg(F.sum(F.least(F.lit(1.0), ratio * mid) * F.col("tokens"))).first()[0]
             low, high = (mid, high) if got < keep * all_tokens else (low, mid)
         rates = raked.select(*dims, (F.col("weight") / total).alias("weight"), F.least(F.lit(1.0), ratio * high).alias("rate"))
-    found = rates.select(*[F.col(d).alias(f"_{d}") for d in dims], "weight", "rate")
-    on = [F.coalesce(F.col(d).cast("string"), F.lit(NULL)) == F.col(f"_{d}") for d in dims]
-    out = full.join(found, on[0] & on[1] & on[2], "left").drop(*[f"_{d}" for d in dims])
+    cell = unused(full, *dims)
+    found = rates.select(*[F.col(d).alias(c) for d, c in zip(dims, cell, strict=True)], "weight", "rate")
+    on = [F.coalesce(F.col(d).cast("string"), F.lit(NULL)) == F.col(c) for d, c in zip(dims, cell, strict=True)]
+    out = full.join(found, on[0] & on[1] & on[2], "left").drop(*cell)
     none = F.col("n_tokens") == 0
     rate = F.when(none, 0.0).otherwise(F.coalesce("rate", F.lit(0.0)))
     return out.withColumn("weight", F.when(none, 0.0).otherwise(F.coalesce("weight", F.lit(0.0)))).withColumn("rate", rate).withColumn("sampled", uniform(F.col("doc_id"), seed) < F.col("rate"))

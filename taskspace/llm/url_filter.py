@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A block is eight words of 64 bits; a key sets one bit in each.
 WORDS = 8
@@ -86,6 +88,7 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     exact = asked.join(listed.withColumn("key", _key(F.col("r_host"), F.col("r_path"))), "key")
     rule = F.concat("r_host", "r_path")
     best = exact.groupBy("host", "path").agg(F.max(F.struct(F.length(rule), F.length("r_host"), rule.alias("rule"), F.col("r_verdict").alias("verdict"))).alias("best"))
-    found = best.select(F.col("host").alias("_h"), F.col("path").alias("_p"), F.col("best.rule").alias("rule"), F.col("best.verdict").alias("_v"))
-    joined = located.join(found, (F.col("host") == F.col("_h")) & (F.col("path") == F.col("_p")), "left")
-    return joined.withColumn("verdict", F.coalesce("_v", F.lit(default))).drop("_h", "_p", "_v")
+    h, p, v = unused(located, "h", "p", "v")
+    found = best.select(F.col("host").alias(h), F.col("path").alias(p), F.col("best.rule").alias("rule"), F.col("best.verdict").alias(v))
+    joined = located.join(found, (F.col("host") == F.col(h)) & (F.col("path") == F.col(p)), "left")
+    return joined.withColumn("verdict", F.coalesce(v, F.lit(default))).drop(h, p, v)

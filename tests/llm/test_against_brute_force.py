@@ -521,3 +521,70 @@ def test_listed_tokens_of_similar_sets_meet(percent):
             _, e, listed = ngram_join.prefix_sizes(len(s), percent)
             kept.append(set(sorted(sorted(s)[:e], key=lambda t: (df[t], t))[:listed]))
         assert kept[0] & kept[1]
+
+
+def test_class_lm_score_by_hand(spark):
+    """Every word has a class: the score is the sum of log10 P(class | class before) + log10 P(word | class), token by token."""
+    rng = random.Random(21)
+    rows = [(d, " ".join(f"w{min(rng.randrange(1, 400), rng.randrange(1, 400))}" for _ in range(rng.randrange(60)))) for d in range(120)] + [(500, None), (501, "neverseen w1"), (500, "w1 w2")]
+    df = docs_of(spark, rows)
+    out = rng.randrange(5)
+    marked = df.withColumn("held_out", df["doc_id"] % 5 == out)
+    got = class_lm.class_lm_scores(df, df["doc_id"] % 5 == out, vocab=30, lexicon=60, classes=8).collect()
+    training = marked.where("not held_out")
+    counts = class_lm.count_words(training)
+    model = class_lm.train(training, counts, 30, 60, 8, 3)
+    c = {bytes(r["word"]): r["c"] for r in counts.collect()}
+    tail = {}
+    for r in class_lm.tail_words(training, model, 3, 3).collect():
+        tail |= dict(zip(np.frombuffer(r["keys"], np.uint64).tolist(), zip(np.frombuffer(r["counts"], np.int64).tolist(), np.frombuffer(r["cls"], np.uint16).tolist())))
+    cls = {}
+    for w, n in c.items():
+        h = class_lm.word_hashes([w])[0]
+        at = int(model.lexicon.rows(h)[0])
+        cls[w] = int(model.cls[at]) if at > 0 else tail[int(h[0])][1]
+        assert at > 0 or tail[int(h[0])][0] == n
+        assert (cls[w] == 1) == (n < 3)
+    assert len(tail) == len(c) - len(model.lexicon) > 50
+    mass, others = collections.Counter(), sum(x == 1 for x in cls.values())
+    for w, n in c.items():
+        mass[cls[w]] += n
+    table = np.zeros((8, 8))
+    chain = lambda t: [0, *(cls.get(w, 1) for w in words_of(t)), 0]
+    for d, t in rows:
+        if d % 5 != out:
+            for a, b in zip(chain(t)[:-1], chain(t)[1:]):
+                table[a, b] += 1
+    prior = (table.sum(0) + 1) / (table.sum() + 8)
+    step = np.log10((table + 5 * prior) / (table.sum(1, keepdims=True) + 5))
+    want = []
+    for d, t in rows:
+        total = sum(step[a, b] for a, b in zip(chain(t)[:-1], chain(t)[1:]))
+        for w in words_of(t):
+            total += math.log10(c[w] / mass[cls[w]]) if cls.get(w, 1) > 1 else math.log10((c.get(w, 0) + 1) / (mass[1] + others + 1))
+        want.append((d, round(total, 6)))
+    assert sorted((r["doc_id"], round(r["score"], 6)) for r in got) == sorted(want)
+
+
+def test_columns_that_clash_with_internal_names(spark):
+    names = ["_h", "_p", "_v", "__h", "_lang", "_source", "_topic", "_shard", "_b", "_bucket", "_own", "_before", "_rows"]
+    extra = [F.lit(i).alias(n) for i, n in enumerate(names)]
+    docs = spark.createDataFrame([(1, "some words here", "en", "a"), (2, "noch mehr", None, None), (2, "noch mehr", None, None), (3, "x " * 50_000, "en", "a"), (4, None, "de", "b")], "doc_id long, text string, lang string, source string").select("*", *extra)
+    rules = spark.createDataFrame(queries.URL_RULES, "host string, path string, verdict string")
+    pages = docs.withColumn("url", F.lit("http://a.org/x"))
+    for out in (url_filter.judge(pages, rules), mix.mixed(docs), jump_shards.with_slots(jump_shards.assign_shards(docs, "doc_id", 3), "shard", ["doc_id"], 4), language_id.identify(docs, F.lit(True))):
+        assert out.count() == 5 and set(names) < set(out.columns)
+        assert [tuple(r) for r in out.select(*names).distinct().collect()] == [tuple(range(len(names)))]
+
+
+def test_raking_in_frames_is_the_driver_s(spark):
+    rng = random.Random(8)
+    cells = [(f"s{i}", f"l{j}", f"t{k}", rng.randrange(1, 500)) for i in range(4) for j in range(3) for k in range(5) if rng.random() < 0.8]
+    frame = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
+    aims = {"source": {f"s{i}": 1.0 + i for i in range(4)}, "lang": {f"l{i}": 1.0 for i in range(3)}, "topic": {f"t{i}": 2.0 for i in range(4)}}
+    table = frame.toPandas()
+    by_hand = dict(zip(zip(table["source"], table["lang"], table["topic"]), mix.rake(table, aims)))
+    got = mix.rake_frame(frame, {d: spark.createDataFrame(list(t.items()), f"{d} string, aim double") for d, t in aims.items()}).collect()
+    total = sum(r["weight"] for r in got)
+    assert all(abs(r["weight"] / total - by_hand[r["source"], r["lang"], r["topic"]]) < 1e-6 for r in got)
+    assert sum(x > 0 for x in by_hand.values()) == len(got)
