@@ -507,7 +507,8 @@ def test_language_cut_is_above_chance(spark, sf, monkeypatch):
 
 @pytest.mark.parametrize("percent", [50, 80, 90, 100])
 def test_listed_tokens_of_similar_sets_meet(percent):
-    """The rarest ``listed`` of the tokens least by hash have one in common, for sets at the very threshold."""
+    """The first p tokens from rare to frequent have one in common whose ranks leave room for what must be shared, and neither the
+    further orders nor the parities rule the pair out, for sets at the very threshold."""
     rng = random.Random(6)
     for _ in range(400):
         common = rng.randrange(1, 60)
@@ -516,11 +517,16 @@ def test_listed_tokens_of_similar_sets_meet(percent):
         tokens = rng.sample(range(1, 10**6), common + apart)
         x, y = set(tokens[: common + left]), set(tokens[:common] + tokens[common + left :])
         df = {t: rng.randrange(1, 5) for t in tokens}
+        need = -(-(len(x) + len(y)) * percent // (100 + percent))
         kept = []
         for s in (x, y):
-            _, e, listed = ngram_join.prefix_sizes(len(s), percent)
-            kept.append(set(sorted(sorted(s)[:e], key=lambda t: (df[t], t))[:listed]))
+            ranked = sorted(s, key=lambda t: (df[t], t))[: ngram_join.prefix_size(len(s), percent)]
+            kept.append({t for rank, t in enumerate(ranked) if len(s) - rank >= need})
         assert kept[0] & kept[1]
+        a, b = (ngram_join.splitmix(np.array(sorted(s), np.uint64)) for s in (x, y))
+        keys, bits = [ngram_join.order_keys(s, percent) for s in (a, b)], [ngram_join.parities(s) for s in (a, b)]
+        assert ngram_join.differences(*bits) <= apart
+        assert ngram_join.possible(len(a), len(b), *keys, *bits, percent)
 
 
 def test_class_lm_score_by_hand(spark):
