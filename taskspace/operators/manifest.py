@@ -80,8 +80,12 @@ def hashed(files: DataFrame) -> bool | None:
 
 
 # -- paths ------------------------------------------------------------------------------------------------------------
+#: How absolute paths begin: a root, a share, or a drive with its root.
+ABSOLUTE = r"^(/|\\\\|[A-Za-z]:[\\/])"
+
+
 def is_absolute(p: Column) -> Column:
-    return p.rlike(r"^(/|\\\\|[A-Za-z]:[\\/])")
+    return p.rlike(ABSOLUTE)
 
 
 def normalise(p: Column) -> Column:
@@ -477,9 +481,15 @@ def check_roots(roots: Sequence[str]) -> None:
 
 
 def partition(m: Manifest, roots: Sequence[str] = (), referenced: Sequence[str] = (), policy: str = "COLLAPSE_ESCAPING") -> list[tuple[str, Manifest]]:
-    """A manifest for each root: the given ones in order, then automatic ones for what they leave, sorted."""
+    """A manifest for each root: the given ones in order, then automatic ones for what they leave, sorted. Roots and referenced
+    paths must be absolute or relative as the manifest's paths are; an empty manifest takes either."""
     if policy not in POLICIES[:4]:
         raise ManifestError(f"symlink_policy {policy} is not supported for partition")
+    named = [*roots, *referenced]
+    style = m.files.select("path").union(m.dirs.select("path")).select(is_absolute(F.col("path"))).first() if named else None
+    for p in named if style else ():
+        if bool(re.match(ABSOLUTE, p)) != style[0]:
+            raise ManifestError(f"'{p}' is {'relative' if style[0] else 'absolute'}, but the manifest's paths aren't")
     given = [normalise_text(r) for r in roots]
     check_roots(given)
     tops = m.files.select(parent_of(F.col("path")).alias("path")).union(m.dirs.select("path")).distinct()

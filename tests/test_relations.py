@@ -515,3 +515,13 @@ def test_queries_equal_their_sql(spark, name):
     got = registry.QUERIES[name](spark, "/root/testdata/sf0.001").toPandas()[list(want.columns)]
     rows = lambda f: sorted(tuple(str(v) for v in r) for r in f.itertuples(index=False))
     assert rows(got) == rows(want)
+
+
+def test_partition_wants_paths_of_the_manifest_s_style(spark):
+    def of(*paths):
+        return Manifest.of(spark.createDataFrame([(p, 1, 1) for p in paths], "path string, size long, mtime long"), style="abs" if paths and paths[0][0] == "/" else "rel")
+
+    for m, options in ((of("a/b"), {"roots": ["/a"]}), (of("/a/b"), {"roots": ["a"]}), (of("/a/b"), {"referenced": ["c"]}), (of("a/b"), {"referenced": ["C:/c"]})):
+        with pytest.raises(ManifestError, match="aren't"):
+            manifest.partition(m, **options)
+    assert [r for r, _ in manifest.partition(of("/a/b"), ["/a"], ["/c/d"])] == ["/a", "/c/d"]
