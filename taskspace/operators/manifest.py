@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import shared_dir
+
 FILES = T.StructType([T.StructField("path", T.StringType()), T.StructField("hash", T.StringType()), T.StructField("size", T.LongType()), T.StructField("mtime", T.LongType()), T.StructField("chunk_hashes", T.ArrayType(T.StringType())), T.StructField("symlink_target", T.StringType()), T.StructField("runnable", T.BooleanType()), T.StructField("deleted", T.BooleanType())])
 DIRS = T.StructType([T.StructField("path", T.StringType()), T.StructField("deleted", T.BooleanType())])
 #: Hash one chunk a file, and the default chunk of 256 MiB.
@@ -233,11 +235,7 @@ def ordered_dirs(dirs: DataFrame) -> DataFrame:
 # -- compose ----------------------------------------------------------------------------------------------------------
 def _cut(df: DataFrame) -> DataFrame:
     """End a lineage that grows with each diff, in the folder that all executors share."""
-    spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="taskspace-"))
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 

@@ -12,6 +12,7 @@ from ..functions import paths
 from ..operators import content, manifest, model, space
 from ..operators.manifest import Manifest
 from ..ranges import RangeExpr
+from ..session import shared_dir
 from ..streaming import directives
 from . import compiler
 
@@ -470,11 +471,7 @@ def directive_stream(spark, sf):
     """The same fold as a stream over files of lines, in the folder that driver and executors share."""
     import uuid
 
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="taskspace-"))
-    root = f"{(spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     event_lines(spark, sf).write.parquet(f"{root}/in")
     stream = spark.readStream.schema("session_id string, seq long, line string").parquet(f"{root}/in")
     directives.run_available(directives.status_stream(stream), f"{root}/out", f"{root}/state")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -21,3 +23,16 @@ def require_ansi(spark: SparkSession) -> None:
     """The expression compiler's errors rely on ANSI mode; without it overflow would wrap silently."""
     if spark.conf.get("spark.sql.ansi.enabled", "true") != "true":
         raise RuntimeError("spark.sql.ansi.enabled must be true")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a local session gets a
+    temporary one; on a cluster that is an error, as each machine would write to its own disk."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="taskspace-"))
+        found = context.getCheckpointDir()
+    return found.rstrip("/")
