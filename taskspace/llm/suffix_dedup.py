@@ -179,6 +179,33 @@ def _sorted_buckets(ranged: DataFrame, length: int) -> DataFrame:
 BUCKET = 100_000
 #: Anchors with more different blocks than this have their windows partitioned one by one.
 CROWD = 1000
+#: Rows of one anchor are dealt into so many parts where they are joined; a long has a bit for each.
+SALTS = 63
+#: Buckets whose ends meet in one task.
+ENDS = 1 << 14
+
+
+def _salted(rows: DataFrame, *place: str) -> DataFrame:
+    """Add ``salt``, the part of its anchor that a row belongs to, decided by its place."""
+    return rows.withColumn("salt", F.pmod(F.xxhash64(*place), F.lit(SALTS)).cast("int"))
+
+
+def _counted(salted: DataFrame, least: int) -> DataFrame:
+    """anchor, salt, n: a row for each part that an anchor with at least ``least`` rows has. Counts and parts are combined before
+    the shuffle, so an anchor that a third of all rows name is a row a task."""
+    counts = salted.groupBy("anchor").agg(F.count("*").alias("n"), F.bit_or(F.expr("shiftleft(1L, salt)")).alias("parts")).where(F.col("n") >= least)
+    taken = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.getbit("parts", i) == 1)
+    return counts.select("anchor", "n", F.explode(taken).alias("salt"))
+
+
+def _across(ends: DataFrame) -> DataFrame:
+    """Add ``previous``, the tail of the bucket before that has any, to rows (bucket, head, tail), of ENDS buckets at a time:
+    only the last tail of each such run of buckets is ordered in one task."""
+    runs = ends.withColumn("run", F.floor(F.col("bucket") / ENDS))
+    last = runs.groupBy("run").agg(F.max_by("tail", "bucket").alias("tail"))
+    before = last.select("run", F.lag("tail").over(Window.orderBy("run")).alias("earlier"))
+    inside = F.lag("tail").over(Window.partitionBy("run").orderBy("bucket"))
+    return runs.withColumn("inside", inside).join(before, "run").withColumn("previous", F.coalesce("inside", "earlier"))
 
 
 def _edge_bytes(texts: DataFrame, edges: DataFrame, length: int, seed: int) -> DataFrame:
@@ -206,15 +233,17 @@ def repeated_windows(texts: DataFrame, length: int, seed: int) -> DataFrame:
     if length - seed + 1 > 255:
         raise ValueError("length may exceed seed by 254 bytes at most")
     every = Stored(_text_blocks(texts, length, seed))
-    often = every.df.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor").hint("shuffle_hash")
-    kept = Stored(every.df.join(often, "anchor"), release=True)
+    dealt = _salted(every.df, "doc_id", "sub", "at")
+    often = _counted(dealt, 2).select("anchor", "salt").hint("shuffle_hash")
+    kept = Stored(dealt.join(often, ["anchor", "salt"]).drop("salt"), release=True)
     again = kept.df
     every.drop()
     by_bytes = Stored(again.groupBy("anchor", "digest").agg(F.min(F.struct("doc_id", "sub", "at")).alias("rep"), F.count("*").alias("n")), release=True)
     twice = by_bytes.df.where("n > 1").select("anchor", "digest", "rep")
     copies = again.join(twice, ["anchor", "digest"]).where(~F.struct("doc_id", "sub", "at").eqNullSafe(F.col("rep"))).select("doc_id", "sub", "at")
-    several = by_bytes.df.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor", (F.col("k") > CROWD).alias("crowd"))
-    edges = by_bytes.df.join(several, "anchor").select("rep.*", "crowd")
+    different = _salted(by_bytes.df, "digest")
+    several = _counted(different, 2).select("anchor", "salt", (F.col("n") > CROWD).alias("crowd"))
+    edges = different.join(several, ["anchor", "salt"]).select("rep.*", "crowd")
     near = Stored(_edge_bytes(texts, edges, length, seed), release=True)
     wanted = near.df
     # windows of equal bytes share the bytes of their anchor, so a bucket of whole leads needs no neighbour
@@ -233,8 +262,7 @@ def repeated_windows(texts: DataFrame, length: int, seed: int) -> DataFrame:
         # one row a bucket: a bucket's first suffix against the last of the bucket before it that has any
         head, tail = F.when(F.col("kind") == 1, F.struct("window", "doc_id", "sub", "at")), F.when(F.col("kind") == 2, F.col("window"))
         ends = ordered.where("kind > 0").groupBy("bucket").agg(F.max(head).alias("head"), F.max(tail).alias("tail"))
-        before = ends.withColumn("previous", F.lag("tail").over(Window.orderBy("bucket")))
-        across = before.where("previous = head.window").select("head.doc_id", "head.sub", "head.at")
+        across = _across(ends).where("previous = head.window").select("head.doc_id", "head.sub", "head.at")
         found = found.union(ordered.where("kind = 0").select(names)).union(across)
     single = found.select("doc_id", "sub", F.col("at").alias("first"), F.lit(1).alias("windows"))
     runs = copies.select("doc_id", "sub", F.shiftright("at", 16).cast("int").alias("first"), F.col("at").bitwiseAND(F.lit(0xFF)).cast("int").alias("windows"))
