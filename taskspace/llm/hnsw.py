@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, splitmix
@@ -20,7 +20,7 @@ from .common import cut, splitmix
 #: Distinct vectors in a shard, about; a group of that size is what one task holds.
 SHARD_ROWS = 8192
 #: Query vectors that are searched together in one task.
-QUERY_BLOCK = 1024
+QUERY_BLOCK = 8192
 
 
 @dataclass
@@ -192,14 +192,14 @@ def usable(v: Column) -> Column:
     return v.isNotNull() & F.forall(v, good) & F.exists(v, lambda c: F.coalesce(c, F.lit(0)) != 0)
 
 
-def _least_ids(rows: DataFrame, key: str, id_: str, k: int) -> DataFrame:
+def _least_ids(rows: DataFrame, key: list[str], id_: str, k: int) -> DataFrame:
     """For each key its k smallest ids. Groups are taken by ranges of ids first, so that no group grows with the table."""
-    at = rows.select(key, F.col(id_).alias("_id"), F.array(F.col(id_)).alias("ids"))
+    at = rows.select(*key, F.col(id_).alias("_id"), F.array(F.col(id_)).alias("ids"))
     for bits in (12, 24, None):
-        by = [key] if bits is None else [key, F.shiftright("_id", bits).alias("_r")]
+        by = key if bits is None else [*key, F.shiftright("_id", bits).alias("_r")]
         at = at.groupBy(*by).agg(F.slice(F.sort_array(F.flatten(F.collect_list("ids"))), 1, k).alias("ids"))
-        at = at.select(key, F.element_at("ids", 1).alias("_id"), "ids")
-    return at.select(key, "ids")
+        at = at.select(*key, F.element_at("ids", 1).alias("_id"), "ids")
+    return at.select(*key, "ids")
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_: str = "vec_id", vector: str = "embedding", m: int = 16, ef: int = 128, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -208,47 +208,54 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_: str = "vec_i
     Returns query_id, rank (from 1), the neighbour's ``id_`` and score. Every usable row but the query's own is a candidate;
     ties go to the smaller id; fewer candidates give fewer rows. Vectors that are null, zero, or hold null or non-finite
     components take no part; vectors of different lengths are never compared. Equal vectors are one node of a graph and
-    are named by their k + 1 smallest ids, of which no answer can hold more. Ids are taken to be unique; a null id takes no part.
+    are named by their k + 1 smallest ids, of which no answer can hold more; vectors are told apart by 128 bits of hashes. Of
+    all shards' answers a query's k + 1 best nodes are kept before their ids are listed. Ids are taken to be unique; a null id takes no part.
     """
-    rows = cut(vectors.where(usable(F.col(vector)) & F.col(id_).isNotNull()).select(F.col(id_).alias("id"), F.col(vector).alias("v"), F.coalesce(is_query, F.lit(False)).alias("ask")).withColumn("node", F.xxhash64("v")))
-    nodes = cut(rows.groupBy("node").agg(F.first("v").alias("v"), F.max("ask").alias("ask")))
+    rows = cut(vectors.where(usable(F.col(vector)) & F.col(id_).isNotNull()).select(F.col(id_).alias("id"), F.col(vector).alias("v"), F.coalesce(is_query, F.lit(False)).alias("ask")).withColumn("node", F.xxhash64("v")).withColumn("twin", F.xxhash64(F.reverse("v"), F.lit("twin"))))
+    same = ["node", "twin"]
+    nodes = cut(rows.groupBy(*same).agg(F.first("v").alias("v"), F.max("ask").alias("ask")))
     shards = max(1, -(-nodes.count() // shard_rows))
     placed = nodes.withColumn("shard", F.pmod(F.col("node"), F.lit(shards)).cast("int")).withColumn("dim", F.size("v"))
     asked = nodes.where("ask")
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     block = F.pmod(F.shiftright("node", 7), F.lit(blocks)).cast("int")
     def index_shard(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("node", kind="stable").reset_index(drop=True)
+        part = part.sort_values(same, kind="stable").reset_index(drop=True)
         graph = build(np.stack(part["v"].to_numpy()).astype(np.float32), m)
         flat = np.hstack(graph.layers).astype(np.int32)
         return part.assign(number=np.arange(len(part), dtype=np.int32), entry=graph.entry, layers=len(graph.layers), links=list(flat))
 
     kind = dict(vectors.dtypes)[vector]
-    graphs = cut(placed.select("dim", "shard", "node", "v").groupBy("dim", "shard").applyInPandas(index_shard, f"dim int, shard int, node long, v {kind}, number int, entry int, layers int, links array<int>"))
+    graphs = cut(placed.select("dim", "shard", "node", "twin", "v").groupBy("dim", "shard").applyInPandas(index_shard, f"dim int, shard int, node long, twin long, v {kind}, number int, entry int, layers int, links array<int>"))
 
     def answer(there: pd.DataFrame, here: pd.DataFrame) -> pd.DataFrame:
         if not len(there) or not len(here):
-            return pd.DataFrame({"query": pd.Series(dtype="int64"), "node": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+            return pd.DataFrame({**{c: pd.Series(dtype="int64") for c in ("query", "query_twin", *same)}, "score": pd.Series(dtype="float64")})
         there = there.sort_values("number", kind="stable")
         v, q = np.stack(there["v"].to_numpy()), np.stack(here["v"].to_numpy())
         flat, entry, count = np.stack(there["links"].to_numpy()).astype(np.int64), int(there["entry"].iloc[0]), int(there["layers"].iloc[0])
         graph = Graph(augment(v), np.split(flat, [2 * m + i * m for i in range(count - 1)], axis=1), entry)
-        nodes_, asked_, out = there["node"].to_numpy(), here["node"].to_numpy(), []
+        nodes_, asked_, out = there[same].to_numpy(), here[same].to_numpy(), []
         for a in range(0, len(q), 128):
             found = search(graph, q[a : a + 128].astype(np.float32), k + 1, ef)
             hit = found >= 0
             score = np.einsum("bkd,bd->bk", v[np.maximum(found, 0)].astype(np.float64), q[a : a + 128].astype(np.float64))
-            out.append(pd.DataFrame({"query": np.repeat(asked_[a : a + 128], found.shape[1])[hit.ravel()], "node": nodes_[found[hit]], "score": score[hit]}))
+            by, near = asked_[a : a + 128][np.nonzero(hit)[0]], nodes_[found[hit]]
+            out.append(pd.DataFrame({"query": by[:, 0], "query_twin": by[:, 1], "node": near[:, 0], "twin": near[:, 1], "score": score[hit]}))
         return pd.concat(out)
 
     index = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    queries = asked.select(F.size("v").alias("dim"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), block.alias("block"), "node", "v")
+    queries = asked.select(F.size("v").alias("dim"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), block.alias("block"), *same, "v")
     key = ["dim", "shard", "block"]
-    found = index.groupBy(*key).cogroup(queries.groupBy(*key)).applyInPandas(answer, "query long, node long, score double")
-    names = _least_ids(rows, "node", "id", k + 1)
-    named = found.join(names, "node").select("query", F.transform("ids", lambda i: F.struct((-F.col("score")).alias("less"), i.alias("id"))).alias("near"))
-    best = named.groupBy("query").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near"))
-    who = rows.where("ask").select(F.col("id").alias("query_id"), "node")
-    own = who.join(best, F.col("node") == F.col("query")).select("query_id", F.slice(F.filter("near", lambda s: s["id"] != F.col("query_id")), 1, k).alias("near"))
+    found = index.groupBy(*key).cogroup(queries.groupBy(*key)).applyInPandas(answer, "query long, query_twin long, node long, twin long, score double")
+    named = found.join(_least_ids(rows, same, "id", k + 1), same)
+    asker = ["query", "query_twin"]
+    # a node that k + 1 others precede, by score and least id, can name no answer
+    first = F.row_number().over(Window.partitionBy(*asker).orderBy(F.col("score").desc(), F.element_at("ids", 1)))
+    near = F.transform("ids", lambda i: F.struct((-F.col("score")).alias("less"), i.alias("id"))).alias("near")
+    best = named.withColumn("_first", first).where(F.col("_first") <= k + 1).select(*asker, near)
+    best = best.groupBy(*asker).agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near"))
+    who = rows.where("ask").select(F.col("id").alias("query_id"), F.col("node").alias("query"), F.col("twin").alias("query_twin"))
+    own = who.join(best, asker).select("query_id", F.slice(F.filter("near", lambda s: s["id"] != F.col("query_id")), 1, k).alias("near"))
     listed = own.select("query_id", F.posexplode("near").alias("rank", "near"))
     return listed.select("query_id", (F.col("rank") + 1).alias("rank"), F.col("near.id").alias(id_), (-F.col("near.less")).alias("score"))
