@@ -15,6 +15,8 @@ from .common import unused
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A block is eight words of 64 bits; a key sets one bit in each.
 WORDS = 8
+#: The most blocks of a filter, 8 MB.
+LARGEST = 1 << 17
 #: Joins host and path of a key; no url part holds it unescaped at a label border.
 _SEP = "\u0001"
 
@@ -42,6 +44,13 @@ def _bit(key: Column, word: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(key, F.lit("bit")), 6 * word).bitwiseAND(F.lit(63).cast("long")).cast("int")
 
 
+def blocks_for(keys: int) -> int:
+    """Blocks, a power of two, that give each key 16 bits or more: false hits stay below one in a thousand or so. At least 64, and
+    at most LARGEST, beyond which more keys only send more to the exact join."""
+    need = -(-max(keys, 1) * 16 // (64 * WORDS))
+    return min(LARGEST, max(64, 1 << (need - 1).bit_length()))
+
+
 def bloom_filter(rules: DataFrame, host: str, path: str, blocks: int) -> DataFrame:
     """One row: ``words``, the filter's 64-bit words. Its size depends on ``blocks`` alone; more keys only raise the rate of false hits."""
     key = _key(F.col(host), F.col(path))
@@ -62,13 +71,15 @@ def maybe_listed(key: Column, words: Column, blocks: int) -> Column:
     return hit
 
 
-def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", blocks: int = 64) -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", blocks: int | None = None) -> DataFrame:
     """Add ``host``, ``path``, ``rule`` and ``verdict`` to pages.
 
     ``rules`` has host, path and verdict (strings). A rule fits its host and all subdomains where the url's path starts
     with the rule's; the longest rule (its text's length, then host's, then text order) wins; a rule given twice counts
     once, with the smaller verdict. Without one the rule is null and the verdict ``default``. Null urls, urls without
     ``://`` and empty tables are fine; repeated pages each keep their row. Columns of pages with an output's name are replaced.
+    Very long urls are whole keys: only lengths that some rule's path has are cut from them. The filter has ``blocks`` blocks of
+    512 bits, by default as many as the count of rules asks for.
 
     Only keys that pass the filter are shuffled, once a task each, whatever the number of pages that have them;
     pages themselves move once, in a left join that adaptive execution may split. Rules join by hash; Spark broadcasts
@@ -76,19 +87,20 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     """
     listed = rules.select(F.translate("host", _UPPER, _LOWER).alias("r_host"), F.col("path").alias("r_path"), "verdict").where("r_host is not null and r_path is not null")
     listed = listed.groupBy("r_host", "r_path").agg(F.min("verdict").alias("r_verdict"))
+    blocks = blocks or blocks_for(listed.count())
     words = bloom_filter(listed, "r_host", "r_path", blocks).scalar()
     # one number for each length that a rule's path has
-    lengths = F.array(*[F.lit(r[0]) for r in listed.select(F.length("r_path").alias("n")).distinct().orderBy("n").collect()]).cast("array<int>")
+    sizes = listed.agg(F.sort_array(F.collect_set(F.length("r_path")))).scalar()
     located = pages.drop("host", "path", "rule", "verdict").withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
+    n, h, p, v = unused(located, "n", "h", "p", "v")
     labels = F.split(F.col("host"), r"\.", -1)
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.transform(F.filter(lengths, lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
+    prefixes = F.transform(F.filter(F.col(n), lambda k: k <= F.length("path")), lambda k: F.substring(F.col("path"), F.lit(1), k))
     keys = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: _key(h, p))))
-    asked = located.select("host", "path", F.explode(keys).alias("key")).where(maybe_listed(F.col("key"), words, blocks)).distinct()
+    asked = located.withColumn(n, sizes).select("host", "path", F.explode(keys).alias("key")).where(maybe_listed(F.col("key"), words, blocks)).distinct()
     exact = asked.join(listed.withColumn("key", _key(F.col("r_host"), F.col("r_path"))), "key")
     rule = F.concat("r_host", "r_path")
     best = exact.groupBy("host", "path").agg(F.max(F.struct(F.length(rule), F.length("r_host"), rule.alias("rule"), F.col("r_verdict").alias("verdict"))).alias("best"))
-    h, p, v = unused(located, "h", "p", "v")
     found = best.select(F.col("host").alias(h), F.col("path").alias(p), F.col("best.rule").alias("rule"), F.col("best.verdict").alias(v))
     joined = located.join(found, (F.col("host") == F.col(h)) & (F.col("path") == F.col(p)), "left")
     return joined.withColumn("verdict", F.coalesce(v, F.lit(default))).drop(h, p, v)

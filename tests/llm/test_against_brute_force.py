@@ -101,6 +101,7 @@ def test_bloom_filter_never_misses(spark):
     key = url_filter._key(rules["host"], rules["path"])
     words = url_filter.bloom_filter(rules, "host", "path", 64).scalar()
     assert rules.where(~url_filter.maybe_listed(key, words, 64)).count() == 0
+    assert url_filter.blocks_for(5) == 64 and url_filter.blocks_for(100_000) == 4096 and url_filter.blocks_for(1 << 40) == url_filter.LARGEST
     sparse = url_filter.bloom_filter(rules.limit(100), "host", "path", 64).scalar()
     assert rules.where(url_filter.maybe_listed(key, sparse, 64)).count() < 200
 
@@ -190,6 +191,7 @@ def dedup_by_hand(rows, length=100):
 def test_suffix_dedup(spark, sf, monkeypatch, crowd):
     monkeypatch.setattr(suffix_dedup, "BUCKET", 50)
     monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+    monkeypatch.setattr(suffix_dedup, "ENDS", 3)
     rng = random.Random(5)
     rows = read_docs(spark, sf)
     passage = "".join(rng.choice("abcdefgh ") for _ in range(230))
