@@ -234,8 +234,10 @@ def repeated_windows(texts: DataFrame, length: int, seed: int) -> DataFrame:
         raise ValueError("length may exceed seed by 254 bytes at most")
     every = Stored(_text_blocks(texts, length, seed))
     dealt = _salted(every.df, "doc_id", "sub", "at")
-    often = _counted(dealt, 2).select("anchor", "salt").hint("shuffle_hash")
-    kept = Stored(dealt.join(often, ["anchor", "salt"]).drop("salt"), release=True)
+    # written first, so that the shuffle of the counts is gone before that of the blocks comes
+    often = Stored(_counted(dealt, 2).select("anchor", "salt"), release=True)
+    kept = Stored(dealt.join(often.df.hint("shuffle_hash"), ["anchor", "salt"]).drop("salt"), release=True)
+    often.drop()
     again = kept.df
     every.drop()
     by_bytes = Stored(again.groupBy("anchor", "digest").agg(F.min(F.struct("doc_id", "sub", "at")).alias("rep"), F.count("*").alias("n")), release=True)
