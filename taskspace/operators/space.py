@@ -144,34 +144,75 @@ def contiguous_chunks(df: DataFrame, start: str, length: str, size: int) -> Data
     return shaped.withColumn("first", F.col(start) + before(F.col("chunk"))).withColumn("last", F.col(start) + before(F.col("chunk") + 1) - 1).drop("_count", "_small", "_extra")
 
 
+#: Values a bucket when a column is ordered piece by piece, about.
+BUCKET = 1 << 16
+
+
 def islands(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Runs of consecutive integers of a column: ``start`` and ``length``, for each group of ``by``.
 
-    Gaps are found with a window over each group. Without groups, values are first dealt into ranges of a bounded width and
-    runs that touch at a border are joined, so that no task orders the whole column.
+    Gaps are found in buckets of 2^16 values. Only a run that touches the border of its bucket goes on to buckets of 2^40
+    values, and from there to its whole group: two rows a bucket at most. So no task orders a group of unbounded size, with
+    or without groups. Repeated values count once; null values are in no run.
+    """
+    runs = df.select(*by, F.col(value).cast("long").alias("end")).where(F.col("end").isNotNull()).distinct().withColumn("start", F.col("end"))
+    done = None
+    for bits in (16, 40, None):
+        keys = [*by] if bits is None else [*by, "_b"]
+        at = runs if bits is None else runs.withColumn("_b", F.shiftright("start", bits))
+        order = Window.partitionBy(*keys).orderBy("start")
+        fresh = F.when(F.lag("end").over(order) + 1 == F.col("start"), 0).otherwise(1)
+        at = at.withColumn("_s", F.sum(fresh).over(order)).groupBy(*keys, "_s").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+        if bits is None:
+            whole = at
+        else:
+            # the value before the run, or the one after it, is in another bucket
+            border = (F.shiftright(F.col("start") - 1, bits) != F.col("_b")) | (F.shiftright(F.col("end") + 1, bits) != F.col("_b"))
+            whole, runs = at.where(~border), at.where(border).select(*by, "start", "end")
+        whole = whole.select(*by, "start", (F.col("end") - F.col("start") + 1).alias("length"))
+        done = whole if done is None else done.union(whole)
+    return done
+
+
+_NUMBERS = ("tinyint", "smallint", "int", "bigint", "decimal")
+
+
+def ranked(df: DataFrame, value: str, by: Sequence[str], into: str, total: str) -> DataFrame:
+    """Add the place of each row in its group by ``value`` (``into``, from 0, nulls first) and the group's rows (``total``).
+
+    Exact numbers are dealt into buckets between their least and greatest, BUCKET rows each if evenly spread. Buckets keep the order,
+    so a place is the rows of the buckets before, from a small table of counts, and the place in the bucket: no task orders
+    a group. Values of other types are ordered a group at a time.
     """
-    distinct = df.select(*by, F.col(value).cast("long").alias("_v")).distinct()
-    width = 1 << 16
-    local = distinct.withColumn("_b", F.floor(F.col("_v") / width)) if not by else distinct.withColumn("_b", F.lit(0))
-    keys = [*by, "_b"]
-    runs = local.withColumn("_g", F.col("_v") - F.row_number().over(Window.partitionBy(*keys).orderBy("_v"))).groupBy(*keys, "_g").agg(F.min("_v").alias("start"), F.max("_v").alias("end"))
-    if by:
-        return runs.select(*by, "start", (F.col("end") - F.col("start") + 1).alias("length"))
-    # runs that fill up to a border go on in the next bucket; few enough to order: one at most for each side of a bucket
-    order = Window.orderBy("start")
-    fresh = F.when(F.lag("end").over(order) + 1 == F.col("start"), 0).otherwise(1)
-    return runs.withColumn("_s", F.sum(fresh).over(order)).groupBy("_s").agg(F.min("start").alias("start"), F.max("end").alias("end")).select("start", (F.col("end") - F.col("start") + 1).alias("length"))
+    if dict(df.dtypes)[value].split("(")[0] not in _NUMBERS:
+        w = Window.partitionBy(*by)
+        return df.withColumn(total, F.count("*").over(w)).withColumn(into, (F.row_number().over(w.orderBy(value)) - 1).cast("long"))
+    number = F.col(value).cast("double")
+    low, high, rows = (F.min(number), F.max(number), F.count("*").cast("double"))
+    span = df.agg(F.struct(low.alias("low"), (high - low).alias("width"), F.ceil(rows / BUCKET).cast("double").alias("n")).alias("span")).select("span").scalar()
+    # divided by the width first: the share stays within 0 to 1, and the same value always falls into the same bucket
+    share = F.when(F.col("_span.width") > 0, (number - F.col("_span.low")) / F.col("_span.width")).otherwise(0.0)
+    dealt = df.withColumn("_span", span).withColumn("_bucket", F.when(number.isNotNull(), F.floor(share * F.col("_span.n"))).otherwise(-1).cast("long")).drop("_span")
+    sizes = dealt.groupBy(*by, "_bucket").agg(F.count("*").alias("_rows"))
+    group = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("_rows").over(group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    names = [f"_by{i}" for i in range(len(by))]
+    offsets = sizes.select(*[F.col(c).alias(n) for c, n in zip(by, names, strict=True)], F.col("_bucket").alias("_of"), before.alias("_before"), F.sum("_rows").over(group).alias(total))
+    own = dealt.withColumn("_own", F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy(value)) - 1)
+    on = F.col("_bucket") == F.col("_of")
+    for c, n in zip(by, names, strict=True):
+        on = on & F.col(c).eqNullSafe(F.col(n))
+    return own.join(offsets, on).withColumn(into, (F.col("_own") + F.col("_before")).cast("long")).drop("_bucket", "_own", "_of", "_before", *names)
 
 
 def static_chunks(df: DataFrame, value: str, size: int, by: Sequence[str] = ()) -> DataFrame:
     """Number the rows' chunks of about ``size`` separate values in order; the first chunks take what is over, one each."""
-    w = Window.partitionBy(*by) if by else Window.partitionBy()
-    n = F.count("*").over(w)
+    n, i = F.col("_n"), F.col("_i")
     count = F.call_function("div", n + size - 1, F.lit(size).cast("long"))
     small, extra = F.call_function("div", n, count), n % count
-    i = (F.row_number().over(w.orderBy(value)) - 1).cast("long")
     wide = extra * (small + 1)
-    return df.withColumn("chunk", F.when(i < wide, F.call_function("div", i, small + 1)).otherwise(extra + F.call_function("div", i - wide, F.greatest(small, F.lit(1)))))
+    chunk = F.when(i < wide, F.call_function("div", i, small + 1)).otherwise(extra + F.call_function("div", i - wide, F.greatest(small, F.lit(1))))
+    return ranked(df, value, by, "_i", "_n").withColumn("chunk", chunk).drop("_i", "_n")
 
 
 # -- combination expressions ------------------------------------------------------------------------------------------

@@ -83,7 +83,7 @@ expressions("str_case_affix", "part", ["p_partkey"], {"up": "p_name.upper()", "l
 expressions("str_find_count", "documents", ["doc_id"], {"at": "text.find('the ')", "last": "text.rfind('the ')", "n": "text.count('the ')", "size": "len(text)"}, "select doc_id, strpos(text, 'the ') - 1 as at, case when strpos(text, 'the ') = 0 then -1 else length(text) - 4 - strpos(reverse(text), ' eht') + 1 end as last, (length(text) - length(replace(text, 'the ', ''))) // 4 as n, length(text) as size from documents")
 expressions("str_pad_zfill", "part", ["p_partkey"], {"left": "p_brand.ljust(12) + '|'", "right": "p_brand.rjust(12)", "mid": "p_brand.center(13)", "zeros": "zfill(p_size, 5)", "signed": "zfill(string(0 - p_size), 6)", "same": "p_type.ljust(2)"}, "select p_partkey, rpad(p_brand, 12, ' ') || '|' as left, lpad(p_brand, 12, ' ') as right, repeat(' ', (13 - length(p_brand)) // 2 + case when (13 - length(p_brand)) % 2 = 1 then 1 else 0 end) || p_brand || repeat(' ', (13 - length(p_brand)) // 2) as mid, lpad(cast(p_size as varchar), 5, '0') as zeros, '-' || lpad(cast(p_size as varchar), 5, '0') as signed, p_type as same from part")
 expressions("str_split_join", "part", ["p_partkey"], {"words": "len(p_type.split())", "joined": "join(p_type.split(' '), '-')", "head": "p_type.split(' ', 1)[0]", "tail": "p_type.rsplit(' ', 1)[-1]", "back": "join(reversed(p_name.split()), ' ')"}, "select p_partkey, len(string_split(p_type, ' ')) as words, array_to_string(string_split(p_type, ' '), '-') as joined, string_split(p_type, ' ')[1] as head, string_split(p_type, ' ')[-1] as tail, array_to_string(list_reverse(string_split(p_name, ' ')), ' ') as back from part")
-expressions("str_predicates", "documents", ["doc_id"], {"digits": "text[:3].isdigit()", "alpha": "text[:3].isalpha()", "ascii": "isascii(text)", "space": "text[2:3].isspace()", "upper": "text[:1].isupper()", "lower": "text[1:3].islower()"}, "select doc_id, regexp_full_match(left(text, 3), '[0-9]+') as digits, regexp_full_match(left(text, 3), '\\pL+') as alpha, strlen(text) = length(text) as ascii, regexp_full_match(substr(text, 3, 1), '\\s') as space, regexp_full_match(left(text, 1), '\\p{Lu}') as upper, substr(text, 2, 2) = lower(substr(text, 2, 2)) and substr(text, 2, 2) <> upper(substr(text, 2, 2)) and regexp_full_match(regexp_replace(substr(text, 2, 2), '\\PL', '', 'g'), '\\p{Ll}+') as lower from documents")
+expressions("str_predicates", "documents", ["doc_id"], {"digits": "string(doc_id).isdigit()", "alpha": "lang.isalpha()", "ascii": "isascii(text)", "space": "text.isspace()", "upper": "lang.upper().isupper()", "lower": "text.islower()"}, "select doc_id, regexp_full_match(cast(doc_id as varchar), '[0-9]+') as digits, regexp_full_match(lang, '\\pL+') as alpha, strlen(text) = length(text) as ascii, regexp_full_match(text, '\\s+') as space, upper(lang) = upper(lang) and regexp_matches(upper(lang), '\\p{Lu}') as upper, text = lower(text) and regexp_matches(text, '\\p{Ll}') as lower from documents")
 expressions("str_strip", "part", ["p_partkey"], {"inner": "('  ' + p_brand + '\\t').strip()", "left": "('xx' + p_name).lstrip('x')", "right": "(p_name + 'yy').rstrip('y')"}, "select p_partkey, p_brand as inner, ltrim(p_name, 'x') as left, rtrim(p_name, 'y') as right from part")
 expressions("str_title_capitalize", "part", ["p_partkey"], {"titled": "p_name.title()", "cap": "p_type.capitalize()"})
 
@@ -156,8 +156,11 @@ def range_islands(spark, sf):
 
 # -- parameter spaces -------------------------------------------------------------------------------------------------
 def names_of(spark, sf, t: str, key: str, name: str) -> list[str]:
-    """The names of a dimension table of a few rows, by key."""
-    return [r[0] for r in table(spark, sf, t).orderBy(key).select(name).limit(space.MAX_LIST).collect()]
+    """The names of a dimension table of a few rows, by key; a table with more than a dimension may list is an error."""
+    names = [r[0] for r in table(spark, sf, t).orderBy(key).select(name).limit(space.MAX_LIST + 1).collect()]
+    if len(names) > space.MAX_LIST:
+        raise space.SpaceError(f"{t} has more than {space.MAX_LIST} rows")
+    return names
 
 
 def product_space(spark, sf) -> space.Space:

@@ -104,6 +104,41 @@ def test_islands(spark):
     assert got == space.consecutive(values)
 
 
+def test_islands_across_borders_and_groups(spark):
+    big = 1 << 40
+    values = [*range(-70_000, 140_000), 200_000, 200_002, *range(big - 2, big + 3), -big, -big - 1, (1 << 62) + 1]
+    df = spark.createDataFrame([(g, v) for g in "ab" for v in values[g == "b" :]] + [("a", None), ("a", 200_000)], "g string, v long")
+    assert sorted(tuple(r) for r in space.islands(df.where("g = 'a'"), "v").collect()) == space.consecutive(sorted(values))
+    got = sorted(tuple(r) for r in space.islands(df, "v", ["g"]).collect())
+    assert got == sorted([("a", *r) for r in space.consecutive(sorted(values))] + [("b", *r) for r in space.consecutive(sorted(values[1:]))])
+    assert space.islands(df.limit(0), "v").count() == 0
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_static_chunks_in_pieces(spark, monkeypatch, kind):
+    monkeypatch.setattr(space, "BUCKET", 7)
+    rng = random.Random(3)
+    rows = [(g, rng.randrange(-50, 1 << 40)) for g in ("x", "y", None) for _ in range({"x": 103, "y": 5, None: 31}[g])]
+    df = spark.createDataFrame(rows, "g string, v long").select("g", F.lpad(F.col("v").cast("string"), 20, "0").alias("v") if kind == "string" else "v")
+    for by in (["g"], []):
+        groups: dict = {}
+        for r in space.static_chunks(df, "v", 10, by).collect():
+            groups.setdefault(r["g"] if by else 0, []).append((r["v"], r["chunk"]))
+        for members in groups.values():
+            n = len(members)
+            count = -(-n // 10)
+            small, extra = divmod(n, count)
+            assert [c for _, c in sorted(members)] == [c for c in range(count) for _ in range(small + (c < extra))]
+        assert sum(map(len, groups.values())) == len(rows)
+    assert space.static_chunks(df.limit(0), "v", 10, ["g"]).count() == 0
+
+
+def test_numbered_chunks_have_no_task_for_a_group(spark):
+    df = spark.range(1000).select("id", (F.col("id") % 3).alias("g"))
+    plan = space.static_chunks(df, "id", 10, ["g"])._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan.split("Subquery")[0]
+
+
 def test_adaptive_chunks():
     dims = [space.Dimension("A", "STRING", ["x", "y"]), space.Dimension("F", "CHUNK[INT]", RangeExpr.parse("1-20"), space.Chunks(2, 10, True))]
     s = space.Space(dims)
