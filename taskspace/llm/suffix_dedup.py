@@ -179,23 +179,14 @@ def _sorted_buckets(ranged: DataFrame, length: int) -> DataFrame:
 BUCKET = 100_000
 #: Anchors with more different blocks than this have their windows partitioned one by one.
 CROWD = 1000
-#: Rows of one anchor are dealt into so many parts where they are joined; a long has a bit for each.
-SALTS = 63
 #: Buckets whose ends meet in one task.
 ENDS = 1 << 14
 
 
-def _salted(rows: DataFrame, *place: str) -> DataFrame:
-    """Add ``salt``, the part of its anchor that a row belongs to, decided by its place."""
-    return rows.withColumn("salt", F.pmod(F.xxhash64(*place), F.lit(SALTS)).cast("int"))
-
-
-def _counted(salted: DataFrame, least: int) -> DataFrame:
-    """anchor, salt, n: a row for each part that an anchor with at least ``least`` rows has. Counts and parts are combined before
-    the shuffle, so an anchor that a third of all rows name is a row a task."""
-    counts = salted.groupBy("anchor").agg(F.count("*").alias("n"), F.bit_or(F.expr("shiftleft(1L, salt)")).alias("parts")).where(F.col("n") >= least)
-    taken = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.getbit("parts", i) == 1)
-    return counts.select("anchor", "n", F.explode(taken).alias("salt"))
+def _repeated(rows: DataFrame) -> Stored:
+    """anchor, n: the anchors of more than one row, with their numbers of rows. They are written, so that the join back to the rows
+    is between plain shuffles, of which adaptive execution splits the partition of an anchor that a third of all rows name."""
+    return Stored(rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), release=True)
 
 
 def _across(ends: DataFrame) -> DataFrame:
@@ -233,20 +224,18 @@ def repeated_windows(texts: DataFrame, length: int, seed: int) -> DataFrame:
     if length - seed + 1 > 255:
         raise ValueError("length may exceed seed by 254 bytes at most")
     every = Stored(_text_blocks(texts, length, seed))
-    dealt = _salted(every.df, "doc_id", "sub", "at")
-    # written first, so that the shuffle of the counts is gone before that of the blocks comes
-    often = Stored(_counted(dealt, 2).select("anchor", "salt"), release=True)
-    kept = Stored(dealt.join(often.df.hint("shuffle_hash"), ["anchor", "salt"]).drop("salt"), release=True)
+    often = _repeated(every.df)
+    kept = Stored(every.df.join(often.df.select("anchor").hint("shuffle_hash"), "anchor"), release=True)
     often.drop()
     again = kept.df
     every.drop()
     by_bytes = Stored(again.groupBy("anchor", "digest").agg(F.min(F.struct("doc_id", "sub", "at")).alias("rep"), F.count("*").alias("n")), release=True)
     twice = by_bytes.df.where("n > 1").select("anchor", "digest", "rep")
     copies = again.join(twice, ["anchor", "digest"]).where(~F.struct("doc_id", "sub", "at").eqNullSafe(F.col("rep"))).select("doc_id", "sub", "at")
-    different = _salted(by_bytes.df, "digest")
-    several = _counted(different, 2).select("anchor", "salt", (F.col("n") > CROWD).alias("crowd"))
-    edges = different.join(several, ["anchor", "salt"]).select("rep.*", "crowd")
+    several = _repeated(by_bytes.df)
+    edges = by_bytes.df.join(several.df.select("anchor", (F.col("n") > CROWD).alias("crowd")), "anchor").select("rep.*", "crowd")
     near = Stored(_edge_bytes(texts, edges, length, seed), release=True)
+    several.drop()
     wanted = near.df
     # windows of equal bytes share the bytes of their anchor, so a bucket of whole leads needs no neighbour
     sizes = {r["crowd"]: r["count"] for r in wanted.groupBy("crowd").count().collect()}
