@@ -90,6 +90,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 #: A pseudo-random number for each byte, capitals as their small letters.
 _VALUE = splitmix(LOWER.astype(np.uint64) + np.uint64(1))
+#: The same with capitals as they are.
+_CASED = splitmix(np.arange(256, dtype=np.uint64) + np.uint64(1))
 
 
 def grouped(texts: list[bytes], most: int = 1 << 18) -> Iterator[tuple[int, int]]:
@@ -119,8 +121,9 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
-    """For each text the 64-bit hashes of its words ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased, in order."""
+def word_hashes(texts: list[bytes], fold: bool = True) -> list[np.ndarray]:
+    """For each text the 64-bit hashes of its words ``[^\\x20\\x09-\\x0D]+``, in order, A-Z lower-cased unless ``fold`` is false."""
+    value = _VALUE if fold else _CASED
     out: list[np.ndarray] = []
     for a, z in grouped(texts):
         raw = np.frombuffer(b"\n".join([*texts[a:z], b""]), np.uint8)
@@ -128,7 +131,7 @@ def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
         starts, ends = edge[::2], edge[1::2]
         up, down = powers(len(raw))
         total = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_VALUE[raw] * up, out=total[1:])
+        np.cumsum(value[raw] * up, out=total[1:])
         hashed = splitmix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
         bounds = np.cumsum([0, *[len(t) + 1 for t in texts[a:z]]])
         cuts = np.searchsorted(starts, bounds)

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import class_lm, decontaminate, hnsw, jump_shards, language_id, mix, ngram_join, pack, suffix_dedup, url_filter
+from . import class_lm, decontaminate, hnsw, jump_shards, language_id, mix, ngram_join, pack, runs, slack_pack, suffix_dedup, url_filter
 
 #: Where the vocabulary files of public tokenizers are; callers of :mod:`pack` give their own.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+WORD_TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 #: (host, path, verdict) of the url query.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
@@ -69,6 +70,34 @@ def op10_class_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_lm.class_lm_scores(docs, class_lm.crc_remainder(F.col("doc_id"), 7) == 2)
 
 
+def op11_min_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slack_pack.pack(table(spark, sf_dir, "documents"), slack_pack.read_vocabulary(spark, f"file://{WORD_TOKENIZER}"), 4096)
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) with the periods of this query: with h = crc32(doc_id as text) and g = h // 10, where h % 10 is 0, word i >= a becomes
+    word a + (i - a) % p, for a = g % n and p = 1 + (n - a) // (3 + g % 8), n words. Other texts, nulls included, stay."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    words = F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "")
+    n = F.size("_words").cast("long")
+    a = g % n
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    own = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.element_at("_words", (F.when(i < a, i).otherwise(a + F.pmod(i - a, p)) + 1).cast("int")))
+    hit = docs.withColumn("_words", F.when(h % 10 == 0, words).otherwise(F.array().cast("array<string>")))
+    return hit.withColumn("text", F.when(F.size("_words") > 0, F.array_join(own, " ")).otherwise(F.col("text"))).drop("_words")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.with_runs(planted(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("n"), r["start"].alias("start"), r["period"].alias("period"))))
+    text = F.array_join(F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", (-F.col("best.n")).alias("length"), "best.period", F.floor(1000 * -F.col("best.n") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(text, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -76,7 +105,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = [op1_hnsw_search, op2_jump_hash_shards, op3_language_id, op4_mix_sources, op5_pack_tokens, op6_ngram_jaccard_join, op7_benchmark_decontamination, op8_suffix_array_dedup, op9_url_filter, op10_class_lm_score, pipeline]
+    ops = [op1_hnsw_search, op2_jump_hash_shards, op3_language_id, op4_mix_sources, op5_pack_tokens, op6_ngram_jaccard_join, op7_benchmark_decontamination, op8_suffix_array_dedup, op9_url_filter, op10_class_lm_score, op11_min_bin_slack, op13_periodic_runs, pipeline]
     return {f.__name__: f for f in ops}
 
 
