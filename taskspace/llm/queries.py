@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import class_lm, decontaminate, hnsw, jump_shards, language_id, mix, ngram_join, pack, runs, slack_pack, suffix_dedup, url_filter
+from . import class_lm, conversation_repair, decontaminate, hnsw, jump_shards, language_id, mix, ngram_join, pack, runs, slack_pack, suffix_dedup, url_filter
 
 #: Where the vocabulary files of public tokenizers are; callers of :mod:`pack` give their own.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -74,6 +74,21 @@ def op11_min_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slack_pack.pack(table(spark, sf_dir, "documents"), slack_pack.read_vocabulary(spark, f"file://{WORD_TOKENIZER}"), 4096)
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """conversations with the damage of this query, by crc32(conv_id:turn) % 20 (null: one space): 0 takes the row (``there`` is false), 1 empties its
+    text, 2 takes the text's ``.!?``, 3 repeats the row and 4 makes its role user."""
+    space = F.lit(" ")
+    k = F.crc32(F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), space) for c in ("conv_id", "turn")])) % 20
+    role, text = F.coalesce("role", space), F.coalesce("text", space)
+    rows = conversations.select("conv_id", "turn", F.when(k == 4, "user").otherwise(role).alias("role"), F.when(k == 1, "").when(k == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"), (k != 0).alias("there"), F.explode(F.sequence(F.lit(1), F.when(k == 3, 2).otherwise(1))).alias("copy"))
+    return rows.drop("copy")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = damaged(table(spark, sf_dir, "conversations"))
+    return conversation_repair.with_sha256(*conversation_repair.repair_parts(rows, F.col("there")))
+
+
 def planted(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) with the periods of this query: with h = crc32(doc_id as text) and g = h // 10, where h % 10 is 0, word i >= a becomes
     word a + (i - a) % p, for a = g % n and p = 1 + (n - a) // (3 + g % 8), n words. Other texts, nulls included, stay."""
@@ -105,7 +120,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = [op1_hnsw_search, op2_jump_hash_shards, op3_language_id, op4_mix_sources, op5_pack_tokens, op6_ngram_jaccard_join, op7_benchmark_decontamination, op8_suffix_array_dedup, op9_url_filter, op10_class_lm_score, op11_min_bin_slack, op13_periodic_runs, pipeline]
+    ops = [op1_hnsw_search, op2_jump_hash_shards, op3_language_id, op4_mix_sources, op5_pack_tokens, op6_ngram_jaccard_join, op7_benchmark_decontamination, op8_suffix_array_dedup, op9_url_filter, op10_class_lm_score, op11_min_bin_slack, op12_conversation_repair, op13_periodic_runs, pipeline]
     return {f.__name__: f for f in ops}
 
 
