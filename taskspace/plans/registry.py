@@ -401,6 +401,30 @@ def dag_degrees(spark, sf):
     return model.degrees(chain(spark, sf))
 
 
+def order_graph(spark, sf) -> DataFrame:
+    """Each order depends on its customer's order before it and on its parts, each part on its suppliers."""
+    orders, lines = table(spark, sf, "orders"), table(spark, sf, "lineitem")
+    before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    named = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    chain_ = orders.select("o_orderkey", before.alias("before")).where("before is not null").select(named("o", "o_orderkey").alias("step"), named("o", "before").alias("depends_on"))
+    return chain_.union(lines.select(named("o", "l_orderkey"), named("p", "l_partkey"))).union(lines.select(named("p", "l_partkey"), named("s", "l_suppkey")))
+
+
+@query("dag_closure_orders", """with o as (select o_orderkey as k, row_number() over (partition by o_custkey order by o_orderkey desc) - 1 as depth from orders),
+p as (select l_partkey as k, max(depth) + 1 as depth from lineitem join o on k = l_orderkey group by 1), s as (select l_suppkey as k, max(depth) + 1 as depth from lineitem join p on k = l_partkey group by 1)
+select 'o' || k as name, cast(depth as int) as depth from o union all select 'p' || k, cast(depth as int) from p union all select 's' || k, cast(depth as int) from s""")
+def dag_closure_orders(spark, sf):
+    last = table(spark, sf, "orders").groupBy("o_custkey").agg(F.concat(F.lit("o"), F.max("o_orderkey").cast("string")).alias("name")).select("name")
+    return model.closure(order_graph(spark, sf), last)
+
+
+@query("dag_order", """with has as (select distinct l_orderkey from lineitem), o as (select o_orderkey as k, row_number() over w as i, case when l_orderkey is null then 0 else 2 end - row_number() over w as base, o_custkey as c from orders left join has on l_orderkey = o_orderkey window w as (partition by o_custkey order by o_orderkey))
+select 'o' || k as name, cast(i + max(base) over (partition by c order by i) as int) as level from o union all select distinct 'p' || l_partkey, 1 from lineitem union all select distinct 's' || l_suppkey, 0 from lineitem""")
+def dag_order(spark, sf):
+    steps = table(spark, sf, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("name"))
+    return model.order_of_steps(steps, order_graph(spark, sf))
+
+
 def job_template(spark, sf) -> model.Template:
     regions = names_of(spark, sf, "region", "r_regionkey", "r_name")
     run = {"actions": {"onRun": {"command": "render", "args": ["{{Task.Param.Frame}}", "{{Param.Scene}}"]}}}

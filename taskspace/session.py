@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "taskspace", master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -36,3 +38,30 @@ def shared_dir(spark: SparkSession) -> str:
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="taskspace-"))
         found = context.getCheckpointDir()
     return found.rstrip("/")
+
+
+class Tables:
+    """Frames of one computation, written to the shared folder: lineage ends there and survives lost executors.
+
+    ``close()`` deletes them all; those of an unfinished computation go when the driver ends.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+        atexit.register(self.close)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/taskspace-{uuid.uuid4().hex}"
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def close(self) -> None:
+        atexit.unregister(self.close)
+        for path in self.paths:
+            try:
+                where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            except Exception:  # noqa: BLE001  the session may have ended
+                pass
+        self.paths = []

@@ -21,3 +21,22 @@ def spark():
 @pytest.fixture(scope="session")
 def sf():
     return DATA
+
+
+@pytest.fixture
+def same_as_sql(spark, sf):
+    """Holds a registered query against its SQL on the smallest tables."""
+    import duckdb
+
+    from taskspace.plans import registry
+
+    def check(name):
+        con = duckdb.connect()
+        for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages"):
+            con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+        want = con.execute(registry.ORACLES[name]).df()
+        got = registry.QUERIES[name](spark, sf).toPandas()[list(want.columns)]
+        rows = lambda f: sorted(tuple("" if v is None or v != v else str(v) for v in r) for r in f.itertuples(index=False))
+        assert len(got) and rows(got) == rows(want)
+
+    return check
