@@ -510,10 +510,48 @@ def chunk_text_column(values: Column) -> Column:
 
 
 # -- adaptive chunks --------------------------------------------------------------------------------------------------
+#: Tasks during which a size grows slowly, and the share of the size before in it.
+SETTLING, INERTIA = 10, 0.75
+
+
+def next_size(size: int, done: int, seconds: float, values: int, target: float, longest: int) -> int:
+    """The chunk size after ``done`` tasks that took ``seconds`` for ``values`` values together."""
+    mean = seconds / values if values else 0.0
+    ideal = target / mean if mean > 0 else float(longest)
+    if done < SETTLING and ideal > size:
+        ideal = INERTIA * size + (1 - INERTIA) * ideal
+    return max(1, int(ideal))
+
+
+def adaptive_chunks(finished: DataFrame, by: str, order: str, seconds: str, values: str, default: int, target: float, length: int) -> DataFrame:
+    """The chunk that follows each finished task (by, order, its seconds and count of values) over a dimension of ``length`` values:
+    (by, order, size, first, end), where the first chunk, of ``default`` values, was given out before any task ended.
+
+    The size is the target over the mean time of a value so far; while fewer than ten tasks have ended, one that would grow is blended
+    75 to 25 with the size before; at least 1. ``first`` and ``end`` (exclusive) are positions; both are ``length`` once nothing is left.
+    A null time or count counts as 0; a null ``by`` is a group. From the tenth task on a size follows from running sums alone, so a row
+    looks back at nine numbers.
+    """
+    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    took, count = F.sum(F.coalesce(F.col(seconds).cast("double"), F.lit(0.0))).over(w), F.sum(F.coalesce(F.col(values).cast("long"), F.lit(0))).over(w)
+    told = finished.select(by, order, took.alias("_took"), count.alias("_count"), F.row_number().over(w).alias("_done"))
+    ideal = F.when((F.col("_took") > 0) & (F.col("_count") > 0), F.lit(float(target)) / (F.col("_took") / F.col("_count"))).otherwise(F.lit(float(length)))
+    told = told.withColumn("_ideal", ideal)
+    first = F.collect_list(F.when(F.col("_done") < SETTLING, F.col("_ideal"))).over(w)
+
+    def blend(size: Column, ideal: Column) -> Column:
+        return F.greatest(F.lit(1.0), F.floor(F.when(ideal > size, INERTIA * size + (1 - INERTIA) * ideal).otherwise(ideal)).cast("double"))
+
+    size = F.when(F.col("_done") < SETTLING, F.aggregate(first, F.lit(float(default)), blend)).otherwise(F.greatest(F.lit(1.0), F.floor("_ideal").cast("double"))).cast("long")
+    sized = told.withColumn("size", size)
+    start = F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.lit(default)
+    at = F.least(start, F.lit(length)).cast("long")
+    return sized.select(by, order, "size", at.alias("first"), F.least(at + F.col("size"), F.lit(length)).cast("long").alias("end"))
+
+
 class Adaptive:
-    """Chunk sizes that follow task times: the target over the mean time of one value, blended 75 to 25 with the size before
-    while fewer than ten tasks have run and the size would grow; at least 1. Sizes depend on times that are only known as
-    tasks end, so the plan is made on the driver, one chunk at a time."""
+    """Chunk sizes that follow task times, for one caller that runs tasks one by one and asks for the next. Many runs at once are
+    :func:`adaptive_chunks` and, as tasks end, :func:`taskspace.streaming.chunks.chunk_stream`."""
 
     def __init__(self, space: Space):
         if not space.adaptive:
@@ -532,11 +570,7 @@ class Adaptive:
         self.done += 1
         self.seconds += seconds
         self.values += values
-        mean = self.seconds / self.values
-        ideal = self.dimension.chunks.target_seconds / mean if mean > 0 else float(len(self.dimension.values))
-        if self.done < 10 and ideal > self.size:
-            ideal = 0.75 * self.size + 0.25 * ideal
-        self.size = max(1, int(ideal))
+        self.size = next_size(self.size, self.done, self.seconds, self.values, self.dimension.chunks.target_seconds, len(self.dimension.values))
         return self.size
 
     def next(self) -> dict | None:

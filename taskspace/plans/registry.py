@@ -12,8 +12,8 @@ from ..functions import paths
 from ..operators import content, manifest, model, space
 from ..operators.manifest import Manifest
 from ..ranges import RangeExpr
-from ..session import shared_dir
-from ..streaming import directives
+from ..session import Tables, shared_dir
+from ..streaming import chunks, directives
 from . import compiler
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -493,12 +493,19 @@ def action_status_fold(spark, sf):
     return directives.action_status(directives.parse(event_lines(spark, sf))).select("session_id", "progress", "status_message", "fail_message")
 
 
-@query("directive_stream", _STATUS_SQL)
-def directive_stream(spark, sf):
-    """The same fold as a stream over files of lines, in the folder that driver and executors share."""
+def stream_folder(spark: SparkSession) -> str:
+    """A folder for a stream's files where driver and executors share one; it goes when the driver ends."""
     import uuid
 
     root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    Tables(spark).paths.append(root)
+    return root
+
+
+@query("directive_stream", _STATUS_SQL)
+def directive_stream(spark, sf):
+    """The same fold as a stream over files of lines, in the folder that driver and executors share."""
+    root = stream_folder(spark)
     event_lines(spark, sf).write.parquet(f"{root}/in")
     stream = spark.readStream.schema("session_id string, seq long, line string").parquet(f"{root}/in")
     directives.run_available(directives.status_stream(stream), f"{root}/out", f"{root}/state")
@@ -525,13 +532,62 @@ def redact_lines(spark, sf):
     return directives.redacted(directives.parse(rest.union(secret))).select("session_id", "seq", "shown")
 
 
-@query("sliding_rate")
-def sliding_rate(spark, sf):
+def event_samples(spark, sf) -> DataFrame:
+    """(user_id, ts, amount): each user's running sum of values, in hundredths."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    samples = table(spark, sf, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).select("user_id", (F.col("at") - F.min("at").over(Window.partitionBy("user_id"))).alias("seconds"), F.sum("value").over(w).alias("amount"))
+    return table(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.sum(F.floor(F.col("value") * 100).cast("long")).over(w).alias("amount"))
+
+
+_AMOUNTS = "select user_id, epoch_us(ts) / 1e6 as s, cast(sum(cast(floor(value * 100) as bigint)) over (partition by user_id order by ts, event_id rows unbounded preceding) as bigint) as amount from events"
+
+
+@query("sliding_rate", f"""with a as (select user_id, s - min(s) over (partition by user_id) as seconds, amount from ({_AMOUNTS})),
+f as (select *, max({{'t': seconds, 'v': amount}}) over (partition by user_id order by seconds range between unbounded preceding and 3600.0 preceding) as p from a)
+select user_id, seconds, amount, case when seconds > coalesce(p.t, 0) then (amount - coalesce(p.v, 0)) / (seconds - coalesce(p.t, 0)) else 0 end as rate from f""")
+def sliding_rate(spark, sf):
+    s = F.unix_micros("ts") / 1e6
+    samples = event_samples(spark, sf).select("user_id", (s - F.min(s).over(Window.partitionBy("user_id"))).alias("seconds"), "amount")
     return directives.sliding_rate(samples, "user_id", "seconds", "amount", 3600.0)
 
 
+@query("rate_stream", f"""with a as ({_AMOUNTS}), f as (select *, max({{'t': s, 'v': amount}}) over (partition by user_id order by s range between unbounded preceding and 3600.0 preceding) as p from a)
+select user_id, s as seconds, cast(amount as double) as amount, case when s > coalesce(p.t, 0) then (amount - coalesce(p.v, 0)) / (s - coalesce(p.t, 0)) else 0 end as rate from f where s <= (select max(s) - 60 from a)""")
+def rate_stream(spark, sf):
+    """The same rates as a stream over files of samples, up to its last watermark."""
+    root = stream_folder(spark)
+    event_samples(spark, sf).write.parquet(f"{root}/in")
+    stream = spark.readStream.schema("user_id long, ts timestamp, amount long").parquet(f"{root}/in")
+    directives.run_available(directives.rate_stream(stream, "user_id", "ts", "amount", 3600.0, "60 seconds"), f"{root}/out", f"{root}/state")
+    return spark.read.parquet(f"{root}/out")
+
+
+_CHUNKS = """with t as (select user_id, event_id, row_number() over w as k, sum(floor(value)) over w as s, cast(sum(1 + event_id % 7) over w as bigint) as n from events window w as (partition by user_id order by event_id rows unbounded preceding)),
+i as (select *, case when s > 0 then 30.0::double / (s / n) else 1000.0::double end as ideal from t),
+l as (select *, list(ideal) filter (k < 10) over (partition by user_id order by event_id rows unbounded preceding) as first9 from i),
+z as (select *, cast(case when k < 10 then list_reduce(list_concat([5.0::double], first9), lambda a, b: greatest(1.0, floor(case when b > a then 0.75::double * a + 0.25::double * b else b end))) else greatest(1.0, floor(ideal)) end as bigint) as size from l),
+p as (select *, least(1000, 5 + coalesce(sum(size) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding), 0)) as f from z)
+select user_id, event_id, size, cast(f as bigint) as first, cast(least(1000, f + size) as bigint) as "end" from p"""
+
+
+def finished_tasks(spark, sf) -> DataFrame:
+    return table(spark, sf, "events").select("user_id", "event_id", F.floor("value").cast("double").alias("seconds"), (1 + F.col("event_id") % 7).alias("values"))
+
+
+@query("adaptive_chunks", _CHUNKS)
+def adaptive_chunks(spark, sf):
+    return space.adaptive_chunks(finished_tasks(spark, sf), "user_id", "event_id", "seconds", "values", 5, 30.0, 1000)
+
+
+@query("adaptive_chunk_stream", _CHUNKS)
+def adaptive_chunk_stream(spark, sf):
+    """The same chunks, given out as a stream of finished tasks arrives."""
+    root = stream_folder(spark)
+    finished_tasks(spark, sf).write.parquet(f"{root}/in")
+    stream = spark.readStream.schema("user_id long, event_id long, seconds double, values long").parquet(f"{root}/in")
+    directives.run_available(chunks.chunk_stream(stream, "user_id", "event_id", "seconds", "values", 5, 30.0, 1000), f"{root}/out", f"{root}/state")
+    return spark.read.parquet(f"{root}/out")
+
+
 # -- paths and hashes -------------------------------------------------------------------------------------------------
 @query("path_mapping", "select page_id, case when regexp_matches(p, '^/web/http/') then '/mnt' || substr(p, 10) when regexp_matches(p, '^/web/') then '/all' || substr(p, 5) else p end as mapped from (select page_id, '/web/' || regexp_extract(url, '^[a-z]+') || '/' || regexp_extract(url, '://([^/?#]*)', 1) as p from pages)")
 def path_mapping(spark, sf):

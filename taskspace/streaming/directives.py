@@ -244,30 +244,37 @@ def session_states(events: DataFrame, session: str = "session_id", order: str =
 
 # -- rates ------------------------------------------------------------------------------------------------------------
 RATE_SECONDS = 12.0
-
-
-def rates(samples: list[tuple[float, float]], window: float = RATE_SECONDS) -> list[float]:
-    """The rate at each of (seconds, amount): the slope over the window, from the last sample at or before its start, with
-    (0, 0) before all."""
-    held, out = [(0.0, 0.0)], []
-    for t, v in samples:
-        held.append((t, v))
-        while len(held) > 2 and held[1][0] <= t - window:
-            held.pop(0)
-        (t0, v0), span = held[0], t - held[0][0]
-        out.append((v - v0) / span if span > 0 else 0.0)
-    return out
+#: Windows a bucket of time spans.
+BUCKET_WINDOWS = 32
 
 
 def sliding_rate(samples: DataFrame, by: str, time: str, amount: str, window: float = RATE_SECONDS) -> DataFrame:
-    """Add ``rate`` to samples (by, seconds, running amount), for each group in the order of time."""
-    schema = T.StructType([*samples.select(by, time, amount).schema.fields, T.StructField("rate", T.DoubleType())])
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values([time, amount], kind="stable")
-        return part.assign(rate=rates(list(zip(part[time].astype(float), part[amount].astype(float), strict=True)), window))
+    """Add ``rate`` to samples (by, seconds, running amount): the slope from the last sample at or before the window's start, or from
+    (0, 0) where there is none, to the sample; 0 where no time has passed. Of samples at one time the largest amount counts as the
+    last. A null time or amount gives a null rate and is no start; a null ``by`` is a group.
 
-    return samples.select(by, time, amount).groupBy(by).applyInPandas(run, schema)
+    A group is cut into buckets of time, so no task holds one. A bucket gets the samples of one window before it, and the last sample
+    before those, which is carried over from bucket to bucket in a table that has one row a bucket.
+    """
+    width = BUCKET_WINDOWS * window
+    t, v = F.col(time).cast("double"), F.col(amount).cast("double")
+    held = samples.select(by, time, amount).withColumns({"_t": t, "_v": v, "_b": F.floor(t / width), "_own": F.lit(True)})
+    good = F.col("_t").isNotNull() & F.col("_v").isNotNull()
+    point = F.struct("_t", "_v")
+    # the last sample of each bucket, and its last one at or before one window from the bucket's end
+    ends = held.where(good).groupBy(by, "_b").agg(F.max(point).alias("all"), F.max(F.when(F.col("_t") <= (F.col("_b") + 1) * width - window, point)).alias("head"))
+    w = Window.partitionBy(by).orderBy("_b")
+    carried = ends.withColumns({"_c": F.lead("_b").over(w), "before": F.lag("all").over(w)})
+    near = F.col("_c") == F.col("_b") + 1
+    carried = carried.where("_c is not null").select(F.col(by).alias("_by"), "_c", F.when(near, F.coalesce("head", "before")).otherwise(F.col("all")).alias("_carried"))
+    late = held.where(good & (F.col("_t") > (F.col("_b") + 1) * width - window)).withColumns({"_b": F.col("_b") + 1, "_own": F.lit(False)})
+    both = held.union(late)
+    joined = both.join(carried, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_b") == F.col("_c")), "left")
+    last = F.expr(f"max(if(_t is null or _v is null, null, struct(_t, _v))) over (partition by {by}, _b order by _t range between unbounded preceding and {window!r}D preceding)")
+    start = F.coalesce(last, F.col("_carried"), F.struct(F.lit(0.0).alias("_t"), F.lit(0.0).alias("_v")))
+    out = joined.withColumn("_from", start).where("_own")
+    span = F.col("_t") - F.col("_from._t")
+    return out.select(by, time, amount, F.when(good, F.when(span > 0, (F.col("_v") - F.col("_from._v")) / span).otherwise(0.0)).alias("rate"))
 
 
 # -- streams ----------------------------------------------------------------------------------------------------------
@@ -316,6 +323,56 @@ def status_stream(lines: DataFrame, redactions: bool = True, every_line: bool =
     return parsed.select(*columns).groupBy("session_id").applyInPandasWithState(fold, STATUS, _STATE, "append", "NoTimeout")
 
 
+_RATE_STATE = T.StructType([T.StructField("times", T.ArrayType(T.DoubleType())), T.StructField("amounts", T.ArrayType(T.DoubleType())), T.StructField("waiting_times", T.ArrayType(T.DoubleType())), T.StructField("waiting_amounts", T.ArrayType(T.DoubleType()))])
+
+
+def rate_stream(samples: DataFrame, by: str, at: str, amount: str, window: float = RATE_SECONDS, delay: str = "10 seconds", forget: float | None = None) -> DataFrame:
+    """:func:`sliding_rate` over a stream of samples (by, at: timestamp, running amount), in seconds since 1970: (by, seconds, amount, rate),
+    one row a sample, once the watermark (``delay`` behind the latest sample) has passed it and none before it can come any more.
+
+    State of a key are the samples that the watermark hasn't passed, and of those before them a ring that reaches one window back.
+    Samples later than the watermark are dropped. With ``forget``, a key without a sample for so many seconds of event time loses its
+    ring, and starts anew from (0, 0). A stream that ends leaves the samples after its last watermark waiting.
+    """
+    kind = dict(samples.dtypes)[by]
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        held, waiting = [], []
+        if state.exists:
+            times, amounts, w_times, w_amounts = state.get
+            held, waiting = list(zip(times, amounts, strict=True)), list(zip(w_times, w_amounts, strict=True))
+        for b in batches:
+            if len(b):
+                waiting += list(zip(b["seconds"].astype(float), b["amount"].astype(float), strict=True))
+        mark = state.getCurrentWatermarkMs() / 1000
+        waiting.sort()
+        ready = [x for x in waiting if x[0] <= mark]
+        waiting = waiting[len(ready) :]
+        out = []
+        for t, v in ready:
+            if forget is not None and held and t - held[-1][0] > forget:
+                held = []
+            start = max((x for x in held if x[0] <= t - window), default=(0.0, 0.0))
+            span = t - start[0]
+            out.append((key[0], t, v, (v - start[1]) / span if span > 0 else 0.0))
+            # of what lies before the window only the last sample can be a start again
+            held = [x for x in held if x[0] > t - window or x == start] + [(t, v)]
+        if held and not waiting and forget is not None and held[-1][0] + forget <= mark:
+            held = []
+        if held or waiting:
+            state.update(([x[0] for x in held], [x[1] for x in held], [x[0] for x in waiting], [x[1] for x in waiting]))
+            wake = waiting[0][0] if waiting else held[-1][0] + forget if forget is not None else None
+            if wake is not None:
+                state.setTimeoutTimestamp(int(max(wake, mark) * 1000) + 1)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=[by, "seconds", "amount", "rate"])
+
+    timed = samples.where(F.col(at).isNotNull() & F.col(amount).isNotNull()).withWatermark(at, delay)
+    rows = timed.select(by, at, (F.unix_micros(at) / 1e6).alias("seconds"), F.col(amount).cast("double").alias("amount"))
+    return rows.groupBy(by).applyInPandasWithState(fold, f"{by} {kind}, seconds double, amount double, rate double", _RATE_STATE, "append", "EventTimeTimeout")
+
+
 def run_available(stream: DataFrame, sink: str, checkpoint: str) -> None:
     """Run a stream over what is there now, into Parquet, and end."""
     stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()

@@ -450,11 +450,6 @@ def test_session_states(spark):
     assert got == [("RUNNING", True), ("READY", True), ("RUNNING", True), ("READY", True), ("READY", False), ("RUNNING", True), ("READY_ENDING", True), ("READY_ENDING", False), ("ENDED", True)]
 
 
-def test_rates():
-    assert d.rates([(1.0, 10.0), (2.0, 30.0)]) == [10.0, 15.0]
-    assert d.rates([(0.0, 0.0), (10.0, 100.0), (20.0, 300.0), (30.0, 600.0)])[-1] == (600.0 - 100.0) / 20.0
-
-
 # -- command surface --------------------------------------------------------------------------------------------------
 def test_commands(spark):
     from taskspace import api
