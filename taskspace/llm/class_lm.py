@@ -21,6 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -218,22 +219,37 @@ class Model:
 
 
 def _head(counts: DataFrame, most: int | None, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and counts of the words with ``least`` occurrences, by falling count. With ``most``, only those above the least
-    count that at most so many words exceed; the driver takes one number for each different count, and then no more than those."""
-    held, cut = 0, least - 1
+    """Hashes and counts of the words with ``least`` occurrences, by falling count. With ``most``, of the most frequent so many; of words with
+    the same count those with the least hashes. The driver takes one number for each different count, one for each of 4096 ranges of
+    hashes, and then no more than those words and one range."""
+    held, cut, room = 0, least - 1, 0
     for r in counts.where(F.col("c") >= least).groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).toLocalIterator() if most is not None else ():
-        held += r["n"]
-        if held > most:
-            cut = r["c"]
+        if held + r["n"] > most:
+            cut, room = r["c"], most - held
             break
+        held += r["n"]
+    x = F.xxhash64("word")
+    kept = counts.where(F.col("c") > cut).select("word", "c", F.lit(0).cast("long").alias("x"))
+    if room:
+        part = F.shiftrightunsigned(x.bitwiseXOR(F.lit(-(1 << 63))), 52)
+        tied, border, seen = counts.where(F.col("c") == cut), -1, 0
+        for r in sorted(tied.groupBy(part.alias("part")).count().collect()):
+            border, seen = r["part"], seen + r["count"]
+            if seen >= room:
+                break
+        kept = kept.union(tied.where(part <= border).select("word", "c", x))
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                yield pd.DataFrame({"key": word_hashes([b" ".join(batch["word"])])[0].view(np.int64), "c": batch["c"].to_numpy()})
+                yield pd.DataFrame({"key": word_hashes([b" ".join(batch["word"])])[0].view(np.int64), "c": batch["c"].to_numpy(), "x": batch["x"]})
 
-    found = counts.where(F.col("c") > cut).select("word", "c").mapInPandas(hashed, "key long, c long").toPandas()
+    found = kept.mapInPandas(hashed, "key long, c long, x long").toPandas()
     keys, c = found["key"].to_numpy(np.int64).view(np.uint64), found["c"].to_numpy(np.int64)
+    if room:
+        tied_at = np.flatnonzero(c == cut)
+        over = tied_at[np.argsort(found["x"].to_numpy(np.int64)[tied_at], kind="stable")[room:]]
+        keys, c = np.delete(keys, over), np.delete(c, over)
     order = np.lexsort((keys, -c))
     return keys[order], c[order]
 
@@ -287,14 +303,19 @@ def train(texts: DataFrame, counts: DataFrame, vocab: int, lexicon: int | None,
     return Model(words, cls, emit, base, step, n, v, other_n, other_v, mine, placing(table))
 
 
-#: Texts whose words are dealt together, and bytes of text for which there is a range of hashes.
-BLOCK_TEXTS, RANGE_BYTES = 2000, 8 << 20
+#: Texts whose words are dealt together, their bytes unless it is one text, and bytes of text for which there is a range of hashes.
+BLOCK_TEXTS, BLOCK_BYTES, RANGE_BYTES = 2000, 16 << 20, 8 << 20
 
 
 def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(part of the batch, word hashes of its texts one after the other, where each text ends)."""
-    for first in range(0, batch.num_rows, BLOCK_TEXTS):
-        part = batch.slice(first, BLOCK_TEXTS)
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < batch.num_rows:
+        before = ends[first - 1] if first else 0
+        size = max(1, min(BLOCK_TEXTS, int(np.searchsorted(ends, before + BLOCK_BYTES, "right")) - first))
+        part = batch.slice(first, size)
+        first += size
         found = [h for a in range(0, part.num_rows, 100) for h in word_hashes(utf8(part["text"].slice(a, 100).to_pylist()))]
         yield part, np.concatenate(found), np.cumsum([len(h) for h in found])
 

@@ -1,7 +1,7 @@
 """URL rules behind a blocked Bloom filter, in DataFrame expressions only.
 
-Rules are (host, path, verdict). A url's candidate keys are the suffixes of its host at label borders, each with the
-prefixes of its path at the lengths that rules have. The filter drops keys that no rule can have; an exact hash join
+Rules are (host, path, verdict). A url's candidate keys are the suffixes of its host with as many labels as rules
+have, each with the prefixes of its path at the lengths that rules have. The filter drops keys that no rule can have; an exact hash join
 removes what it passed by chance; the longest rule that is left wins.
 """
 
@@ -35,6 +35,11 @@ def _key(host: Column, path: Column) -> Column:
     return F.concat(host, F.lit(_SEP), path)
 
 
+def _labels(host: Column) -> Column:
+    """How many labels a host has."""
+    return F.length(host) - F.length(F.translate(host, ".", "")) + 1
+
+
 def _block(key: Column, blocks: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(blocks).cast("long"))
 
@@ -78,7 +83,8 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     with the rule's; the longest rule (its text's length, then host's, then text order) wins; a rule given twice counts
     once, with the smaller verdict. Without one the rule is null and the verdict ``default``. Null urls, urls without
     ``://`` and empty tables are fine; repeated pages each keep their row. Columns of pages with an output's name are replaced.
-    Very long urls are whole keys: only lengths that some rule's path has are cut from them. The filter has ``blocks`` blocks of
+    Very long urls and hosts are fine: keys are cut only
+    at the lengths that some rule's path has and behind as many labels as some rule's host has. The filter has ``blocks`` blocks of
     512 bits, by default as many as the count of rules asks for.
 
     Only keys that pass the filter are shuffled, once a task each, whatever the number of pages that have them;
@@ -91,13 +97,14 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     words = bloom_filter(listed, "r_host", "r_path", blocks).scalar()
     # one number for each length that a rule's path has
     sizes = listed.agg(F.sort_array(F.collect_set(F.length("r_path")))).scalar()
+    # and for each count of labels that a rule's host has
+    depths = listed.agg(F.sort_array(F.collect_set(_labels(F.col("r_host"))))).scalar()
     located = pages.drop("host", "path", "rule", "verdict").withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
-    n, h, p, v = unused(located, "n", "h", "p", "v")
-    labels = F.split(F.col("host"), r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    n, m, h, p, v = unused(located, "n", "m", "h", "p", "v")
+    suffixes = F.transform(F.filter(F.col(m), lambda k: k <= _labels(F.col("host"))), lambda k: F.call_function("substring_index", F.col("host"), F.lit("."), -k))
     prefixes = F.transform(F.filter(F.col(n), lambda k: k <= F.length("path")), lambda k: F.substring(F.col("path"), F.lit(1), k))
     keys = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: _key(h, p))))
-    asked = located.withColumn(n, sizes).select("host", "path", F.explode(keys).alias("key")).where(maybe_listed(F.col("key"), words, blocks)).distinct()
+    asked = located.withColumns({n: sizes, m: depths}).select("host", "path", F.explode(keys).alias("key")).where(maybe_listed(F.col("key"), words, blocks)).distinct()
     exact = asked.join(listed.withColumn("key", _key(F.col("r_host"), F.col("r_path"))), "key")
     rule = F.concat("r_host", "r_path")
     best = exact.groupBy("host", "path").agg(F.max(F.struct(F.length(rule), F.length("r_host"), rule.alias("rule"), F.col("r_verdict").alias("verdict"))).alias("best"))

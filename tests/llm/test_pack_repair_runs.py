@@ -250,3 +250,40 @@ def test_runs_of_odd_texts(spark, tmp_path):
     for r in queries.op13_periodic_runs(spark, str(tmp_path)).collect():
         if r["doc_id"] not in (None, 3):
             assert tuple(r)[1:] == digest_of(r["doc_id"], texts[r["doc_id"]])
+
+
+# -- mended operators -------------------------------------------------------------------------------------------------
+def test_words_of_one_count_are_not_dropped_together(spark):
+    from taskspace.llm import class_lm
+
+    words = [(f"w{i}".encode(), 5) for i in range(1200)] + [(f"v{i}".encode(), 9) for i in range(10)]
+    df = spark.createDataFrame(words, "word binary, c long")
+    for most, want in ((1000, 1000), (10, 10), (11, 11), (5, 5), (1210, 1210), (5000, 1210), (None, 1210)):
+        keys, c = class_lm._head(df, most, 1)
+        assert len(keys) == len(set(keys.tolist())) == want and (c[:10] == 9).all()
+    again = class_lm._head(df.repartition(7), 1000, 1)
+    assert (again[0] == class_lm._head(df, 1000, 1)[0]).all()
+
+
+def test_blocks_of_texts_are_bounded(spark, monkeypatch):
+    import pyarrow as pa
+
+    from taskspace.llm import class_lm
+
+    monkeypatch.setattr(class_lm, "BLOCK_BYTES", 100)
+    texts = ["a b " * 10, None, "", "c " * 200, "d", "e " * 30]
+    found = list(class_lm._blocks(pa.record_batch({"text": pa.array(texts)})))
+    assert [x for part, _, _ in found for x in part["text"].to_pylist()] == texts
+    assert all(part.num_rows == 1 or sum(len(x or "") for x in part["text"].to_pylist()) <= 100 for part, _, _ in found)
+    assert [int(n) for _, _, ends in found for n in np.diff(ends, prepend=0)] == [len((x or "").split()) for x in texts]
+
+
+def test_long_hosts_are_judged_at_once(spark):
+    from taskspace.llm import url_filter
+
+    host = ".".join("ab" for _ in range(40_000))
+    urls = [f"http://{host}.example.org/es/x", f"http://{host}.com/fr/", f"http://{host}/", "http://" + "." * 5000 + "org/"]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    rules = spark.createDataFrame(queries.URL_RULES, "host string, path string, verdict string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge(pages, rules).collect()}
+    assert got == {0: ("example.org/es/", "block"), 1: ("com/fr/", "allow"), 2: (None, "allow"), 3: ("org/", "allow")}
