@@ -285,6 +285,67 @@ def _rule_column(p: Column, r: Rule, fmt: str) -> Column:
     return F.when(fits, F.concat(out, F.when(closed, lit(sep)).otherwise(empty)))
 
 
+# -- rules as a table -------------------------------------------------------------------------------------------------
+_CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _steps(p: Column, kind: str) -> tuple[Column, Column]:
+    """(what must be the same besides, the parts of a path that a rule of a format compares); null where the format can't fit."""
+    if kind == "URI":
+        head = F.regexp_extract(p, r"(?s)^(.*?://[^/]*)", 1)
+        return F.when(head != "", F.lower(head)), F.split(F.substring(p, F.length(head) + 1, F.length(p)), "/", -1)
+    same = p if kind == "POSIX" else F.translate(p, _CAPITALS + "\\", _SMALL + "/")
+    return F.when(F.startswith(same, F.lit("/")), "/").otherwise(""), F.filter(F.split(same, "/", -1), lambda x: x != "")
+
+
+def _key(p: Column, kind: str, depth: Column) -> Column:
+    besides, parts_ = _steps(p, kind)
+    return F.concat(F.lit(kind[0]), besides, F.lit("\u0001"), F.array_join(F.slice(parts_, F.lit(1), depth), "\u0001"))
+
+
+def map_by_rules(df: DataFrame, path: str, rules: DataFrame, into: str = "mapped", fmt: str = "POSIX") -> DataFrame:
+    """Add the path that the first fitting rule gives, or the path itself: :func:`map_paths` with the rules in a table of any size.
+
+    ``rules`` has source_format, source, destination and position. Rules go longest source (in bytes) first, then by position, then by
+    destination; ones with a null are left out. A path asks for its beginnings, only of as many parts as some rule of the format has, and these meet the
+    rules in one join on the whole beginning. A null path stays null; repeated paths are matched once. An existing column named like
+    the output is replaced.
+    """
+    listed = rules.select(F.upper("source_format").alias("kind"), "source", "destination", "position").dropna(subset=["kind", "source", "destination"])
+    source = F.col("source")
+    per = {k: _steps(source, k) for k in ("POSIX", "WINDOWS", "URI")}
+    depth = F.when(F.col("kind") == "URI", F.size(per["URI"][1])).when(F.col("kind") == "WINDOWS", F.size(per["WINDOWS"][1])).otherwise(F.size(per["POSIX"][1]))
+    listed = listed.withColumn("depth", depth)
+    key = F.when(F.col("kind") == "URI", _key(source, "URI", F.col("depth"))).when(F.col("kind") == "WINDOWS", _key(source, "WINDOWS", F.col("depth"))).when(F.col("kind") == "POSIX", _key(source, "POSIX", F.col("depth")))
+    rank = F.struct((-F.octet_length("source")).alias("size"), F.col("position"), F.col("destination"))
+    first = listed.withColumn("key", key).where("key is not null").groupBy("key").agg(F.min(F.struct(rank.alias("rank"), "kind", "depth")).alias("rule"))
+    # a number for each count of parts that rules of a format have
+    depths = listed.agg(*[F.sort_array(F.collect_set(F.when(F.col("kind") == k, F.col("depth")))).alias(k) for k in per])
+    asked = df.select(F.col(path).alias("_p")).where("_p is not null").distinct()
+
+    def beginnings(kind: str) -> Column:
+        many = F.size(_steps(F.col("_p"), kind)[1])
+        return F.transform(F.filter(F.col(kind), lambda d: d <= many), lambda d: _key(F.col("_p"), kind, d))
+
+    found = asked.select("_p", *[depths.select(k).scalar().alias(k) for k in per]).select("_p", F.explode(F.concat(*map(beginnings, per))).alias("key")).join(first, "key").groupBy("_p").agg(F.min("rule").alias("_rule"))
+    p, sep = F.col("_p"), "\\" if fmt == "WINDOWS" else "/"
+    kind, want, to = F.col("_rule.kind"), F.col("_rule.depth"), F.col("_rule.rank.destination")
+    have = F.when(kind == "URI", per_path(p, "URI")).when(kind == "WINDOWS", per_path(p, "WINDOWS")).otherwise(per_path(p, "POSIX"))
+    rest = F.slice(have, want + 1, F.greatest(F.size(have), F.lit(1)))
+    out = F.concat(to, F.array_join(F.transform(rest, lambda x: F.concat(F.lit(sep), x)), ""))
+    closed = (F.endswith(p, F.lit("/")) | ((kind == "WINDOWS") & F.endswith(p, F.lit("\\")))) & ~F.endswith(out, F.lit(sep))
+    mapped = found.select("_p", F.when(closed, F.concat(out, F.lit(sep))).otherwise(out).alias("_mapped"))
+    kept = df.drop(into) if into != path else df
+    return kept.join(mapped, F.col(path) == F.col("_p"), "left").withColumn(into, F.coalesce("_mapped", F.col(path))).drop("_p", "_mapped", "_rule")
+
+
+def per_path(p: Column, kind: str) -> Column:
+    """The parts of a path as they are written."""
+    if kind == "WINDOWS":
+        return F.filter(F.split(F.translate(p, "\\", "/"), "/", -1), lambda x: x != "")
+    return _steps(p, kind)[1]
+
+
 # -- over columns -----------------------------------------------------------------------------------------------------
 def over(f: Callable, kind: str, *cols: Column) -> Column:
     """An Arrow function that applies f to each row; null in, null out."""

@@ -601,6 +601,24 @@ def uri_mapping(spark, sf):
     return paths.map_paths(table(spark, sf, "pages"), "url", [paths.Rule("URI", "HTTP://therha.example.com/en", "/mnt/en")]).select("page_id", "mapped")
 
 
+_HOSTS = "select *, case page_id % 3 when 0 then '/web/' || host || '/' || page_id || '/' when 1 then 'C:\\WEB\\' || upper(host) || '\\' || page_id else url end as p from (select page_id, url, lower(regexp_extract(url, '://([^/?#]*)', 1)) as host from pages)"
+
+
+@query("path_rules", f"""with p as ({_HOSTS}), h as (select host, count(*) as n from p group by host having count(*) > 1)
+select page_id, case page_id % 3 when 0 then coalesce('/h/' || n, '/all/' || host) || '/' || page_id || '/' when 1 then coalesce('/w/' || n || '/' || page_id, p)
+else case when n is not null and regexp_matches(lower(url), '^https?://[^/]*/en(/|$)') then '/mnt/' || n || substr(url, length(regexp_extract(url, '^[a-zA-Z]+://[^/]*/en')) + 1) else url end end as mapped from p left join h using (host)""")
+def path_rules(spark, sf):
+    """Paths of three formats by rules that are made from the pages' hosts."""
+    host = F.lower(F.regexp_extract("url", "://([^/?#]*)", 1))
+    pages = table(spark, sf, "pages").select("page_id", "url", host.alias("host"))
+    own = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("/web/"), "host", F.lit("/"), "page_id", F.lit("/"))).when(F.col("page_id") % 3 == 1, F.concat(F.lit("C:\\WEB\\"), F.upper("host"), F.lit("\\"), "page_id")).otherwise(F.col("url"))
+    hosts = pages.groupBy("host").agg(F.count("*").alias("n")).where("n > 1")
+    rule = lambda kind, source, to, at: hosts.select(F.lit(kind).alias("source_format"), F.concat(F.lit(source), "host", F.lit("/en" if kind == "URI" else "")).alias("source"), F.concat(F.lit(to), F.col("n").cast("string")).alias("destination"), F.lit(at).alias("position"))
+    rules = rule("POSIX", "/web/", "/h/", 0).union(rule("WINDOWS", "c:/web/", "/w/", 1)).union(rule("URI", "HTTP://", "/mnt/", 2)).union(rule("URI", "https://", "/mnt/", 3))
+    rules = rules.union(hosts.agg(F.lit("POSIX"), F.lit("/web"), F.lit("/all"), F.lit(4)))
+    return paths.map_by_rules(pages.select("page_id", own.alias("p")), "p", rules).select("page_id", "mapped")
+
+
 @query("path_props", f"select path, regexp_extract(path, '[^/]*$') as name, doc_id || '' as stem, '.txt' as suffix, source || '/' || lang as parent, is_sub from (select {_PATH} as path, *, source = 'src1' as is_sub from documents)")
 def path_props(spark, sf):
     df = doc_manifest(spark, sf).files.select("path").withMetadata("path", {"path_format": "POSIX"})
