@@ -524,7 +524,10 @@ def env_final(spark, sf):
     return directives.environment(directives.parse(event_lines(spark, sf)))
 
 
-@query("redact_lines")
+@query("redact_lines", f"""with e as ({_E}), s as (select *, list(event_type) filter (seq % 12 = 1) over (partition by session_id order by seq rows between unbounded preceding and 1 preceding) as secrets,
+case m when 0 then '{directives.PREFIX}progress: ' || n || case when n between 0 and 100 then '' else ' -- ERROR: {directives.PROGRESS_ERROR}' end when 1 then '{directives.PREFIX}status: ' || event_type when 2 then '{directives.PREFIX}env: ' || upper(event_type) || '=' || n when 3 then '{directives.PREFIX}unset_env: ' || upper(event_type)
+else case when event_id % 60 = 4 then '{directives.PREFIX}fail: at ' || n else 'plain ' || event_type end end as line from e)
+select session_id, seq, case when seq % 12 = 1 then '{directives.PREFIX}redacted_env: TOKEN={directives.MASK}' else list_reduce(list_concat([line], coalesce(secrets, [])), lambda a, b: replace(a, b, '{directives.MASK}')) end as shown from s""")
 def redact_lines(spark, sf):
     lines = event_lines(spark, sf)
     secret = lines.where("seq % 12 = 1").withColumn("line", F.concat(F.lit(f"{directives.PREFIX}redacted_env: TOKEN="), F.substring_index("line", " ", -1)))

@@ -1,7 +1,7 @@
 """Directive lines of running tasks: parsing, redaction, status folds and environment stacks, in batch and as streams.
 
 A line is ``<prefix><kind>: <payload>``. Parsing is stateless and native. Redaction needs what a session has declared secret
-so far: in a batch a join of lines with the declarations before them, in a stream keyed state.
+so far: in a batch parts of a session's lines meet its declarations, in a stream they are keyed state.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,6 +87,11 @@ def redact(text: str, values: list[str], lines: list[str]) -> str:
         while v and at >= 0:
             spans.append((at, at + len(v)))
             at = text.find(v, at + 1)
+    return covered(text, spans)
+
+
+def covered(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text with a mask in place of each stretch that spans cover; spans that touch are one."""
     merged: list[list[int]] = []
     for a, z in sorted(spans):
         if merged and a <= merged[-1][1]:
@@ -104,33 +110,68 @@ def redact_env_line(text: str, payload: str) -> str:
     return text[: at + body.index("=") + 1] + MASK if "=" in body else text[:at] + MASK
 
 
+#: Lines of a session that are masked together.
+LINES = 1 << 14
+
+
+class Masks:
+    """One automaton for the secrets that a session declares, each from the place on where it was declared first."""
+
+    def __init__(self, declared: list[tuple]):
+        import ahocorasick
+
+        self.lines: dict[str, int] = {}
+        since: dict[str, int] = {}
+        for at, value, payload in declared:
+            at = float("-inf") if at is None else at
+            values, lines = secrets_of(value, payload)
+            for known, found in ((since, values), (self.lines, lines)):
+                for x in found:
+                    known[x] = min(at, known.get(x, at))
+        self.machine = ahocorasick.Automaton()
+        for x, at in since.items():
+            self.machine.add_word(x, (at, len(x)))
+        if since:
+            self.machine.make_automaton()
+        self.empty = not since
+
+    def mask(self, text: str, at: int) -> str:
+        """:func:`redact` with what was declared before ``at``."""
+        if self.lines.get(text, at) < at:
+            return MASK
+        spans = [] if self.empty else [(end + 1 - size, end + 1) for end, (since, size) in self.machine.iter(text) if since < at]
+        return covered(text, spans)
+
+
 def redacted(parsed: DataFrame, session: str = "session_id", order: str = "seq", line: str = "line") -> DataFrame:
     """Add ``shown``: each line as it is shown, with the secrets that its session declared before it masked.
 
-    Secrets of a session come from its few redacted lines, gathered once a session; lines are joined with them and masked
-    in Arrow batches, so a session's lines need not be in one task.
+    Sessions without a secret are not moved. Lines of the others are dealt into parts of some LINES lines, so that no task needs a whole session; a part gets the
+    session's secrets once, as one automaton, whatever their number. Repeated lines are shown each; lines without a session share
+    one. A null line is shown as null; one without a place
+    comes first, so that it is shown as it is and a secret without one masks all lines that have a place.
     """
-    declared = parsed.where("kind = 'redacted_env'").groupBy(session).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), "value", "payload"))).alias("_declared"))
-    joined = parsed.join(declared, session, "left")
     message = F.when(F.col("error").isNotNull() & F.col("passes"), F.concat(F.col(line), F.lit(" -- ERROR: "), F.col("error"))).otherwise(F.col(line))
-
-    @F.pandas_udf("string")
-    def shown(text: pd.Series, kind: pd.Series, payload: pd.Series, at: pd.Series, declared: pd.Series) -> pd.Series:
+    told = parsed.withColumn("shown", message)
+    secret = F.col("kind") == "redacted_env"
+    sizes = parsed.groupBy(F.col(session).alias("_s")).agg(F.count("*").alias("_n"), F.bool_or(F.coalesce(secret, F.lit(False))).alias("_secret")).where("_secret")
+    sizes = sizes.select("_s", F.ceil(F.col("_n") / LINES).cast("int").alias("_parts"))
+    same = F.col(session).eqNullSafe(F.col("_s"))
+    dealt = told.join(sizes, same).withColumn("_part", F.pmod(F.xxhash64(order, line), F.col("_parts")).cast("int")).drop("_s", "_parts")
+    declared = parsed.where(secret).join(sizes, same).select(F.col("_s").alias("_of"), F.col(order).alias("_at"), F.col("value").alias("_value"), F.col("payload").alias("_payload"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_copy"))
+
+    def run(lines: pa.Table, secrets: pa.Table) -> pa.Table:
+        masks = Masks(list(zip(*[secrets[c].to_pylist() for c in ("_at", "_value", "_payload")], strict=True)))
         out = []
-        for t, k, p, n, d in zip(text, kind, payload, at, declared, strict=True):
-            if k == "redacted_env":
-                out.append(redact_env_line(t, p))
-                continue
-            values, lines = [], []
-            for x in d if d is not None else ():
-                if x["at"] < n:
-                    v, ls = secrets_of(x["value"], x["payload"])
-                    values += v
-                    lines += ls
-            out.append(redact(t, values, lines))
-        return pd.Series(out, dtype=object)
-
-    return joined.withColumn("shown", F.when(F.col("_declared").isNull(), message).otherwise(shown(message, "kind", "payload", F.col(order), "_declared"))).drop("_declared")
+        for text, kind, payload, at, own in zip(*[lines[c].to_pylist() for c in ("shown", "kind", "payload", order, line)], strict=True):
+            if kind == "redacted_env":
+                out.append(redact_env_line(own, payload))
+            else:
+                out.append(text if text is None or at is None else masks.mask(text, at))
+        return lines.drop_columns(["shown", "_part"]).append_column("shown", pa.array(out, pa.string()))
+
+    masked = dealt.groupBy(session, "_part").cogroup(declared.groupBy("_of", "_copy")).applyInArrow(run, told.schema)
+    return told.join(sizes, same, "left_anti").union(masked.select(told.columns))
 
 
 def mask_command(text: Column, values: list[str]) -> Column:
