@@ -250,37 +250,72 @@ def _check_chunks(first: Manifest, others: Iterable[Manifest]) -> None:
             raise ManifestError(f"file_chunk_size_bytes mismatch: {first.chunk_size} and {m.chunk_size}")
 
 
+def _tops(paths: DataFrame, tops: DataFrame) -> DataFrame:
+    """(path, top) for each of a frame's paths and every one of ``tops`` (path) that it is or is below. Paths ask only for ancestors of as many
+    parts as some top has, in one join."""
+    parts = lambda p: F.size(F.split(p, "/"))
+    depths = tops.agg(F.collect_set(parts(F.col("path")))).scalar()
+    asked = paths.select("path", depths.alias("_depths")).select("path", F.explode(F.filter(F.concat(ancestors(F.col("path")), F.array("path")), lambda x: F.array_contains("_depths", parts(x)))).alias("top"))
+    return asked.join(tops.select(F.col("path").alias("top")), "top", "left_semi")
+
+
 def compose(base: Manifest, diffs: Sequence[Manifest], checkpoint_every: int = 8) -> Manifest:
     """A full manifest with diffs applied in order.
 
     The tree is a set of nodes (path, file or null). Of each diff, deleted files take whatever is below them, deleted dirs
     go if nothing is left in them (children before parents), then files replace nodes and dirs are added. Every ancestor
     of a node is a dir, also one that files have left.
+
+    All diffs are one pass: of a path the last entry counts if no deletion at or above it came after, and a dir is there if anything
+    was added at or below it since. Whether a deleted dir is empty depends on what came before, so what lies at or below such
+    dirs, and only that, goes through the diffs in turn.
     """
     _check_chunks(base, diffs)
+    if not diffs:
+        diffs = [Manifest.of(base.files.limit(0), kind="diff")]
+    none = F.lit(None).cast(FILES).alias("entry")
+    added = kills = emptied = None
+    join = lambda a, b: b if a is None else a.union(b)
+    for i, d in enumerate([base, *diffs]):
+        live, dirs = d.files.where(~F.coalesce("deleted", F.lit(False))), d.dirs.where(~F.coalesce("deleted", F.lit(False)))
+        added = join(added, live.select("path", F.struct(*FILES.names).alias("entry"), F.lit(2 * i + 1).alias("at")).union(dirs.select("path", none, F.lit(2 * i + 1))))
+        if i:
+            kills = join(kills, d.files.where("deleted").select("path", F.lit(2 * i).alias("at")))
+            emptied = join(emptied, d.dirs.where("deleted").select("path"))
+    above = added.select(F.explode(ancestors(F.col("path"))).alias("path"), none, "at")
+    last = added.union(above).groupBy("path").agg(F.max("at").alias("at"), F.max(F.when(F.col("entry").isNotNull(), F.col("at"))).alias("file_at"), F.max_by("entry", F.when(F.col("entry").isNotNull(), F.col("at"))).alias("entry"))
+    kills = kills.groupBy("path").agg(F.max("at").alias("at"))
+    killed = _tops(last, kills).join(kills.select(F.col("path").alias("top"), F.col("at").alias("killed")), "top").groupBy("path").agg(F.max("killed").alias("killed"))
+    state = last.join(killed, "path", "left").withColumn("killed", F.coalesce("killed", F.lit(0)))
+    nodes = state.where("at > killed").select("path", F.when(F.col("file_at") > F.col("killed"), F.col("entry")).alias("entry"))
+    emptied = emptied.distinct()
+    if not emptied.isEmpty():
+        held = lambda df: df.join(_tops(df, emptied).select("path").distinct(), "path", "left_semi")
+        nodes = nodes.join(_tops(nodes, emptied).select("path").distinct(), "path", "left_anti").union(_in_turn(base, diffs, held, checkpoint_every))
+    out = nodes.where("entry is not null").select("entry.*")
+    dirs = nodes.where("entry is null").select("path", F.lit(False).alias("deleted"))
+    return Manifest(out.select(*FILES.names), dirs, base.style, "full", base.hash_alg, base.chunk_size)
+
+
+def _in_turn(base: Manifest, diffs: Sequence[Manifest], held: Callable[[DataFrame], DataFrame], checkpoint_every: int) -> DataFrame:
+    """Nodes after one diff after another, of the part of the tree that ``held`` leaves."""
     entry = F.struct(*FILES.names).alias("entry")
     none = F.lit(None).cast(FILES).alias("entry")
     files = base.files.select("path", entry)
-    nodes = files.union(base.dirs.select("path", none)).union(_with_parents(files.select("path").union(base.dirs.select("path"))).select("path", none))
-    nodes = _latest(nodes.withColumn("rank", F.when(F.col("entry").isNotNull(), 1).otherwise(0)))
+    up = held(_with_parents(files.select("path").union(base.dirs.select("path"))))
+    nodes = _latest(held(files).union(held(base.dirs.select("path", none))).union(up.select("path", none)).withColumn("rank", F.when(F.col("entry").isNotNull(), 1).otherwise(0)))
     for i, d in enumerate(diffs):
-        dead = d.files.where("deleted").select(F.col("path").alias("_top")).distinct().withColumn("_dead", F.lit(True))
-        tops = F.explode(F.concat(ancestors(F.col("path")), F.array("path")))
-        marked = nodes.withColumn("_top", tops).join(dead, "_top", "left")
-        nodes = marked.groupBy("path").agg(F.any_value("entry").alias("entry"), F.max("_dead").alias("_dead")).where("_dead is null").select("path", "entry")
-        emptied = d.dirs.where("deleted").select("path").distinct()
-        if not emptied.isEmpty():
-            nodes = _drop_empty(nodes, emptied)
+        dead = d.files.where("deleted").select("path").distinct()
+        nodes = nodes.join(_tops(nodes, dead).select("path").distinct(), "path", "left_anti")
+        nodes = _drop_empty(nodes, d.dirs.where("deleted").select("path").distinct())
         added = d.files.where(~F.col("deleted")).select("path", entry)
         extra = d.dirs.where(~F.col("deleted")).select("path")
-        up = _with_parents(added.select("path").union(extra)).union(extra).distinct()
-        ranked = nodes.withColumn("rank", F.lit(1)).union(added.withColumn("rank", F.lit(2))).union(up.select("path", none, F.lit(0).alias("rank")))
+        up = held(_with_parents(added.select("path").union(extra)).union(extra).distinct())
+        ranked = nodes.withColumn("rank", F.lit(1)).union(held(added).withColumn("rank", F.lit(2))).union(up.select("path", none, F.lit(0).alias("rank")))
         nodes = _latest(ranked)
         if (i + 1) % checkpoint_every == 0 and i + 1 < len(diffs):
             nodes = _cut(nodes)
-    out = nodes.where("entry is not null").select("entry.*")
-    dirs = nodes.where("entry is null").select("path", F.lit(False).alias("deleted"))
-    return Manifest(out.select(*FILES.names), dirs, base.style, "full", base.hash_alg, base.chunk_size)
+    return nodes
 
 
 def _latest(ranked: DataFrame) -> DataFrame:
