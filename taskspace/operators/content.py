@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import Tables
 from .manifest import FILES, WHOLE_FILE, Manifest, ManifestError, _cut, below, hashed, latest_wins, live, normalise, normalise_text
 
 #: Fixed value: days after which a note that an object exists is looked at again.
@@ -286,22 +287,51 @@ def copy_name(path: Column, n: Column) -> Column:
     return F.concat(folder, stem, F.lit(" ("), n.cast("string"), F.lit(")"), F.substring(name, F.length(stem) + 1, F.length(name)))
 
 
-def link_order(links: Sequence[tuple[str, str]]) -> list[str]:
-    """Links so that a link comes after the one it points to; those in cycles last, in order."""
-    target = dict(links)
-    out, state = [], dict.fromkeys(target, 0)
-    for start in target:
-        chain, at = [], start
-        while at in target and state[at] == 0:
-            state[at] = 1
-            chain.append(at)
-            at = target[at]
-        cyclic = at in target and state[at] == 1
-        for p in reversed(chain):
-            state[p] = 3 if cyclic and p in chain[chain.index(at) :] else 2
-            if state[p] == 2:
-                out.append(p)
-    return out + [p for p in target if state[p] == 3]
+def link_levels(links: DataFrame) -> DataFrame:
+    """(path, target, level) for links (path, target): links of level 0 point to something else than a listed link, others are one above the link
+    they point to. Null is the level of links that never leave such links: those in cycles, and those that lead there.
+
+    Chains are followed by doubling, so a chain of n links takes log n joins, and no link comes to the driver. A path has one target.
+    """
+    n, reach = links.count(), 1
+    tables, kept = Tables(links.sparkSession), Tables(links.sparkSession)
+    try:
+        hop = tables.keep(links.select("path", "target", F.col("target").alias("_at"), F.lit(1).alias("_far")))
+        while True:
+            on = hop.select(F.col("path").alias("_at"), F.col("_at").alias("_next"), F.col("_far").alias("_more"))
+            moved = hop.join(on, "_at", "left").select("path", "target", F.coalesce("_next", "_at").alias("_at"), (F.col("_far") + F.coalesce("_more", F.lit(0))).alias("_far"), F.col("_next").isNotNull().alias("_on"))
+            hop = tables.keep(moved)
+            if reach > n or hop.where("_on").isEmpty():
+                return kept.keep(hop.select("path", "target", F.when(~F.col("_on"), F.col("_far") - 1).alias("level")))
+            hop = hop.drop("_on")
+            reach *= 2
+    finally:
+        tables.close()
+
+
+def make_links(links: DataFrame) -> int:
+    """Make links (path, target) on shared storage, in tasks: level by level, so that a link comes after the one it points to, and cycles
+    last. What is at a path is replaced. The number of links."""
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, target in zip(batch["path"], batch["target"], strict=True):
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                try:
+                    os.symlink(target, path)
+                except FileExistsError:
+                    os.unlink(path)
+                    os.symlink(target, path)
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    if links.isEmpty():
+        return 0
+    ordered = link_levels(links)
+    made = 0
+    for level in [*range((ordered.agg(F.max("level")).first()[0] or 0) + 1), None]:
+        now = ordered.where(F.col("level").eqNullSafe(F.lit(level)))
+        made += now.select("path", "target").mapInPandas(make, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return made
 
 
 def download(m: Manifest, folder: str, conflict: str = "OVERWRITE") -> DataFrame:
@@ -363,14 +393,8 @@ def download(m: Manifest, folder: str, conflict: str = "OVERWRITE") -> DataFrame
         yield pd.DataFrame({"action": pd.Series(list(done), dtype=object), "n": pd.Series(list(done.values()), dtype="int64")})
 
     counts = todo.select("path", "new_path", "action", "hash", "chunk_hashes", "mtime", "runnable").mapInPandas(act, "action string, n long").groupBy("action").agg(F.sum("n").alias("n")).collect()
-    links = [(r["path"], r["symlink_target"]) for r in m.files.where("symlink_target is not null and not deleted").select("path", "symlink_target").toLocalIterator()]
-    targets = dict(links)
-    for p in link_order(links):
-        if os.path.lexists(p):
-            os.unlink(p)
-        os.makedirs(os.path.dirname(p), exist_ok=True)
-        os.symlink(targets[p], p)
-    return m.spark.createDataFrame([(r["action"], r["n"]) for r in counts] + [("link", len(links))], "action string, n long")
+    links = make_links(m.files.where("symlink_target is not null and not deleted").select("path", F.col("symlink_target").alias("target")))
+    return m.spark.createDataFrame([(r["action"], r["n"]) for r in counts] + [("link", links)], "action string, n long")
 
 
 # -- collection -------------------------------------------------------------------------------------------------------

@@ -282,8 +282,9 @@ def compose(base: Manifest, diffs: Sequence[Manifest], checkpoint_every: int = 8
         if i:
             kills = join(kills, d.files.where("deleted").select("path", F.lit(2 * i).alias("at")))
             emptied = join(emptied, d.dirs.where("deleted").select("path"))
-    above = added.select(F.explode(ancestors(F.col("path"))).alias("path"), none, "at")
-    last = added.union(above).groupBy("path").agg(F.max("at").alias("at"), F.max(F.when(F.col("entry").isNotNull(), F.col("at"))).alias("file_at"), F.max_by("entry", F.when(F.col("entry").isNotNull(), F.col("at"))).alias("entry"))
+    at_or_above = added.select("entry", "at", F.posexplode(F.concat(F.array("path"), ancestors(F.col("path")))).alias("_k", "path")).select("path", "at", F.when(F.col("_k") == 0, F.col("entry")).alias("entry"))
+    own = F.when(F.col("entry").isNotNull(), F.col("at"))
+    last = at_or_above.groupBy("path").agg(F.max("at").alias("at"), F.max(own).alias("file_at"), F.max_by("entry", own).alias("entry"))
     kills = kills.groupBy("path").agg(F.max("at").alias("at"))
     killed = _tops(last, kills).join(kills.select(F.col("path").alias("top"), F.col("at").alias("killed")), "top").groupBy("path").agg(F.max("killed").alias("killed"))
     state = last.join(killed, "path", "left").withColumn("killed", F.coalesce("killed", F.lit(0)))

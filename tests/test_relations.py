@@ -313,8 +313,20 @@ def test_copies_get_the_first_free_name(spark, tmp_path):
     assert all((src / n).read_bytes() in (b"mine", b"kept") for n in before if n != "b (2)")
 
 
-def test_link_order_and_names(spark):
-    assert content.link_order([("a", "b"), ("b", "c"), ("x", "y"), ("y", "x")]) == ["b", "a", "x", "y"]
+def test_links_are_made_level_by_level(spark, tmp_path):
+    at = lambda name: str(tmp_path / name)
+    (tmp_path / "real").write_text("here")
+    (tmp_path / "d1").write_text("in the way")
+    pairs = [("a", "b"), ("b", "c"), ("c", "real"), ("d1", "c"), ("d2", "c"), ("x", "y"), ("y", "x"), ("to_x", "x"), ("self", "self"), ("sub/far", "nowhere"), *[(f"l{i}", f"l{i + 1}") for i in range(30)]]
+    links = spark.createDataFrame([(at(p), at(t)) for p, t in pairs], "path string, target string")
+    level = {os.path.relpath(r["path"], tmp_path): r["level"] for r in content.link_levels(links).collect()}
+    assert level == {"a": 2, "b": 1, "c": 0, "d1": 1, "d2": 1, "x": None, "y": None, "to_x": None, "self": None, "sub/far": 0, **{f"l{i}": 29 - i for i in range(30)}}
+    assert content.make_links(links) == len(pairs) == content.make_links(links)
+    assert all(os.readlink(at(p)) == at(t) for p, t in pairs) and open(at("a")).read() == "here"
+    assert content.make_links(links.limit(0)) == 0 and content.link_levels(links.limit(0)).count() == 0
+
+
+def test_names_of_embedded_files(spark):
     df = spark.createDataFrame([("a\r\nb\nc\rd",)], "t string")
     assert df.select(content.embedded_text(F.col("t"), "LF"), content.embedded_text(F.col("t"), "CRLF")).first()[:] == ("a\nb\nc\rd", "a\r\nb\r\nc\rd")
 
