@@ -93,6 +93,15 @@ def str_capitalize(spark, sf):
     return compiler.select(table(spark, sf, "part"), {"cap": "p_type.capitalize()"}, ["p_partkey"])
 
 
+expressions(
+    "str_index",
+    "part",
+    ["p_partkey"],
+    {"first": "p_brand.index('#')", "last": "p_name.rindex(' ')", "word": "p_brand.isalnum()", "code": "p_brand.removeprefix('Brand#').isalnum()", "big": "p_retailprice >= 950.0", "after": "p_name >= 'part 5'"},
+    "select p_partkey, strpos(p_brand, '#') - 1 as first, length(p_name) - strpos(reverse(p_name), ' ') as last, false as word, regexp_full_match(replace(p_brand, 'Brand#', ''), '[a-zA-Z0-9]+') as code, p_retailprice >= 950 as big, p_name >= 'part 5' as after from part",
+)
+
+
 # -- lists and numbers ------------------------------------------------------------------------------------------------
 def per_order(spark, sf) -> DataFrame:
     return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_suppkey")).alias("supps"), F.array_sort(F.collect_list("l_quantity")).alias("qty"))
@@ -147,6 +156,15 @@ def range_compress(spark, sf):
     return groups.select("l_orderkey", ranges.display(c).alias("text"), ranges.length(c).alias("n"), space.chunk_text_column(F.col("s")).alias("chunk_text"))
 
 
+expressions(
+    "range_lists",
+    "lineitem",
+    ["l_orderkey", "l_linenumber"],
+    {"all": "list(range_expr('3-9:2'))", "part": "string(range_expr('1-10:3,20-22')[1:3])", "from_text": "sum(list(range_expr('1-' + string(l_linenumber))))", "at": "range_expr('1-50')[l_linenumber]", "back": "range_expr('1-50')[0 - l_linenumber]"},
+    "select l_orderkey, l_linenumber, [3, 5, 7, 9] as \"all\", '4,7' as part, cast(l_linenumber * (l_linenumber + 1) / 2 as bigint) as from_text, l_linenumber + 1 as at, 51 - l_linenumber as back from lineitem",
+)
+
+
 @query("range_islands", "with d as (select distinct o_orderkey // 3 * 2 as v from orders where o_orderkey % 7 <> 0 union select distinct o_custkey from orders), g as (select v, v - row_number() over (order by v) as k from d) select min(v) as start, max(v) - min(v) + 1 as length from g group by k")
 def range_islands(spark, sf):
     orders = table(spark, sf, "orders")
@@ -272,6 +290,15 @@ def manifest_compose(spark, sf):
     return manifest.compose(base, [first, first.with_files(gone)]).files.select("path", "size", "hash")
 
 
+@query("manifest_compose_diffs", f"select path, size, deleted from ({_DIFF}) where path not like 'new/src1/%' union all select path, null, true from ({_DIFF}) where path like 'new/src1/%'")
+def manifest_compose_diffs(spark, sf):
+    """Two diffs as one: what the second takes is deleted, and what the first changed stays changed."""
+    base, current = doc_manifest(spark, sf), mutated(spark, sf)
+    first = manifest.diff(base, current)
+    gone = first.files.where(F.startswith("path", F.lit("new/src1/"))).select(*manifest.deleted_file(F.col("path")))
+    return manifest.compose_diffs([first, first.with_files(gone)]).files.select("path", "size", "deleted")
+
+
 @query("manifest_compose_law", "select 0 as missing, 0 as extra, count(*) as files from (" + _CURRENT + ")")
 def manifest_compose_law(spark, sf):
     base, current = doc_manifest(spark, sf), mutated(spark, sf)
@@ -628,6 +655,21 @@ def path_props(spark, sf):
     return compiler.select(df, {"name": "path.name", "stem": "path.stem", "suffix": "path.suffix", "parent": "string(path.parent)", "is_sub": "path.is_relative_to('src1')"}, ["path"])
 
 
+@query(
+    "path_edits",
+    f"""select path, source || '/' || lang || '/x.dat' as named, source || '/' || lang || '/s.txt' as stemmed, source || '/' || lang || '/' || doc_id || '.exr' as suffixed, source || '/' || lang || '/' || lpad('7', cast(length(doc_id || '') as int), '0') || '.txt' as numbered,
+path as posix, false as rooted, true as absolute, case when source = 'src1' then lang || '/' || doc_id || '.txt' else path end as relative, ['.txt'] as ends, [source, lang, doc_id || '.txt'] as steps, '/mnt/' || path as joined from (select {_PATH} as path, * from documents)""",
+)
+def path_edits(spark, sf):
+    posix = {"path_format": "POSIX"}
+    df = doc_manifest(spark, sf).files.select("path", F.concat(F.lit("/"), "path").alias("abs")).withMetadata("path", posix).withMetadata("abs", posix)
+    made = {
+        "named": "string(path.with_name('x.dat'))", "stemmed": "string(path.with_stem('s'))", "suffixed": "string(path.with_suffix('.exr'))", "numbered": "string(path.with_number(7))", "posix": "path.as_posix()", "rooted": "path.is_absolute()",
+        "absolute": "abs.is_absolute()", "relative": "string(path.relative_to('src1')) if path.is_relative_to('src1') else string(path)", "ends": "path.suffixes", "steps": "path.parts", "joined": "string(path('/mnt') / path)",
+    }
+    return compiler.select(df, made, ["path"])
+
+
 @query("xxh_hash")
 def xxh_hash(spark, sf):
     return table(spark, sf, "documents").select("doc_id", content.hash_text(F.col("text")).alias("hash"))

@@ -27,6 +27,7 @@ def sf():
 def same_as_sql(spark, sf):
     """Holds a registered query against its SQL on the smallest tables."""
     import duckdb
+    import pandas as pd
 
     from taskspace.plans import registry
 
@@ -36,7 +37,8 @@ def same_as_sql(spark, sf):
             con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
         want = con.execute(registry.ORACLES[name]).df()
         got = registry.QUERIES[name](spark, sf).toPandas()[list(want.columns)]
-        rows = lambda f: sorted(tuple("" if v is None or v != v else str(v) for v in r) for r in f.itertuples(index=False))
+        plain = lambda v: [plain(x) for x in v] if hasattr(v, "tolist") and getattr(v, "ndim", 0) or isinstance(v, list) else "" if v is None or v is pd.NA or v != v else str(int(v)) if isinstance(v, float) and v == v // 1 else str(v)
+        rows = lambda f: sorted(repr([plain(v) for v in r]) for r in f.itertuples(index=False))
         assert len(got) and rows(got) == rows(want)
 
     return check
