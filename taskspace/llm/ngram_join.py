@@ -69,20 +69,16 @@ def _keys(tokens: np.ndarray, order: int) -> np.ndarray:
 
 
 def _frequent(docs: DataFrame, n: int, rows: int) -> np.ndarray:
-    """Sorted keys of tokens that many rows of a sample have."""
+    """Sorted keys of tokens that many rows of a sample have. Counted by key, so that no task holds the sample's texts."""
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"tokens": [_keys(text_set(w, n), 0).tobytes() for w in _words(batch["text"])]})
+            for w in _words(batch["text"]):
+                yield pd.DataFrame({"key": _keys(text_set(w, n), 0).view(np.int64)})
 
-    def often(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        blobs = [b for batch in batches for b in batch["tokens"]]
-        keys, c = np.unique(np.frombuffer(b"".join(blobs), np.uint64), return_counts=True)
-        most = np.lexsort((keys, -c))[: min(HOT_TOKENS, int((c >= HOT_ROWS).sum()))]
-        yield pd.DataFrame({"key": keys[most].view(np.int64)})
-
-    sample = docs.select("text").where(F.rand(7) < SAMPLE / max(1, rows)).mapInPandas(tokens, "tokens binary")
-    found = sample.repartition(1).mapInPandas(often, "key long").toPandas()
+    sample = docs.select("text").where(F.rand(7) < SAMPLE / max(1, rows)).mapInPandas(tokens, "key long")
+    often = sample.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") >= HOT_ROWS)
+    found = often.orderBy(F.desc("c"), "key").limit(HOT_TOKENS).select("key").toPandas()
     return np.sort(found["key"].to_numpy(np.int64).view(np.uint64))
 
 
