@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -162,3 +162,28 @@ def utf8_each(texts) -> Iterator[bytes]:
     """The same one by one, for loops that need no list."""
     for t in texts:
         yield t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b""
+
+
+def give_back() -> None:
+    """Return to the system what a task has freed: a Python worker that waits for its next task keeps it otherwise."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def giving_back(run: Callable) -> Callable:
+    """A function over batches, that gives memory back at the end of its task."""
+
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import multipliers, splitmix, unused
+from .common import giving_back, multipliers, splitmix, unused
 
 ORDERS = 3
 UNKNOWN = "und"
@@ -72,7 +72,7 @@ def document_frequencies(texts: DataFrame, bits: int) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pd.DataFrame({"f": at, "n": total[at]})
 
-    found = texts.select("text").mapInPandas(run, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).toPandas()
+    found = texts.select("text").mapInPandas(giving_back(run), "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros((1 << bits) + 1)
     out[found["f"].to_numpy(np.int64)] = found["n"]
     return out

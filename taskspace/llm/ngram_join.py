@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, cut, shingles, splitmix, utf8, word_hashes
+from .common import Stored, cut, giving_back, shingles, splitmix, utf8, word_hashes
 
 #: Lists get further hubs, for as many rounds as ROUNDS at most, while comparing the rest would take more than PAIRS a row.
 ROUNDS = 3
@@ -126,7 +126,7 @@ def _dealt(docs: DataFrame, n: int, ranges: int, hot: np.ndarray) -> DataFrame:
         if ids:
             yield block(number, ids, sets, nodes)
 
-    return docs.select(F.col("doc_id").cast("string"), "text").mapInArrow(run, DEALT)
+    return docs.select(F.col("doc_id").cast("string"), "text").mapInArrow(giving_back(run), DEALT)
 
 
 def _repeated(part: pd.DataFrame) -> pd.DataFrame:
@@ -246,7 +246,7 @@ def _members(docs: DataFrame, listed: DataFrame, n: int, percent: int) -> Stored
                         rows.append((node_of(words), len(tokens), order_keys(tokens, percent), parities(tokens), text))
                 yield pd.DataFrame(rows, columns=["node", "size", "keys", "bits", "text"])
 
-    found = texts.mapInPandas(run, "node long, size long, keys binary, bits binary, text string")
+    found = texts.mapInPandas(giving_back(run), "node long, size long, keys binary, bits binary, text string")
     return Stored(found.join(listed.select("node"), "node", "left_semi").dropDuplicates(["node"]), release=True)
 
 
@@ -272,8 +272,8 @@ def verified(pairs: DataFrame, members: DataFrame, n: int, percent: int) -> Data
                     keep[i] = 100 * common >= percent * (len(s) + len(t) - common)
             yield batch.loc[keep, ["a", "b"]]
 
-    left = pairs.join(side("a", *columns), "a").join(side("b", *columns), "b").mapInPandas(near, "a long, b long")
-    return cut(left).join(side("a", "text"), "a").join(side("b", "text"), "b").mapInPandas(similar, "a long, b long")
+    left = pairs.join(side("a", *columns), "a").join(side("b", *columns), "b").mapInPandas(giving_back(near), "a long, b long")
+    return cut(left).join(side("a", "text"), "a").join(side("b", "text"), "b").mapInPandas(giving_back(similar), "a long, b long")
 
 
 def _jump(tree: DataFrame) -> DataFrame:

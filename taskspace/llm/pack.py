@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import giving_back
+
 #: Fixed value: the published pre-tokenisation pattern of the byte-level BPE vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Tokens that a task holds before it packs them.
@@ -131,7 +133,7 @@ def pack(docs: DataFrame, ranks: dict[bytes, int], pattern: str, length: int = 2
             yield packed(held)
 
     schema = "shard int, row long, ids binary, id_bytes int, n_tokens int, cu_seqlens array<int>, resets array<int>, doc_ids array<long>, parts array<int>"
-    return docs.select(docs["doc_id"].cast("string"), "text").mapInPandas(run, schema)
+    return docs.select(docs["doc_id"].cast("string"), "text").mapInPandas(giving_back(run), schema)
 
 
 def positions(cu_seqlens, resets, length: int) -> np.ndarray:
