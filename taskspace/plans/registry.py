@@ -13,6 +13,7 @@ from ..operators import content, manifest, model, space
 from ..operators.manifest import Manifest
 from ..ranges import RangeExpr
 from ..session import Tables, shared_dir
+from ..sources import manifest_text
 from ..streaming import chunks, directives
 from . import compiler
 
@@ -282,6 +283,40 @@ def manifest_diff(spark, sf):
     return manifest.diff(doc_manifest(spark, sf), mutated(spark, sf)).files.select("path", "size", "deleted")
 
 
+_CHARACTER = "case when c = '\"' then '\\\"' when c = '\\' then '\\\\' when u = 8 then '\\b' when u = 9 then '\\t' when u = 10 then '\\n' when u = 12 then '\\f' when u = 13 then '\\r' when u between 32 and 127 then c when u < 65536 then printf('\\u%04x', u) else printf('\\u%04x', 55296 + (u - 65536) // 1024) || printf('\\u%04x', 56320 + (u - 65536) % 1024) end"
+
+
+@query(
+    "json_canonical",
+    f"""with c as (select doc_id, unnest(regexp_extract_all(text, '(?s).')) as c, generate_subscripts(regexp_extract_all(text, '(?s).'), 1) as i from documents), u as (select *, unicode(c) as u from c)
+ select d.doc_id, case when text is not null then '"' || coalesce(j, '') || '"' end as json from documents d left join (select doc_id, string_agg({_CHARACTER}, '' order by i) as j from u group by doc_id) e on e.doc_id = d.doc_id""",
+)
+def json_canonical(spark, sf):
+    """Whole texts as canonical JSON strings."""
+    return table(spark, sf, "documents").select("doc_id", manifest_text.json_text(F.col("text")).alias("json"))
+
+
+@query(
+    "manifest_encode",
+    f"""with d as (select path, row_number() over (order by path) - 1 as place from (select source as path from documents union select source || '/' || lang from documents)), f as (select m.*, d.place from ({_BASE}) m join d on m.path = d.path || '/' || doc_id || '.txt')
+ select 0 as section, '{{"name":"' || coalesce('$' || p.place || '/' || split_part(d.path, '/', -1), d.path) || '"}}' as entry from d left join d p on p.path = regexp_extract(d.path, '^(.*)/[^/]*$', 1)
+ union all select 1, '{{' || coalesce('"hash":"' || hash || '",', '') || '"mtime":' || mtime || ',"name":"$' || place || '/' || doc_id || '.txt"' || coalesce(',"size":' || size, '') || '}}' from f""",
+)
+def manifest_encode(spark, sf):
+    """The entries of the documents' manifest with indexed directories."""
+    entries, _ = manifest_text.entries_v2025(doc_manifest(spark, sf), Tables(spark))
+    return entries.select("section", F.concat("text", F.lit("}")).alias("entry"))
+
+
+@query("manifest_round_trip", f"select path, hash, size, mtime from ({_BASE})")
+def manifest_round_trip(spark, sf):
+    """The documents' manifest written as canonical text to the shared folder and read back by ranges of bytes."""
+    tables = Tables(spark)
+    folder = tables.place()
+    manifest_text.write_manifest(doc_manifest(spark, sf), folder)
+    return manifest_text.read_manifest(spark, folder, tables=tables).files.select("path", "hash", "size", "mtime")
+
+
 @query("manifest_compose", f"select path, size, hash from ({_CURRENT}) where path not like 'new/src1/%' ")
 def manifest_compose(spark, sf):
     base, current = doc_manifest(spark, sf), mutated(spark, sf)

@@ -50,9 +50,13 @@ class Tables:
         self.spark, self.paths = spark, []
         atexit.register(self.close)
 
+    def place(self) -> str:
+        """A new path in the shared folder, deleted with the tables."""
+        self.paths.append(f"{shared_dir(self.spark)}/taskspace-{uuid.uuid4().hex}")
+        return self.paths[-1]
+
     def keep(self, df: DataFrame) -> DataFrame:
-        path = f"{shared_dir(self.spark)}/taskspace-{uuid.uuid4().hex}"
-        self.paths.append(path)
+        path = self.place()
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

@@ -1,7 +1,7 @@
 """Reading and writing manifests as canonical JSON: the flat 2023 format and the drafts with indexed directories.
 
-A corpus of documents is decoded as a frame (:func:`decode_frame`); a single document, which is one JSON value and so fits a
-driver, by :func:`decode`. Encoding sorts entries in the cluster and streams them to the driver in order.
+A corpus of documents is decoded as a frame (:func:`decode_frame`), one document that fits the driver by :func:`decode`, which takes
+any JSON. Canonical texts of any size are written and read by :mod:`.manifest_text`.
 """
 
 from __future__ import annotations
@@ -14,88 +14,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.manifest import DEFAULT_CHUNK, DIRS, FILES, WHOLE_FILE, Manifest, ManifestError, ancestors, is_absolute, live, subtree, total_size, validate
-
-# Versions and names of the formats.
-V2023 = "2023-03-03"
-SPECS = {
-    "absolute-manifest-snapshot-beta-2025-12": ("abs", "full"),
-    "absolute-manifest-diff-beta-2025-12": ("abs", "diff"),
-    "relative-manifest-snapshot-beta-2025-12": ("rel", "full"),
-    "relative-manifest-diff-beta-2025-12": ("rel", "diff"),
-}
-HASH_ALG = "xxh128"
-
+from ..operators.manifest import DEFAULT_CHUNK, DIRS, FILES, WHOLE_FILE, Manifest, ManifestError, total_size, validate
+from .manifest_text import HASH_ALG, SPECS, V2023, encode_v2023, encode_v2025, json_text, read_manifest, utf16_order, with_all_dirs, write_manifest  # noqa: F401
 
 def canonical_json(value) -> str:
     """Sorted keys, no spaces, ASCII escapes."""
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=True)
 
 
-def utf16_order(column: str = "path"):
-    """The order of canonical manifests: by UTF-16 code units."""
-    return F.encode(F.col(column), "UTF-16BE")
-
-
-# -- encoding ---------------------------------------------------------------------------------------------------------
-def encode_v2023(m: Manifest) -> str:
-    """A relative manifest in the flat format: links collapsed, dirs and deletions dropped, every file hashed."""
-    if m.chunk_size != WHOLE_FILE:
-        raise ManifestError(f"v2023 format requires fileChunkSizeBytes={WHOLE_FILE}, got {m.chunk_size}")
-    bad = m.files.where(is_absolute(F.col("symlink_target"))).limit(1).collect()
-    if bad:
-        raise ManifestError(f"symlink '{bad[0]['path']}' target must be a relative path, got absolute: '{bad[0]['symlink_target']}'")
-    flat = subtree(m, ".", "COLLAPSE_ALL")
-    rows = flat.files.where(live())
-    bare = rows.where("hash is null").limit(1).collect()
-    if bare:
-        raise ManifestError(f"File '{bare[0]['path']}' is missing a hash")
-    ordered = rows.orderBy(utf16_order()).select("hash", "mtime", "path", "size")
-    paths = [{"hash": r[0], "mtime": r[1], "path": r[2], "size": r[3]} for r in ordered.toLocalIterator()]
-    return canonical_json({"hashAlg": m.hash_alg, "manifestVersion": V2023, "paths": paths, "totalSize": sum(p["size"] or 0 for p in paths)})
-
-
-def with_all_dirs(m: Manifest) -> DataFrame:
-    """The dirs of a manifest and all ancestors of its entries; ``index`` is a dir's place in byte order."""
-    own = m.dirs.select("path", "deleted")
-    entries = m.files.select("path").union(m.dirs.select("path"))
-    implied = entries.select(F.explode(ancestors(F.col("path"))).alias("path")).where(~F.col("path").isin("", "/", ".")).distinct().select("path", F.lit(False).alias("deleted"))
-    return own.union(implied).groupBy("path").agg(F.max("deleted").alias("deleted"))
-
-
-def indexed(path: str, index: dict[str, int]) -> str:
-    """``$i/name`` where the parent is the i-th dir."""
-    parent, slash, name = path.rpartition("/")
-    return f"${index[parent]}/{name}" if slash and parent in index else path
-
-
-def encode_v2025(m: Manifest) -> str:
-    """A manifest in the format with indexed directories."""
-    spec = next(s for s, k in SPECS.items() if k == (m.style, m.kind))
-    dirs = [(r["path"], r["deleted"]) for r in with_all_dirs(m).orderBy("path").toLocalIterator()]
-    index = {p: i for i, (p, _) in enumerate(dirs)}
-    files = []
-    for r in m.files.orderBy(utf16_order()).toLocalIterator():
-        e: dict = {"name": indexed(r["path"], index)}
-        if r["hash"] is not None:
-            e["hash"] = r["hash"]
-        elif r["chunk_hashes"] is not None:
-            e["chunkhashes"] = list(r["chunk_hashes"])
-        elif r["symlink_target"] is not None:
-            e["symlink"] = {"name": indexed(r["symlink_target"], index)}
-        if not r["deleted"] and r["symlink_target"] is None:
-            e |= {k: r[c] for k, c in (("size", "size"), ("mtime", "mtime")) if r[c] is not None}
-            if r["runnable"]:
-                e["runnable"] = True
-        if r["deleted"]:
-            e["delete"] = True
-        files.append(e)
-    out = {"dirs": [{"name": indexed(p, index)} | ({"delete": True} if d else {}) for p, d in dirs], "files": files, "fileChunkSizeBytes": m.chunk_size, "hashAlg": m.hash_alg, "specificationVersion": spec, "totalSize": m.total_size()}
-    if m.parent_hash is not None:
-        out["parentManifestHash"] = m.parent_hash
-    return canonical_json(out)
-
-
 # -- decoding ---------------------------------------------------------------------------------------------------------
 def expand(name: str, dirs: dict[int, str]) -> str:
     """The path of ``$i/name``."""

@@ -5,7 +5,7 @@ import pytest
 from taskspace.plans import registry
 
 
-@pytest.mark.parametrize("name", ["str_index", "path_edits", "range_lists", "manifest_compose_diffs", "manifest_compose", "manifest_diff", "expr_compare_chain"])
+@pytest.mark.parametrize("name", ["json_canonical", "manifest_encode", "manifest_round_trip", "str_index", "path_edits", "range_lists", "manifest_compose_diffs", "manifest_compose", "manifest_diff", "expr_compare_chain"])
 def test_queries_equal_their_sql(same_as_sql, name):
     same_as_sql(name)
 
