@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 import stat
+import uuid
 from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import Tables
+from ..sources.object_store import file_system, make_store, write_objects
 from .manifest import FILES, WHOLE_FILE, Manifest, ManifestError, _cut, below, hashed, latest_wins, live, normalise, normalise_text
 
 #: Fixed value: days after which a note that an object exists is looked at again.
@@ -162,18 +164,19 @@ def sync_objects(plan: DataFrame, source: str, target: str) -> int:
     that runs again does no harm."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import shutil
-
         n = 0
-        os.makedirs(target, exist_ok=True)
+        (read, here), (write, there) = file_system(source), file_system(target)
         for batch in batches:
             for h, a in zip(batch["hash"], batch["alg"], strict=True):
-                part = os.path.join(target, f".{h}.{a}.{os.getpid()}")
-                shutil.copyfile(os.path.join(source, f"{h}.{a}"), part)
-                os.replace(part, os.path.join(target, f"{h}.{a}"))
+                part = f"{there}/.{h}.{a}.{uuid.uuid4().hex}"
+                with read.open_input_stream(f"{here}/{h}.{a}") as f, write.open_output_stream(part) as to:
+                    while block := f.read(1 << 20):
+                        to.write(block)
+                write.move(part, f"{there}/{h}.{a}")
                 n += 1
         yield pd.DataFrame({"n": [n]})
 
+    make_store(target)
     todo = plan.where("action = 'copy'").select("hash", "alg")
     return todo.mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
@@ -197,30 +200,10 @@ def read_objects(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFra
     return wanted.join(content, ["hash", "alg"])
 
 
-def write_objects(rows: DataFrame, folder: str) -> int:
-    """Write (hash, alg, content) rows as objects of a store on shared storage; a key's content never changes, so a task that
-    runs again writes the same. Returns how many rows there were."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        os.makedirs(folder, exist_ok=True)
-        n = 0
-        for batch in batches:
-            for h, a, content in zip(batch["hash"], batch["alg"], batch["content"], strict=True):
-                part = os.path.join(folder, f".{h}.{a}.{os.getpid()}")
-                with open(part, "wb") as f:
-                    f.write(content)
-                os.replace(part, os.path.join(folder, f"{h}.{a}"))
-                n += 1
-        yield pd.DataFrame({"n": [n]})
-
-    unique = rows.dropDuplicates(["hash", "alg"]).select("hash", "alg", "content")
-    return unique.mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-
-
 def hash_upload(m: Manifest, folder: str, cache: DataFrame | None = None) -> tuple[Manifest, DataFrame]:
     """Hash a manifest and put what the store lacks into it; (hashed manifest, statistics). Each content goes once."""
     full, _, _ = hash_manifest(m, cache)
-    os.makedirs(folder, exist_ok=True)
+    make_store(folder)
     lacking = missing(objects(full), list_store(m.spark, folder))
     per = full.files.where(live()).select("path", "size", F.coalesce(F.col("chunk_hashes"), F.array("hash")).alias("hs"))
     pieces = per.select("path", "size", F.posexplode("hs").alias("i", "hash")).withColumn("alg", F.lit(m.hash_alg))
@@ -363,6 +346,7 @@ def download(m: Manifest, folder: str, conflict: str = "OVERWRITE") -> DataFrame
 
     def act(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         done: dict[str, int] = {}
+        system, store = file_system(folder)
         for batch in batches:
             for r in batch.itertuples(index=False):
                 if r.action == "copy" and not isinstance(r.new_path, str):
@@ -382,7 +366,7 @@ def download(m: Manifest, folder: str, conflict: str = "OVERWRITE") -> DataFrame
                     part = f"{to}.{os.getpid()}.part"
                     with open(part, "wb") as f:
                         for h in r.chunk_hashes if r.chunk_hashes is not None else [r.hash]:
-                            with open(os.path.join(folder, f"{h}.{alg}"), "rb") as source:
+                            with system.open_input_stream(f"{store}/{h}.{alg}") as source:
                                 while block := source.read(1 << 20):
                                     f.write(block)
                     os.replace(part, to)

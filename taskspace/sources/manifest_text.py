@@ -18,6 +18,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..operators.manifest import DEFAULT_CHUNK, WHOLE_FILE, Manifest, ManifestError, ancestors, is_absolute, live, subtree, validate
 from ..session import Tables
+from .object_store import file_system
 
 # Versions and names of the formats.
 V2023 = "2023-03-03"
@@ -196,7 +197,7 @@ class _Bytes:
         for path, size in self.files:
             low, high = max(start - at, 0), min(end - at, size)
             if low < high:
-                fs, name = _file_system(path)
+                fs, name = file_system(path)
                 with fs.open_input_file(name) as f:
                     f.seek(low)
                     out.append(f.read(high - low))
@@ -204,17 +205,11 @@ class _Bytes:
         return b"".join(out)
 
 
-def _file_system(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-
-
 def _files(path: str) -> list[tuple[str, int]]:
     """The files of a text in order, with sizes: one file, or a folder's by the number of their part."""
     from pyarrow import fs
 
-    system, name = _file_system(path)
+    system, name = file_system(path)
     info = system.get_file_info(name)
     if info.type == fs.FileType.NotFound:
         raise ManifestError(f"there is no manifest at {path}")
