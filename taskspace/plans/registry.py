@@ -125,7 +125,8 @@ def list_aggs(spark, sf):
 def list_slice_index(spark, sf):
     df = table(spark, sf, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
     out = compiler.select(df, {"head": "v[:8]", "last": "v[-1]", "third": "v[2]", "rest": "len(v[1:])"}, ["vec_id"])
-    return out.withColumn("head", F.transform("head", lambda x: F.round(x, 6)))
+    # what rounds to zero keeps its sign, as in SQL; Spark's round makes 0.0 of it
+    return out.withColumn("head", F.transform("head", lambda x: F.when(F.abs(x) < 5e-7, x * 0.0).otherwise(F.round(x, 6))))
 
 
 @query("list_comp", "select vec_id, len(list_filter(embedding, lambda x: cast(x as double) > 0.1)) as n, list_transform(range(0, 5), lambda i: i * i + label) as squares, list_filter(range(1, 20), lambda i: i % 3 = 0) as thirds from embeddings")
